@@ -25,10 +25,11 @@ def detect_rate_tables(
     strict: bool = False,
     field_aliases=dims.FIELD_ALIASES,
     stopwords: Sequence[str] = dims.STOPWORDS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per message with ``segments``, ``tables``, ``table_info``, ``rate_tables``,
-    ``message_failed``. Only html-bearing messages are parsed (D5)."""
-    parsed = parse_html(emails.select(key, html_col), html_col)
+    ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5)."""
+    parsed = parse_html(emails.select(key, html_col, *carry), html_col)
     return rates.detect(cut_thread(parsed, strict), field_aliases, stopwords)
 
 
@@ -64,7 +65,7 @@ def extract_rates(
 
 def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | None = None) -> DataFrame:
     """One row per message: tables found, status and detail (no shuffle)."""
-    n_tables = F.coalesce(F.size("rate_tables"), F.lit(0))
+    n_tables = F.when(F.col("rate_tables").isNull(), F.lit(0)).otherwise(F.size("rate_tables"))
     status = (
         F.when(F.col("parse_error").isNotNull(), F.lit("parse_error"))
         .when(~F.col("has_html"), F.lit("no_html"))

@@ -189,3 +189,100 @@ def html_messages(orders: DataFrame) -> DataFrame:
     return n.select(
         "message_id", html_column(F.col("message_id"), F.col("o_custkey"), F.col("rows")).alias("html")
     )
+
+
+# ---------------------------------------------------------------------------------- mime
+
+TEXT_BODY = "Добрый день! Ставки по заявке {k} в письме."
+
+
+def _b64_word(charset: str, data) -> "F.Column":
+    return F.concat(F.lit(f"=?{charset}?B?"), F.base64(data), F.lit("?="))
+
+
+def mime_column(k, cust, orderdate, html):
+    """RFC 822 bytes of one message built with native columns (base64 bodies, CRLF lines).
+
+    Variants by key: subject (utf-8 / plain / missing / windows-1251 word), sender (quoted name,
+    bare, encoded name, missing, two addresses), date (present / missing), structure
+    (text only, html only, multipart), html charset (utf-8, windows-1251, utf-8 with BOM).
+    """
+    from rateflow.functions.charset import encode_cp1251
+
+    ks, cs = k.cast("string"), cust.cast("string")
+    crlf = F.lit("\r\n")
+    subject = (
+        F.when(k % 4 == 0, _b64_word("utf-8", F.encode(F.concat(F.lit("Ставки по заявке "), ks), "UTF-8")))
+        .when(k % 4 == 1, F.concat(F.lit("Rates for order "), ks))
+        .when(k % 4 == 3, _b64_word("windows-1251", encode_cp1251(F.concat(F.lit("Ставка "), ks))))
+    )
+    addr = F.concat(F.lit("client"), cs, F.lit("@example.com"))
+    sender = (
+        F.when(k % 5 == 0, F.concat(F.lit('"Client '), cs, F.lit('" <'), addr, F.lit(">")))
+        .when(k % 5 == 1, addr)
+        .when(k % 5 == 2, F.concat(_b64_word("utf-8", F.encode(F.concat(F.lit("Клиент "), cs), "UTF-8")),
+                                   F.lit(" <"), addr, F.lit(">")))
+        .when(k % 5 == 4, F.concat(F.lit("a"), cs, F.lit("@example.com, b"), cs, F.lit("@example.com")))
+    )
+    date = F.when(k % 6 != 5, F.date_format(orderdate, "yyyy-MM-dd"))
+    text = F.regexp_replace(F.lit(TEXT_BODY), r"\{k\}", ks)
+    html_bytes = (
+        F.when(k % 3 == 1, encode_cp1251(html))
+        .when(k % 3 == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(html, "UTF-8")))
+        .otherwise(F.encode(html, "UTF-8"))
+    )
+    html_charset = F.when(k % 3 == 1, F.lit("windows-1251")).otherwise(F.lit("utf-8"))
+    boundary = F.concat(F.lit("=_b"), ks)
+
+    def header(name, value):
+        return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, crlf)).otherwise(F.lit(""))
+
+    def part(ctype, charset, data):
+        return F.concat(
+            F.lit("Content-Type: " + ctype + "; charset="), charset, crlf,
+            F.lit("Content-Transfer-Encoding: base64"), crlf, crlf, F.base64(data), crlf,
+        )
+
+    heads = F.concat(
+        header("From", sender), F.lit("To: rates@example.com\r\n"), header("Subject", subject),
+        header("Date", date), F.lit("Message-ID: <"), ks, F.lit("@orders.example>\r\nMIME-Version: 1.0\r\n"),
+    )
+    text_part = part("text/plain", F.lit("utf-8"), F.encode(text, "UTF-8"))
+    html_part = part("text/html", html_charset, html_bytes)
+    multipart = F.concat(
+        F.lit('Content-Type: multipart/alternative; boundary="'), boundary, F.lit('"'), crlf, crlf,
+        F.lit("--"), boundary, crlf, text_part,
+        F.lit("--"), boundary, crlf, html_part,
+        F.lit("--"), boundary, F.lit("--"), crlf,
+    )
+    body = F.when(k % 11 == 0, text_part).when(k % 7 == 0, html_part).otherwise(multipart)
+    return F.encode(F.concat(heads, body), "UTF-8")
+
+
+def mime_messages(orders: DataFrame) -> DataFrame:
+    """``(message_id, content BINARY)``: one RFC 822 message per order."""
+    n = nested_rows(orders)
+    html = html_column(F.col("message_id"), F.col("o_custkey"), F.col("rows"))
+    return n.select(
+        "message_id",
+        mime_column(F.col("message_id"), F.col("o_custkey"), F.col("o_orderdate"), html).alias("content"),
+    )
+
+
+def structured_messages(orders: DataFrame) -> DataFrame:
+    """``structured_messages``: fields as a .msg reader gives them (some empty)."""
+    n = nested_rows(orders)
+    k = F.col("message_id")
+    ks, cs = k.cast("string"), F.col("o_custkey").cast("string")
+    html = html_column(k, F.col("o_custkey"), F.col("rows"))
+    return n.select(
+        "message_id",
+        F.when(k % 4 == 0, F.concat(F.lit("Ставки по заявке "), ks))
+        .when(k % 4 == 1, F.concat(F.lit("=?utf-8?Q?=D0=A1=D1=82?= "), ks))
+        .when(k % 4 == 2, F.lit("")).alias("subject"),
+        F.when(k % 3 == 0, F.concat(F.lit("Клиент "), cs, F.lit(" <client"), cs, F.lit("@example.com>")))
+        .when(k % 3 == 1, F.lit("")).alias("sender"),
+        F.when(k % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("date"),
+        F.when(k % 6 != 0, F.regexp_replace(F.lit(TEXT_BODY), r"\{k\}", ks)).otherwise(F.lit("")).alias("body"),
+        F.when(k % 9 != 0, html).alias("html_body"),
+    )
