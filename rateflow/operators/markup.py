@@ -164,8 +164,14 @@ def table_grid(table: _Node) -> list[list[str]]:
     return [[_cell_text(td) for td in _descendants(tr, "td")] for tr in _descendants(table, "tr")]
 
 
+_TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
+
+
 def split_segments(html: str) -> list[dict]:
     """Alternate text / top-level-table segments covering ``html`` end to end."""
+    if not _TABLE_OPEN.search(html):
+        # no table start tag anywhere: nothing to find, skip the tree build
+        return [{"kind": "text", "html": html, "start": 0, "end": len(html), "table_idx": None, "rows": None}]
     builder = _TreeBuilder(html)
     builder.feed(html)
     builder.finish()

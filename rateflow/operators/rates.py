@@ -50,33 +50,54 @@ def _position(fields: Column, field: str) -> Column:
 
 
 def describe_tables(tables: Column, field_aliases=dims.FIELD_ALIASES) -> Column:
-    """C8 + D1/D2 per table: header = first row, width = longest row, data rows after it."""
+    """C8 + D1/D2 per table: header = first row, width = longest row, data rows after it.
 
-    def one(t):
+    Built in stages (one ``transform`` each) because lambdas get no common-subexpression
+    elimination: every value is computed once and read back from the struct.
+    """
+
+    def shape(t):
         rows = t["rows"]
         width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
-        header = F.get(rows, 0)
-        # a short header row is padded with nulls up to the width
-        padded = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.get(header, i))
-        padded = F.when(width > 0, padded).otherwise(F.array().cast("array<string>"))
-        fields = header_fields(padded, field_aliases)
-        rate = is_rate_header(fields, width, field_aliases)
         return F.struct(
             t["table_idx"].alias("table_idx"),
-            padded.alias("header"),
+            rows.alias("rows"),
             width.alias("width"),
+        )
+
+    def header(t):
+        # a short header row is padded with nulls up to the width
+        first = F.get(t["rows"], 0)
+        padded = F.when(
+            t["width"] > 0, F.transform(F.sequence(F.lit(0), t["width"] - 1), lambda i: F.get(first, i))
+        ).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            t["table_idx"].alias("table_idx"), t["rows"].alias("rows"), t["width"].alias("width"),
+            padded.alias("header"),
+        )
+
+    def fields(t):
+        return t.withField("fields", header_fields(t["header"], field_aliases))
+
+    def verdict(t):
+        rows = t["rows"]
+        rate = is_rate_header(t["fields"], t["width"], field_aliases)
+        return F.struct(
+            t["table_idx"].alias("table_idx"),
+            t["header"].alias("header"),
+            t["width"].alias("width"),
             (F.size(rows) - 1).alias("n_rows"),
             rate.alias("is_rate_table"),
-            fields.alias("fields"),
+            t["fields"].alias("fields"),
             F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(1))).alias("data"),
             F.when(rate, F.lit("rate table"))
-            .when(width != len(field_aliases), F.lit("width"))
-            .when(F.exists(padded, lambda h: h.isNull()), F.lit("header has empty cells"))
+            .when(t["width"] != len(field_aliases), F.lit("width"))
+            .when(F.exists(t["header"], lambda h: h.isNull()), F.lit("header has empty cells"))
             .otherwise(F.lit("header names"))
             .alias("reason"),
         )
 
-    return F.transform(tables, one)
+    return F.transform(F.transform(F.transform(F.transform(tables, shape), header), fields), verdict)
 
 
 def _cell(row: Column, fields: Column, field: str) -> Column:
@@ -132,8 +153,12 @@ def candidate_rows(detected: DataFrame, key: str = "message_id", accepted_only:
     ``row_idx`` counts data rows of a table from 1 (0 is the header). With
     ``accepted_only`` the rows of failed messages (F2) are left out before exploding.
     """
-    src = detected.where(~F.col("message_failed")) if accepted_only else detected
-    tables = src.select(key, "message_failed", F.explode("rate_tables").alias("t"))
+    # Exploding a conditional array instead of filtering: a Filter on this derived column
+    # would be pushed down with the whole array expression inlined and evaluated twice.
+    src = (
+        F.when(~F.col("message_failed"), F.col("rate_tables")) if accepted_only else F.col("rate_tables")
+    )
+    tables = detected.select(key, "message_failed", F.explode(src).alias("t"))
     rows = tables.select(
         key,
         "message_failed",

@@ -18,6 +18,22 @@ from rateflow.operators.markup import parse_html
 from rateflow.operators.thread import cut_thread
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the cluster has cores.
+
+    The markup pass costs CPU per message, so a few large input splits (one small file, one
+    unsplittable archive) would leave cores idle. Inputs that already have enough partitions
+    (the normal case at scale) are left alone: no shuffle is added.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
 def detect_rate_tables(
     emails: DataFrame,
     key: str = "message_id",
@@ -29,7 +45,7 @@ def detect_rate_tables(
 ) -> DataFrame:
     """One row per message with ``segments``, ``tables``, ``table_info``, ``rate_tables``,
     ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5)."""
-    parsed = parse_html(emails.select(key, html_col, *carry), html_col)
+    parsed = parse_html(spread(emails.select(key, html_col, *carry), key), html_col)
     return rates.detect(cut_thread(parsed, strict), field_aliases, stopwords)
 
 
