@@ -1,0 +1,91 @@
+"""Masking, quoted-reply cut, newest tables; Python ``re.split`` as the model."""
+
+import random
+import re
+import time
+
+from pyspark.sql import functions as F
+
+from rateflow.operators import thread
+
+H = "<tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт</td><td>1</td><td>2</td></tr>"
+T = f"<table>{H}</table>"
+RU = "<b>Отправлено:</b> вчера<br>\r\n<b>Кому:</b> нам<br>\r\n<b>Копия:</b> им<br>\r\n<b>Тема:</b> ставки\r\n"
+EN = "Sent: Monday\nTo: us\nSubject: rates\n"
+
+
+def _newest_counts(extract, htmls):
+    detected, _ = extract(htmls)
+    return [len(r["tables"]) for r in detected]
+
+
+def test_cut_ru_crlf_en_lf_with_and_without_cc(extract):
+    htmls = [
+        f"<p>hi</p>{T}\r\n{RU}{T}",
+        f"<p>hi</p>{T}\n{EN}{T}",
+        f"{T}\nSent: x\nTo: y\nCc: z\nSubject: w\n{T}",
+        f"{T}\nОТПРАВЛЕНО: x\nкому: y\nТЕМА: w\n{T}{T}",
+    ]
+    assert _newest_counts(extract, htmls) == [1, 1, 1, 1]
+
+
+def test_header_inside_a_table_does_not_cut(extract):
+    inside = "<table><tr><td>Sent: a</td></tr>\n<tr><td>To: b</td></tr>\n<tr><td>Subject: c</td></tr></table>"
+    assert _newest_counts(extract, [f"{T}\n{inside}\n{T}"]) == [3]
+
+
+def test_blank_line_between_header_lines_does_not_cut(extract):
+    assert _newest_counts(extract, [f"{T}\nSent: a\n\nTo: b\nSubject: c\n{T}"]) == [2]
+
+
+def test_header_at_start_leaves_an_empty_newest_message(extract):
+    detected, rows = extract([f"Sent: a\nTo: b\nSubject: c\n{T}"])
+    assert detected[0]["newest"] == "" and detected[0]["tables"] == [] and rows == []
+
+
+def test_restore_puts_tables_back_framed_by_newlines(spark):
+    from rateflow.operators.markup import parse_html
+
+    html = f"a{T}b{T}"
+    df = parse_html(spark.createDataFrame([(1, html)], "message_id BIGINT, html STRING"))
+    got = df.select(thread.restore_html(F.col("segments"))).first()[0]
+    assert got == f"a\n{T}\nb\n{T}\n"
+
+
+def test_long_single_line_without_header_is_fast(extract):
+    html = "<p>" + "x" * 100_000 + "</p>" + T
+    t0 = time.perf_counter()
+    assert _newest_counts(extract, [html]) == [1]
+    assert time.perf_counter() - t0 < 30
+
+
+def _random_thread(rng):
+    pieces = ["<p>text</p>", "Sent: a", "To: b", "Cc: c", "Subject: d", "Отправлено: е", "Кому: ж",
+              "Копия: з", "Тема: и", "sent:", "x to: y", "", "тема: к"]
+    seps = ["\n", "\r\n", "<br>\n", " "]
+    blocks = [["Sent: a", "To: b", "Subject: c"], ["Sent: a", "To: b", "Cc: x", "Subject: c"],
+              ["Отправлено: а", "Кому: б", "Тема: в"], ["ОТПРАВЛЕНО: а", "Кому: б", "Копия: г", "тема: в"]]
+    out = []
+    for _ in range(rng.randint(1, 14)):
+        if rng.random() < 0.15:
+            sep = rng.choice(seps[:3])
+            out.append(sep.join(rng.choice(blocks)) + sep)
+        else:
+            out.append(rng.choice(pieces) + rng.choice(seps))
+    return "".join(out)
+
+
+def test_property_newest_part_matches_python_split(spark):
+    rng = random.Random(7)
+    texts = [_random_thread(rng) for _ in range(600)]
+    pattern = thread.REPLY_HEADER_EN + "|" + thread.REPLY_HEADER_RU
+    expected_first = [re.split(pattern, t, flags=re.IGNORECASE | re.MULTILINE)[0] for t in texts]
+    expected_all = [re.split(pattern, t, flags=re.IGNORECASE | re.MULTILINE) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING")
+    got = df.select("i", thread.newest_part(F.col("t")), thread.thread_parts(F.col("t"))).collect()
+    got = sorted(got, key=lambda r: r[0])
+    assert [r[1] for r in got] == expected_first
+    assert sum(1 for t, e in zip(texts, expected_first) if e != t) > 50
+    # the unanchored split gives every part (Java drops trailing empty strings like re does not)
+    for r, e in zip(got, expected_all):
+        assert r[2] == e[: len(r[2])] and all(x == "" for x in e[len(r[2]):])
