@@ -243,3 +243,50 @@ def parse_html(df: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
     return df.mapInArrow(run, out_schema)
+
+
+def html_segments(parsed: DataFrame, key: str = "message_id") -> DataFrame:
+    """``html_segments`` view: one row per text/table segment (``seg_idx`` in document order)."""
+    from pyspark.sql import functions as F
+
+    return parsed.select(key, F.posexplode("segments").alias("seg_idx", "s")).select(
+        key, "seg_idx", "s.kind", "s.html", "s.start", "s.end", "s.table_idx"
+    )
+
+
+def table_cells(parsed: DataFrame, key: str = "message_id", tables_col: str = "segments") -> DataFrame:
+    """``cells`` view: ``(key, table_idx, row_idx, col_idx, text)`` of top-level tables.
+
+    ``row_idx`` 0 is the header row; two ``posexplode`` after one parse, no shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    tables = F.filter(tables_col, lambda s: s["kind"] == "table")
+    t = parsed.select(key, F.explode(tables).alias("t"))
+    r = t.select(key, F.col("t.table_idx").alias("table_idx"), F.posexplode("t.rows").alias("row_idx", "cells"))
+    return r.select(key, "table_idx", "row_idx", F.posexplode("cells").alias("col_idx", "text"))
+
+
+class HtmlTableCells:
+    """SQL table function ``html_table_cells(html)`` -> cells of the top-level tables.
+
+    Register with ``register_udtfs(spark)`` and use as
+    ``SELECT m.message_id, c.* FROM mail m, LATERAL html_table_cells(m.html) c``.
+    """
+
+    def eval(self, html: str):
+        if not html:
+            return
+        for seg in split_segments(html):
+            if seg["kind"] != "table":
+                continue
+            for r, cells in enumerate(seg["rows"]):
+                for c, text in enumerate(cells):
+                    yield seg["table_idx"], r, c, text
+
+
+def register_udtfs(spark) -> None:
+    from pyspark.sql.functions import udtf
+
+    fn = udtf(HtmlTableCells, returnType="table_idx: int, row_idx: int, col_idx: int, text: string")
+    spark.udtf.register("html_table_cells", fn)

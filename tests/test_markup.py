@@ -66,3 +66,21 @@ def test_table_without_rows_has_an_empty_grid():
 def test_no_table_fast_path():
     segs = split_segments("<p>no tables here</p>")
     assert segs == [{"kind": "text", "html": "<p>no tables here</p>", "start": 0, "end": 21, "table_idx": None, "rows": None}]
+
+
+def test_long_views_and_sql_table_function(spark):
+    from rateflow.operators.markup import html_segments, parse_html, register_udtfs, table_cells
+
+    html = "<p>a</p><table><tr><td>x</td><td>y</td></tr><tr><td>z</td></tr></table>b"
+    df = spark.createDataFrame([(5, html)], "message_id BIGINT, html STRING")
+    p = parse_html(df)
+    segs = html_segments(p).orderBy("seg_idx").collect()
+    assert [(s.kind, s.table_idx) for s in segs] == [("text", None), ("table", 0), ("text", None)]
+    cells = sorted(tuple(r)[1:] for r in table_cells(p).collect())
+    assert cells == [(0, 0, 0, "x"), (0, 0, 1, "y"), (0, 1, 0, "z")]
+    register_udtfs(spark)
+    df.createOrReplaceTempView("mail_udtf_test")
+    got = spark.sql(
+        "SELECT m.message_id, c.* FROM mail_udtf_test m, LATERAL html_table_cells(m.html) c"
+    ).collect()
+    assert sorted(tuple(r)[1:] for r in got) == cells
