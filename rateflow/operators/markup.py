@@ -63,70 +63,81 @@ class _Node:
 
 
 class _TreeBuilder(HTMLParser):
-    """Builds a light element tree with source offsets; records top-level tables."""
+    """Builds element nodes only inside tables (the only place cells come from) and keeps the
+    names of every open element, so end tags close exactly what the tree builder would close.
+    Source offsets are computed only for top-level table starts and ends."""
 
     def __init__(self, src: str):
         super().__init__(convert_charrefs=True)
         self.src = src
-        self.line_starts = [0] + [m.end() for m in _NEWLINE.finditer(src)]
-        self.root = _Node("#root", 0)
-        self.stack = [self.root]
+        self._line_starts: list[int] | None = None
+        self.tags: list[str] = ["#root"]
+        self.nodes: list[_Node | None] = [None]
         self.hidden = 0
-        self.table_depth = 0
+        self.depth = 0  # open <table> elements
         self.tables: list[_Node] = []
 
     def _offset(self) -> int:
+        if self._line_starts is None:
+            self._line_starts = [0] + [m.end() for m in _NEWLINE.finditer(self.src)]
         line, col = self.getpos()
-        return self.line_starts[line - 1] + col
+        return self._line_starts[line - 1] + col
 
-    def _open(self, tag: str) -> _Node:
-        node = _Node(tag, self._offset())
-        self.stack[-1].kids.append(node)
-        if tag == "table" and self.table_depth == 0:
+    def _node(self, tag: str) -> _Node | None:
+        if self.depth:
+            node = _Node(tag, 0)
+            self.nodes[-1].kids.append(node)
+            return node
+        if tag == "table":
+            node = _Node(tag, self._offset())
             self.tables.append(node)
-        return node
+            return node
+        return None
 
     def handle_starttag(self, tag, attrs):
-        node = self._open(tag)
+        node = self._node(tag)
         if tag in VOID_TAGS:
-            node.end = node.start + len(self.get_starttag_text() or "")
             return
-        self.stack.append(node)
+        self.tags.append(tag)
+        self.nodes.append(node)
         if tag in NON_TEXT_TAGS:
             self.hidden += 1
         if tag == "table":
-            self.table_depth += 1
+            self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
-        node = self._open(tag)
-        node.end = node.start + len(self.get_starttag_text() or "")
+        self._node(tag)
 
-    def _pop(self, node: _Node, end: int) -> None:
-        node.end = end
-        if node.tag in NON_TEXT_TAGS:
+    def _pop(self, end: int) -> None:
+        tag = self.tags.pop()
+        node = self.nodes.pop()
+        if tag in NON_TEXT_TAGS:
             self.hidden -= 1
-        if node.tag == "table":
-            self.table_depth -= 1
+        if tag == "table":
+            self.depth -= 1
+            if self.depth == 0:
+                node.end = end
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                at = self._offset()
-                close = self.src.find(">", at)
-                close_end = len(self.src) if close < 0 else close + 1
-                while len(self.stack) > i + 1:
-                    self._pop(self.stack.pop(), at)
-                self._pop(self.stack.pop(), close_end)
+        tags = self.tags
+        for i in range(len(tags) - 1, 0, -1):
+            if tags[i] == tag:
+                # an offset is needed only when the top-level table is among the closed elements
+                at = self._offset() if self.depth and "table" in tags[i:] else -1
+                while len(tags) > i + 1:
+                    self._pop(at)  # closed implicitly: ends where this end tag starts
+                close = self.src.find(">", at) if at >= 0 else -1
+                self._pop(len(self.src) if close < 0 else close + 1)
                 return
 
     def handle_data(self, data):
-        if not self.hidden and data:
-            self.stack[-1].kids.append(data)
+        if self.depth and not self.hidden and data:
+            self.nodes[-1].kids.append(data)
 
     def finish(self) -> None:
         self.close()
-        while len(self.stack) > 1:
-            self._pop(self.stack.pop(), len(self.src))
+        while len(self.tags) > 1:
+            self._pop(len(self.src))
 
 
 def _descendants(node: _Node, tag: str):
