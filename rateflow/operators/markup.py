@@ -36,6 +36,10 @@ VOID_TAGS = frozenset(
 )
 # Strings inside these elements are not text of their ancestors.
 NON_TEXT_TAGS = frozenset("script style template rt rp".split())
+# Whitespace-only strings are kept as they are inside these elements only;
+# elsewhere a string of ASCII whitespace becomes "\n" if it has a newline, else " ".
+PRESERVE_WS_TAGS = frozenset(("pre", "textarea"))
+ASCII_WS = " \n\t\f\r"
 
 SEGMENT_TYPE = T.StructType(
     [
@@ -74,8 +78,10 @@ class _TreeBuilder(HTMLParser):
         self.tags: list[str] = ["#root"]
         self.nodes: list[_Node | None] = [None]
         self.hidden = 0
+        self.preserve = 0
         self.depth = 0  # open <table> elements
         self.tables: list[_Node] = []
+        self.pending: list[str] = []
 
     def _offset(self) -> int:
         if self._line_starts is None:
@@ -83,7 +89,17 @@ class _TreeBuilder(HTMLParser):
         line, col = self.getpos()
         return self._line_starts[line - 1] + col
 
+    def _flush(self) -> None:
+        """Adjacent data chunks form one string (collapsed when whitespace-only)."""
+        text = "".join(self.pending)
+        self.pending.clear()
+        if not self.preserve and not text.strip(ASCII_WS):
+            text = "\n" if "\n" in text else " "
+        self.nodes[-1].kids.append(text)
+
     def _node(self, tag: str) -> _Node | None:
+        if self.pending:
+            self._flush()
         if self.depth:
             node = _Node(tag, 0)
             self.nodes[-1].kids.append(node)
@@ -102,6 +118,8 @@ class _TreeBuilder(HTMLParser):
         self.nodes.append(node)
         if tag in NON_TEXT_TAGS:
             self.hidden += 1
+        if tag in PRESERVE_WS_TAGS:
+            self.preserve += 1
         if tag == "table":
             self.depth += 1
 
@@ -113,6 +131,8 @@ class _TreeBuilder(HTMLParser):
         node = self.nodes.pop()
         if tag in NON_TEXT_TAGS:
             self.hidden -= 1
+        if tag in PRESERVE_WS_TAGS:
+            self.preserve -= 1
         if tag == "table":
             self.depth -= 1
             if self.depth == 0:
@@ -122,6 +142,8 @@ class _TreeBuilder(HTMLParser):
         tags = self.tags
         for i in range(len(tags) - 1, 0, -1):
             if tags[i] == tag:
+                if self.pending:
+                    self._flush()
                 # an offset is needed only when the top-level table is among the closed elements
                 at = self._offset() if self.depth and "table" in tags[i:] else -1
                 while len(tags) > i + 1:
@@ -132,10 +154,19 @@ class _TreeBuilder(HTMLParser):
 
     def handle_data(self, data):
         if self.depth and not self.hidden and data:
-            self.nodes[-1].kids.append(data)
+            self.pending.append(data)
+
+    def _break_text(self, _data=None) -> None:
+        # comments, declarations and processing instructions end the current string
+        if self.pending:
+            self._flush()
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _break_text
 
     def finish(self) -> None:
         self.close()
+        if self.pending:
+            self._flush()
         while len(self.tags) > 1:
             self._pop(len(self.src))
 

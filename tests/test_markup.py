@@ -84,3 +84,14 @@ def test_long_views_and_sql_table_function(spark):
         "SELECT m.message_id, c.* FROM mail_udtf_test m, LATERAL html_table_cells(m.html) c"
     ).collect()
     assert sorted(tuple(r)[1:] for r in got) == cells
+
+
+def test_adjacent_text_is_one_string_and_whitespace_only_strings_collapse():
+    from rateflow.operators.markup import split_segments
+
+    html = (
+        "<table><tr><td>a < b</td><td><p><b>a</b>\n   <b>b</b></p></td>"
+        "<td><p>  </p></td><td><pre>x<b>y</b>  </pre></td><td>a <!-- c --> b</td></tr></table>"
+    )
+    rows = [s for s in split_segments(html) if s["kind"] == "table"][0]["rows"]
+    assert rows == [["a < b", "a\nb", " ", "xy", "ab"]]
