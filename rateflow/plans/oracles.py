@@ -114,6 +114,48 @@ GROUP BY o.o_orderkey, o.o_custkey
 """
 
 
+def table_cells_sql() -> str:
+    """Cells of all top-level tables of the synthetic html, from the integers."""
+    nb = synth.NBSP
+    hdr = [
+        ("Наименование", "Ставка", "Вход"),
+        ("Наименование услуги", "ставка", "вход"),
+        (f"{nb}СТАВКА ", f"{nb}ВХОД ", f"{nb}НАИМЕНОВАНИЕ "),
+    ]
+    header_rows = " UNION ALL ".join(
+        f"SELECT {v} AS variant, {c} AS col_idx, {_q(hdr[v][c])} AS text" for v in range(3) for c in range(3)
+    )
+    n_rate = "CASE WHEN 1 + o.o_orderkey % 5 > 3 THEN 2 ELSE 1 END"
+    decoy = ["Sent: see below", "To: logistics", "Subject: reference data"]
+    quoted = [["Наименование", "Ставка", "Вход"], ["Фрахт (старая ставка)", "999 руб", "1000"]]
+    decoy_rows = " UNION ALL ".join(f"SELECT {r} AS row_idx, 0 AS col_idx, {_q(t)} AS text" for r, t in enumerate(decoy))
+    quoted_rows = " UNION ALL ".join(
+        f"SELECT {r} AS row_idx, {c} AS col_idx, {_q(t)} AS text" for r, row in enumerate(quoted) for c, t in enumerate(row)
+    )
+    return f"""
+WITH g AS ({GEN}),
+h AS ({header_rows}),
+d AS ({decoy_rows}),
+q AS ({quoted_rows}),
+tabs AS (SELECT DISTINCT message_id, table_idx FROM g)
+SELECT t.message_id, t.table_idx, 0 AS row_idx, h.col_idx, h.text
+FROM tabs t JOIN h ON h.variant = t.message_id % 3
+UNION ALL
+SELECT g.message_id, g.table_idx, g.row_idx - 3 * g.table_idx AS row_idx, c.col_idx,
+  CASE WHEN (g.message_id % 3 = 2 AND c.col_idx = 2) OR (g.message_id % 3 <> 2 AND c.col_idx = 0) THEN g.name_raw
+       WHEN (g.message_id % 3 = 2 AND c.col_idx = 0) OR (g.message_id % 3 <> 2 AND c.col_idx = 1) THEN g.rate_raw
+       ELSE g.entry_raw END AS text
+FROM g CROSS JOIN (VALUES (0), (1), (2)) AS c(col_idx)
+UNION ALL
+SELECT o.o_orderkey AS message_id, {n_rate} AS table_idx, d.row_idx, d.col_idx, d.text
+FROM orders o CROSS JOIN d WHERE o.o_orderkey % 8 = 2
+UNION ALL
+SELECT o.o_orderkey AS message_id, {n_rate} + CASE WHEN o.o_orderkey % 8 = 2 THEN 1 ELSE 0 END AS table_idx,
+  q.row_idx, q.col_idx, q.text
+FROM orders o CROSS JOIN q WHERE o.o_orderkey % 4 = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     text_body = _q(synth.TEXT_BODY.split("{k}")[0]) + " || CAST(o_orderkey AS VARCHAR) || " + _q(
         synth.TEXT_BODY.split("{k}")[1]
@@ -151,6 +193,7 @@ FROM ({EXP}) e JOIN f ON e.message_id = f.message_id WHERE NOT f.failed""",
             " + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS n_tables_total,"
             f" {N_TABLES} + CASE WHEN o_orderkey % 8 = 2 THEN 1 ELSE 0 END AS n_tables_newest FROM orders"
         ),
+        "table_cells": table_cells_sql(),
         "restore_html": (
             f"SELECT message_id, md5(html) AS restored_md5, CAST(length(html) AS BIGINT) AS restored_len "
             f"FROM ({html_render_sql(True)}) h"

@@ -148,6 +148,14 @@ def q_thread_cut(spark, sf_dir):
     )
 
 
+def q_table_cells(spark, sf_dir):
+    """C1 + C7 long form: every cell of every top-level table (header rows, decoy and quoted
+    tables included), ``row_idx`` 0 = first row."""
+    from rateflow.operators.markup import table_cells
+
+    return table_cells(parse_html(_html(spark, sf_dir)))
+
+
 def q_restore_html(spark, sf_dir):
     p = parse_html(_html(spark, sf_dir))
     restored = thread.restore_html(F.col("segments"))
@@ -265,6 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_table_count": q_rate_table_count,
     "html_cells_roundtrip": q_html_cells_roundtrip,
     "thread_cut": q_thread_cut,
+    "table_cells": q_table_cells,
     "restore_html": q_restore_html,
     "html_reply": q_html_reply,
     "rate_table_status": q_rate_table_status,
