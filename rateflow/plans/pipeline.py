@@ -27,9 +27,12 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     """
     if df.isStreaming:
         return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism * 2
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+        current = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as it is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key)
 
@@ -103,3 +106,11 @@ def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | No
         detail.alias("detail"),
         F.current_timestamp().alias("processed_at"),
     )
+
+
+def process_messages(raw: DataFrame, out_dir: str, account: str, batch_id: int = 0, key: str = "message_id") -> None:
+    """Batch run over raw messages (``key``, ``content``): the same per-batch writer as the
+    stream (rate rows, process log, ledger, outbox under ``out_dir``, keyed by ``batch_id``)."""
+    from rateflow.streaming.stream import run_batch
+
+    run_batch(raw, batch_id, out_dir, account, key)
