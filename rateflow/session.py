@@ -25,8 +25,9 @@ def local_session(cores: str | int = "*", app: str = "rateflow") -> SparkSession
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # one row holds a whole message: keep Arrow batches small
+        # one row holds a whole message: bound Arrow batches by count and by bytes
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
     )
