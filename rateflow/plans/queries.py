@@ -193,7 +193,7 @@ def q_process_log(spark, sf_dir):
 def q_unseen_messages(spark, sf_dir):
     o = _orders(spark, sf_dir)
     msgs = o.select(F.col("o_orderkey").alias("message_id"))
-    ledger = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).select(
+    ledger = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")).select(
         F.col("o_orderkey").alias("message_id"), F.lit(0).cast("bigint").alias("batch_id")
     )
     return messages.unseen(msgs, ledger)
