@@ -22,6 +22,7 @@ HEADLINE = [
     "normalised_rates",
     "html_reply",
     "mime_project",
+    "mail_rates",
     "structured_project",
     "all_or_nothing",
     "thread_cut",

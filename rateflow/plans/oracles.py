@@ -252,6 +252,8 @@ SELECT o.o_orderkey AS message_id,
   CASE WHEN o.o_orderkey % 6 <> 0 THEN {text_body.replace('o_orderkey', 'o.o_orderkey')} END AS text,
   CASE WHEN o.o_orderkey % 9 <> 0 THEN md5(h.html) END AS html_md5
 FROM orders o JOIN h ON h.message_id = o.o_orderkey""",
+        "mail_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0",
+        "structured_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 9 <> 0",
         "csv_roundtrip": EXP_PER_TABLE,
         "xml_roundtrip": EXP_PER_TABLE,
         "stream_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0",

@@ -208,6 +208,18 @@ def q_mime_project(spark, sf_dir):
     )
 
 
+def q_mail_rates(spark, sf_dir):
+    """Entry 1 lifecycle in batch: RFC 822 bytes -> emails -> rate rows (no html: no rows)."""
+    emails = messages.emails_from_raw(synth.mime_messages(_orders(spark, sf_dir)))
+    return pipeline.extract_rates(emails)
+
+
+def q_structured_rates(spark, sf_dir):
+    """Entries 2/3 lifecycle: structured messages -> emails -> rate rows."""
+    emails = messages.from_structured(synth.structured_messages(_orders(spark, sf_dir)))
+    return pipeline.extract_rates(emails)
+
+
 def q_charset_cascade(spark, sf_dir):
     o = _orders(spark, sf_dir)
     k = F.col("o_orderkey")
@@ -281,6 +293,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "process_log": q_process_log,
     "mime_project": q_mime_project,
     "charset_cascade": q_charset_cascade,
+    "mail_rates": q_mail_rates,
+    "structured_rates": q_structured_rates,
     "structured_project": q_structured_project,
     "csv_roundtrip": q_csv_roundtrip,
     "xml_roundtrip": q_xml_roundtrip,
