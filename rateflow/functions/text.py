@@ -5,6 +5,8 @@ Java regex differs from Python's in three places that matter here:
   * ``(?U)\\s`` lacks U+001C..U+001F, which Python's ``\\s`` and ``str.strip`` include;
   * ``\\d`` is ASCII only (Python also matches other decimal digits; documented deviation);
   * ``(?iu)`` is needed for Unicode case folding.
+Where an exact native function exists (``translate``, ``btrim``, ``contains``) it is used
+instead of a regex: Spark decodes every value to a Java string for each regex call.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from pyspark.sql import functions as F
 
 from rateflow import dims
 
-# Whitespace as Python's ``str.isspace``: Java's Unicode White_Space plus U+001C..U+001F.
+# Whitespace as Python's ``str.isspace`` (what ``\s`` and ``str.strip`` use there), computed
+# from the interpreter by rule; Java's ``(?U)\s`` lacks U+001C..U+001F.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
+WHITESPACE_NO_NEWLINE = PY_WHITESPACE.replace("\n", "")
 _WS = r"\s\x1c-\x1f"
-# Every whitespace character except the newline.
+# E7 as a regex (kept for SQL users); the column function below uses ``translate``.
 WS_EXCEPT_NEWLINE = r"(?U)[" + _WS + r"&&[^\n]]"
-# Leading / trailing whitespace (``str.strip``).
-EDGE_WS = r"(?U)^[" + _WS + r"]+|[" + _WS + r"]+$"
 # The first number; '.' is the only decimal mark.
 FIRST_NUMBER = r"(\d+(?:\.\d+)?)"
+# Regex metacharacters: a stop-word without them is matched as a plain substring.
+_REGEX_META = set(".^$*+?{}[]\\|()")
 
 
 def _col(c) -> Column:
@@ -32,7 +37,7 @@ def _col(c) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()`` with Python's whitespace set (plain ``trim`` keeps NBSP and tabs)."""
-    return F.regexp_replace(_col(c), EDGE_WS, "")
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def header_key(c) -> Column:
@@ -41,8 +46,8 @@ def header_key(c) -> Column:
 
 
 def remove_spaces_keep_newlines(c) -> Column:
-    """``re.sub(r'[^\\S\\n]', '', text)``."""
-    return F.regexp_replace(_col(c), WS_EXCEPT_NEWLINE, "")
+    """Every whitespace character except the newline removed (``translate``, no regex)."""
+    return F.translate(_col(c), WHITESPACE_NO_NEWLINE, "")
 
 
 def first_number(c) -> Column:
@@ -89,6 +94,14 @@ def keeps_row(name, words: Sequence[str] = dims.STOPWORDS, literal: bool = False
     name = _col(name)
     if not words:
         return name.isNotNull()
+    if literal or not any(ch in _REGEX_META for w in words for ch in w):
+        # plain words: case-insensitive substring test without a regex per row
+        low = F.lower(name)
+        hit = None
+        for w in words:
+            cond = low.contains(w.lower())
+            hit = cond if hit is None else hit | cond
+        return F.coalesce(~hit, F.lit(False))
     return F.coalesce(~name.rlike(stopword_pattern(words, literal)), F.lit(False))
 
 

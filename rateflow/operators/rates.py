@@ -17,11 +17,9 @@ from rateflow.functions import text as tx
 
 
 def _alias_lookup(key: Column, field_aliases) -> Column:
-    expr = None
-    for alias, field in dims.alias_map(field_aliases).items():
-        cond = key == F.lit(alias)
-        expr = F.when(cond, F.lit(field)) if expr is None else expr.when(cond, F.lit(field))
-    return expr
+    # one map lookup: the key expression is evaluated once (lambdas get no CSE)
+    pairs = [F.lit(x) for kv in dims.alias_map(field_aliases).items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def header_fields(header: Column, field_aliases=dims.FIELD_ALIASES) -> Column:
@@ -104,15 +102,29 @@ def _cell(row: Column, fields: Column, field: str) -> Column:
     return F.get(row, _position(fields, field))
 
 
+def row_cells(t: Column) -> Column:
+    """Data rows of a rate table as ``struct(row_idx, name_raw, rate_raw, entry_raw)``.
+
+    Each cell is resolved once per row here (source column order -> canonical field), so the
+    failure test and the filters after exploding read plain struct fields.
+    """
+    pos = {f: _position(t["fields"], f) for f in dims.CANONICAL_FIELDS}
+    return F.transform(
+        t["data"],
+        lambda r, i: F.struct(
+            (i + 1).alias("row_idx"),
+            F.get(r, pos[dims.NAME]).alias("name_raw"),
+            F.get(r, pos[dims.RATE]).alias("rate_raw"),
+            F.get(r, pos[dims.ENTRY]).alias("entry_raw"),
+        ),
+    )
+
+
 def table_failed(t: Column, stopwords: Sequence[str] = dims.STOPWORDS) -> Column:
     """F1 failure: a row kept by D3 has no rate or no entry cell (a ragged row)."""
     return F.exists(
-        t["data"],
-        lambda r: tx.keeps_row(_cell(r, t["fields"], dims.NAME), stopwords)
-        & (
-            _cell(r, t["fields"], dims.RATE).isNull()
-            | _cell(r, t["fields"], dims.ENTRY).isNull()
-        ),
+        t["cells"],
+        lambda c: tx.keeps_row(c["name_raw"], stopwords) & (c["rate_raw"].isNull() | c["entry_raw"].isNull()),
     )
 
 
@@ -121,13 +133,17 @@ def detect(df: DataFrame, field_aliases=dims.FIELD_ALIASES, stopwords=dims.STOPW
     info = describe_tables(F.col("tables"), field_aliases)
     return (
         df.withColumn("table_info", info)
-        .withColumn("rate_tables", F.filter("table_info", lambda t: t["is_rate_table"]))
         .withColumn(
             "rate_tables",
             F.transform(
-                "rate_tables", lambda t: t.withField("failed", table_failed(t, stopwords))
+                F.filter("table_info", lambda t: t["is_rate_table"]),
+                lambda t: t.withField("cells", row_cells(t)),
             ),
         )
+        .withColumn(
+            "rate_tables",
+            F.transform("rate_tables", lambda t: t.withField("failed", table_failed(t, stopwords))),
+        )
         .withColumn(
             "message_failed",
             F.coalesce(F.exists("rate_tables", lambda t: t["failed"]), F.lit(False)),
@@ -158,21 +174,22 @@ def candidate_rows(detected: DataFrame, key: str = "message_id", accepted_only:
     src = (
         F.when(~F.col("message_failed"), F.col("rate_tables")) if accepted_only else F.col("rate_tables")
     )
-    tables = detected.select(key, "message_failed", F.explode(src).alias("t"))
-    rows = tables.select(
+
+    tables = detected.select(key, "message_failed", F.explode(src).alias("t")).select(
         key,
         "message_failed",
         F.col("t.table_idx").alias("table_idx"),
         F.col("t.fields").alias("col_order"),
-        F.posexplode("t.data").alias("pos", "r"),
+        F.col("t.cells").alias("cells"),
     )
+    rows = tables.select(key, "message_failed", "table_idx", "col_order", F.explode("cells").alias("r"))
     return rows.select(
         key,
         "table_idx",
-        (F.col("pos") + 1).alias("row_idx"),
-        _cell(F.col("r"), F.col("col_order"), dims.NAME).alias("name_raw"),
-        _cell(F.col("r"), F.col("col_order"), dims.RATE).alias("rate_raw"),
-        _cell(F.col("r"), F.col("col_order"), dims.ENTRY).alias("entry_raw"),
+        F.col("r.row_idx").alias("row_idx"),
+        F.col("r.name_raw").alias("name_raw"),
+        F.col("r.rate_raw").alias("rate_raw"),
+        F.col("r.entry_raw").alias("entry_raw"),
         "col_order",
         "message_failed",
     )
