@@ -223,13 +223,14 @@ def row_failed(candidates: DataFrame, stopwords: Sequence[str] = dims.STOPWORDS)
 
 def all_or_nothing_rows(candidates: DataFrame, key: str = "message_id", stopwords=dims.STOPWORDS) -> DataFrame:
     """F2 for input that is already one row per cell row: drop every row of a message that
-    has a failing row. Uses a window on the message key (one shuffle on a unique key);
-    the extraction path decides this before exploding and needs none."""
-    from pyspark.sql import Window
+    has a failing row. (The extraction path decides this in the row, before exploding.)
 
-    w = Window.partitionBy(key)
-    flagged = candidates.withColumn("message_failed", F.bool_or(row_failed(candidates, stopwords)).over(w))
-    return flagged.where(~F.col("message_failed"))
+    The failing keys are de-duplicated with map-side partial aggregation, so a hot key (copies
+    of one message) collapses before the shuffle; the anti join is then broadcast by AQE when
+    the measured key set is small, or split by AQE's skew handling when it is not.
+    """
+    failing = candidates.where(row_failed(candidates, stopwords)).select(key).distinct()
+    return candidates.join(failing, on=key, how="left_anti")
 
 
 def message_status(detected: DataFrame, key: str = "message_id", stopwords=dims.STOPWORDS,

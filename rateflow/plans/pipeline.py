@@ -19,7 +19,7 @@ from rateflow.operators.thread import cut_thread
 
 
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the cluster has cores.
+    """Spread ``df`` over more partitions when it has fewer than twice the cluster's cores.
 
     The markup pass costs CPU per message, so a few large input splits (one small file, one
     unsplittable archive) would leave cores idle. Inputs that already have enough partitions
@@ -34,7 +34,21 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
         return df
     if current >= target:
         return df
-    return df.repartition(target, key)
+    # round-robin, not by key: copies of one message (same key) may be a third of the input.
+    # Spark sorts rows before a round-robin repartition, so a retried task gets the same rows.
+    return df.repartition(target)
+
+
+def keep_where(df: DataFrame, condition, *cols) -> DataFrame:
+    """``df.where(condition).select(*cols)`` for a condition derived from the array columns.
+
+    A plain Filter on such a column is pushed below the projections with the whole
+    higher-order expression chain inlined, so detection would run twice per message. A
+    conditional one-element array fed to a generator selects the same rows and cannot be
+    pushed down.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return df.select(F.inline(F.when(condition, F.array(F.struct(*cols)))))
 
 
 def detect_rate_tables(

@@ -130,7 +130,7 @@ def q_extract_rates(spark, sf_dir):
 
 def q_rate_table_count(spark, sf_dir):
     d = pipeline.detect_rate_tables(_html(spark, sf_dir))
-    return d.where(~F.col("message_failed")).select("message_id", F.size("rate_tables").alias("n_tables"))
+    return pipeline.keep_where(d, ~F.col("message_failed"), "message_id", F.size("rate_tables").alias("n_tables"))
 
 
 def q_html_cells_roundtrip(spark, sf_dir):

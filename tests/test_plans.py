@@ -29,8 +29,11 @@ def test_extraction_has_no_exchange_when_input_is_split(spark):
 
 def test_small_input_is_spread_once_before_rendering(spark):
     plan = _plan(QUERIES["extract_rates"](spark, SF))
-    assert plan.count("Exchange hashpartitioning(o_orderkey") == 1
+    # round-robin (not by key), so copies of one message cannot pile up in one task
+    assert plan.count("Exchange RoundRobinPartitioning") == 1
     assert plan.count("Exchange") == 1
+    rendered = plan.index("MapInArrow")
+    assert plan.index("Exchange RoundRobinPartitioning") > rendered  # below the python pass
 
 
 def test_scan_reads_only_needed_columns(spark):
@@ -48,3 +51,22 @@ def test_no_filter_evaluates_the_array_expression_twice(spark):
 def test_unseen_is_an_anti_join_planned_by_catalyst(spark):
     plan = _plan(QUERIES["unseen_messages"](spark, SF))
     assert "LeftAnti" in plan
+
+
+def test_filter_on_the_f2_flag_does_not_repeat_detection(spark):
+    plan = _plan(QUERIES["rate_table_count"](spark, SF))
+    assert not any("Filter" in line and "lambdafunction" in line for line in plan.split("\n"))
+    assert "Generate inline" in plan
+
+
+def test_all_or_nothing_on_exploded_rows_aggregates_keys_before_the_shuffle(spark):
+    from rateflow.operators import rates
+
+    df = spark.createDataFrame(
+        [(1, "Фрахт", "1", None)] * 50 + [(2, "Фрахт", "1", "2")], "message_id BIGINT, name_raw STRING, rate_raw STRING, entry_raw STRING"
+    )
+    out = rates.all_or_nothing_rows(df)
+    plan = _plan(out)
+    assert "Window" not in plan
+    assert "LeftAnti" in plan and "HashAggregate" in plan
+    assert [r.message_id for r in out.collect()] == [2]
