@@ -161,7 +161,14 @@ class _TreeBuilder(HTMLParser):
         if self.pending:
             self._flush()
 
-    handle_comment = handle_decl = handle_pi = unknown_decl = _break_text
+    handle_comment = handle_decl = handle_pi = _break_text
+
+    def unknown_decl(self, data):
+        # a CDATA section is text of its own; other declarations are not text
+        self._break_text()
+        if data.upper().startswith("CDATA[") and self.depth and not self.hidden:
+            self.pending.append(data[len("CDATA["):])
+            self._flush()
 
     def finish(self) -> None:
         self.close()

@@ -95,3 +95,11 @@ def test_adjacent_text_is_one_string_and_whitespace_only_strings_collapse():
     )
     rows = [s for s in split_segments(html) if s["kind"] == "table"][0]["rows"]
     assert rows == [["a < b", "a\nb", " ", "xy", "ab"]]
+
+
+def test_cdata_is_text_but_doctype_and_processing_instructions_are_not():
+    from rateflow.operators.markup import split_segments
+
+    html = "<!DOCTYPE html><table><tr><td>a<![CDATA[ b ]]>c<?pi x?>d</td></tr></table>"
+    rows = [s for s in split_segments(html) if s["kind"] == "table"][0]["rows"]
+    assert rows == [["abcd"]]
