@@ -140,6 +140,11 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         tags = self.tags
+        if tags[-1] == tag and tag != "table":  # the common case: closes the innermost element
+            if self.pending:
+                self._flush()
+            self._pop(-1)
+            return
         for i in range(len(tags) - 1, 0, -1):
             if tags[i] == tag:
                 if self.pending:
@@ -216,13 +221,52 @@ def table_grid(table: _Node) -> list[list[str]]:
 _TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
 
 
-def split_segments(html: str) -> list[dict]:
-    """Alternate text / top-level-table segments covering ``html`` end to end."""
+def _reply_header():
+    from rateflow.operators.thread import REPLY_HEADER_EN, REPLY_HEADER_RU
+
+    return re.compile("^(?:" + REPLY_HEADER_EN + "|" + REPLY_HEADER_RU + ")", re.IGNORECASE | re.MULTILINE)
+
+
+_REPLY_HEADER = None
+
+
+def _newest_end(html: str, builder: _TreeBuilder) -> int | None:
+    """Offset where the newest message provably ends, after feeding ``builder`` up to it.
+
+    A quoted-reply header can never span a table placeholder line, so the first header of the
+    raw html is also the first one of the masked text when no table is open where it starts,
+    no table starts inside its lines, and the parser has consumed everything before it.
+    Returns None when that cannot be shown (the caller then parses the whole document).
+    """
+    global _REPLY_HEADER
+    if _REPLY_HEADER is None:
+        _REPLY_HEADER = _reply_header()
+    m = _REPLY_HEADER.search(html)
+    if m is None or _TABLE_OPEN.search(html, m.start(), m.end()):
+        return None
+    builder.feed(html[: m.start()])
+    if builder.depth or builder.rawdata:
+        return None
+    return m.start()
+
+
+def split_segments(html: str, newest_only: bool = False) -> list[dict]:
+    """Alternate text / top-level-table segments covering ``html`` end to end.
+
+    With ``newest_only`` the document is parsed only up to the end of the newest message when
+    that end can be proven from the raw text (see ``_newest_end``); the rest is one text
+    segment. The newest message's tables are the same; tables of the quoted thread are then
+    not listed.
+    """
     if not _TABLE_OPEN.search(html):
         # no table start tag anywhere: nothing to find, skip the tree build
         return [{"kind": "text", "html": html, "start": 0, "end": len(html), "table_idx": None, "rows": None}]
     builder = _TreeBuilder(html)
-    builder.feed(html)
+    cut = _newest_end(html, builder) if newest_only else None
+    if cut is None:
+        if newest_only:
+            builder = _TreeBuilder(html)
+        builder.feed(html)
     builder.finish()
     segments: list[dict] = []
     pos = 0
@@ -250,9 +294,12 @@ def _arrow_field(field: T.StructField) -> pa.Field:
     return pa.field(field.name, to_arrow_type(field.dataType), nullable=True)
 
 
-def parse_html(df: DataFrame, html_col: str = "html") -> DataFrame:
+def parse_html(df: DataFrame, html_col: str = "html", newest_only: bool = False) -> DataFrame:
     """One row per message: input columns without ``html_col``, plus ``has_html``,
-    ``segments`` and ``parse_error`` (null when the markup parsed)."""
+    ``segments`` and ``parse_error`` (null when the markup parsed).
+
+    ``newest_only`` skips tree building for a provably quoted tail (see ``split_segments``);
+    the extraction uses it, the full-document views (restore, parts, cells) do not."""
     keep = [f for f in df.schema.fields if f.name != html_col]
     out_schema = T.StructType(
         keep
@@ -276,7 +323,7 @@ def parse_html(df: DataFrame, html_col: str = "html") -> DataFrame:
                     errors.append(None)
                     continue
                 try:
-                    segs.append(split_segments(h))
+                    segs.append(split_segments(h, newest_only))
                     errors.append(None)
                 except Exception as exc:  # isolate the message (J1)
                     segs.append(None)

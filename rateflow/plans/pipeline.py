@@ -62,7 +62,7 @@ def detect_rate_tables(
 ) -> DataFrame:
     """One row per message with ``segments``, ``tables``, ``table_info``, ``rate_tables``,
     ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5)."""
-    parsed = parse_html(spread(emails.select(key, html_col, *carry), key), html_col)
+    parsed = parse_html(spread(emails.select(key, html_col, *carry), key), html_col, newest_only=True)
     return rates.detect(cut_thread(parsed, strict), field_aliases, stopwords)
 
 

@@ -89,3 +89,48 @@ def test_property_newest_part_matches_python_split(spark):
     # the unanchored split gives every part (Java drops trailing empty strings like re does not)
     for r, e in zip(got, expected_all):
         assert r[2] == e[: len(r[2])] and all(x == "" for x in e[len(r[2]):])
+
+
+def _newest_tables_py(html, newest_only):
+    """Tables of the newest message computed in Python from the segments (model of C2-C6)."""
+    from rateflow.operators.markup import split_segments
+
+    segs = split_segments(html, newest_only)
+    masked = "".join(
+        f"\n\x01T{s['table_idx']}\x01\n" if s["kind"] == "table" else s["html"].replace("\x01", "") for s in segs
+    )
+    pattern = "(?:" + thread.REPLY_HEADER_EN + "|" + thread.REPLY_HEADER_RU + ")"
+    part0 = re.split(pattern, masked, flags=re.IGNORECASE | re.MULTILINE)[0]
+    n = part0.count("\x01") // 2
+    return [s["rows"] for s in segs if s["kind"] == "table" and s["table_idx"] < n]
+
+
+def test_property_newest_only_parse_gives_the_same_newest_tables():
+    rng = random.Random(11)
+    table = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт {i}</td><td>1</td><td>2</td></tr></table>"
+    pieces = ["<p>text</p>", "Sent: a", "To: b", "Subject: c", "Отправлено: а", "Кому: б", "Тема: в", "",
+              "<div>", "</div>", "<!-- x -->", "<table><tr><td>Sent: q", "</td></tr>\n<tr><td>To: r</td></tr></table>"]
+    seps = ["\n", "\r\n", "<br>\n", " "]
+    used_fast = 0
+    for case in range(800):
+        parts = []
+        for i in range(rng.randint(1, 18)):
+            r = rng.random()
+            if r < 0.25:
+                parts.append(table.format(i=i))
+            elif r < 0.35:
+                parts.append(rng.choice(["Sent: a\nTo: b\nSubject: c\n", "Отправлено: а\r\nКому: б\r\nТема: в\r\n"]))
+            else:
+                parts.append(rng.choice(pieces) + rng.choice(seps))
+        html = "".join(parts)
+        full = _newest_tables_py(html, False)
+        fast = _newest_tables_py(html, True)
+        assert fast == full, html
+        used_fast += len(_segments_count(html, True)) < len(_segments_count(html, False))
+    assert used_fast > 100
+
+
+def _segments_count(html, newest_only):
+    from rateflow.operators.markup import split_segments
+
+    return split_segments(html, newest_only)
