@@ -230,24 +230,25 @@ def _reply_header():
 _REPLY_HEADER = None
 
 
-def _newest_end(html: str, builder: _TreeBuilder) -> int | None:
-    """Offset where the newest message provably ends, after feeding ``builder`` up to it.
+def _feed_newest(html: str, builder: _TreeBuilder) -> None:
+    """Feed ``builder`` the newest message only, when its end can be proven; else everything.
 
     A quoted-reply header can never span a table placeholder line, so the first header of the
     raw html is also the first one of the masked text when no table is open where it starts,
-    no table starts inside its lines, and the parser has consumed everything before it.
-    Returns None when that cannot be shown (the caller then parses the whole document).
+    no table starts inside its lines, and the parser has consumed everything before it. Then
+    nothing after it is needed. Otherwise the rest is fed too (the parser is incremental, so
+    nothing is parsed twice).
     """
     global _REPLY_HEADER
     if _REPLY_HEADER is None:
         _REPLY_HEADER = _reply_header()
     m = _REPLY_HEADER.search(html)
     if m is None or _TABLE_OPEN.search(html, m.start(), m.end()):
-        return None
+        builder.feed(html)
+        return
     builder.feed(html[: m.start()])
     if builder.depth or builder.rawdata:
-        return None
-    return m.start()
+        builder.feed(html[m.start():])
 
 
 def split_segments(html: str, newest_only: bool = False) -> list[dict]:
@@ -262,10 +263,9 @@ def split_segments(html: str, newest_only: bool = False) -> list[dict]:
         # no table start tag anywhere: nothing to find, skip the tree build
         return [{"kind": "text", "html": html, "start": 0, "end": len(html), "table_idx": None, "rows": None}]
     builder = _TreeBuilder(html)
-    cut = _newest_end(html, builder) if newest_only else None
-    if cut is None:
-        if newest_only:
-            builder = _TreeBuilder(html)
+    if newest_only:
+        _feed_newest(html, builder)
+    else:
         builder.feed(html)
     builder.finish()
     segments: list[dict] = []
