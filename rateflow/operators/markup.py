@@ -242,6 +242,10 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
     global _REPLY_HEADER
     if _REPLY_HEADER is None:
         _REPLY_HEADER = _reply_header()
+    folded = html.casefold()  # superset test: every header's first line has one of these
+    if "sent:" not in folded and "отправлено:" not in folded:
+        builder.feed(html)
+        return
     m = _REPLY_HEADER.search(html)
     if m is None or _TABLE_OPEN.search(html, m.start(), m.end()):
         builder.feed(html)
