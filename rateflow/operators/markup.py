@@ -213,9 +213,24 @@ def _cell_text(td: _Node) -> str:
     return "".join(s.strip() for s in _strings(td))
 
 
-def table_grid(table: _Node) -> list[list[str]]:
-    """Rows of ``td`` texts of one table (nested rows and cells included)."""
-    return [[_cell_text(td) for td in _descendants(tr, "td")] for tr in _descendants(table, "tr")]
+def _cells_of(tr: _Node, th_as_td: bool):
+    if not th_as_td:
+        return _descendants(tr, "td")
+    todo = list(reversed(tr.kids))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, _Node):
+            if n.tag == "td" or n.tag == "th":
+                yield n
+            todo.extend(reversed(n.kids))
+
+
+def table_grid(table: _Node, th_as_td: bool = False) -> list[list[str]]:
+    """Rows of ``td`` texts of one table (nested rows and cells included).
+
+    ``th`` cells are ignored as in the source unless ``th_as_td`` (then a ``<th>`` header row
+    can make a rate table)."""
+    return [[_cell_text(td) for td in _cells_of(tr, th_as_td)] for tr in _descendants(table, "tr")]
 
 
 _TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
@@ -255,7 +270,7 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
         builder.feed(html[m.start():])
 
 
-def split_segments(html: str, newest_only: bool = False) -> list[dict]:
+def split_segments(html: str, newest_only: bool = False, th_as_td: bool = False) -> list[dict]:
     """Alternate text / top-level-table segments covering ``html`` end to end.
 
     With ``newest_only`` the document is parsed only up to the end of the newest message when
@@ -282,7 +297,7 @@ def split_segments(html: str, newest_only: bool = False) -> list[dict]:
         end = table.end if table.end >= table.start else len(html)
         segments.append(
             {"kind": "table", "html": html[table.start : end], "start": table.start, "end": end,
-             "table_idx": idx, "rows": table_grid(table)}
+             "table_idx": idx, "rows": table_grid(table, th_as_td)}
         )
         pos = end
     segments.append(
@@ -298,7 +313,9 @@ def _arrow_field(field: T.StructField) -> pa.Field:
     return pa.field(field.name, to_arrow_type(field.dataType), nullable=True)
 
 
-def parse_html(df: DataFrame, html_col: str = "html", newest_only: bool = False) -> DataFrame:
+def parse_html(
+    df: DataFrame, html_col: str = "html", newest_only: bool = False, th_as_td: bool = False
+) -> DataFrame:
     """One row per message: input columns without ``html_col``, plus ``has_html``,
     ``segments`` and ``parse_error`` (null when the markup parsed).
 
@@ -327,7 +344,7 @@ def parse_html(df: DataFrame, html_col: str = "html", newest_only: bool = False)
                     errors.append(None)
                     continue
                 try:
-                    segs.append(split_segments(h, newest_only))
+                    segs.append(split_segments(h, newest_only, th_as_td))
                     errors.append(None)
                 except Exception as exc:  # isolate the message (J1)
                     segs.append(None)

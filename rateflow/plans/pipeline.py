@@ -59,10 +59,14 @@ def detect_rate_tables(
     field_aliases=dims.FIELD_ALIASES,
     stopwords: Sequence[str] = dims.STOPWORDS,
     carry: Sequence[str] = (),
+    th_as_td: bool = False,
 ) -> DataFrame:
     """One row per message with ``segments``, ``tables``, ``table_info``, ``rate_tables``,
-    ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5)."""
-    parsed = parse_html(spread(emails.select(key, html_col, *carry), key), html_col, newest_only=True)
+    ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5).
+    ``th_as_td`` reads ``<th>`` cells like ``<td>`` (off by default, as in the source)."""
+    parsed = parse_html(
+        spread(emails.select(key, html_col, *carry), key), html_col, newest_only=True, th_as_td=th_as_td
+    )
     return rates.detect(cut_thread(parsed, strict), field_aliases, stopwords)
 
 

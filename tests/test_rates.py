@@ -111,3 +111,13 @@ def test_status_rows(extract, spark):
     df = spark.createDataFrame([(0, html)], "message_id BIGINT, html STRING")
     st = rates.message_status(pipeline.detect_rate_tables(df)).orderBy("table_idx").collect()
     assert [(r.table_idx, r.n_rows, r.reason) for r in st] == [(0, 1, "ok"), (1, 0, "ok")]
+
+
+def test_th_header_option_reads_th_cells(spark):
+    from rateflow.plans import pipeline
+
+    th = "<tr><th>Наименование</th><th>Ставка</th><th>Вход</th></tr>"
+    df = spark.createDataFrame([(0, table(tr("Фрахт", "1", "2"), header=th))], "message_id BIGINT, html STRING")
+    assert pipeline.rate_rows_from_detected(pipeline.detect_rate_tables(df)).count() == 0
+    rows = pipeline.rate_rows_from_detected(pipeline.detect_rate_tables(df, th_as_td=True)).collect()
+    assert [(r.name, r.rate, r.entry) for r in rows] == [("Фрахт", 1.0, 2.0)]
