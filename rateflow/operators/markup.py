@@ -213,9 +213,7 @@ def _cell_text(td: _Node) -> str:
     return "".join(s.strip() for s in _strings(td))
 
 
-def _cells_of(tr: _Node, th_as_td: bool):
-    if not th_as_td:
-        return _descendants(tr, "td")
+def _td_or_th(tr: _Node):
     todo = list(reversed(tr.kids))
     while todo:
         n = todo.pop()
@@ -225,6 +223,10 @@ def _cells_of(tr: _Node, th_as_td: bool):
             todo.extend(reversed(n.kids))
 
 
+def _cells_of(tr: _Node, th_as_td: bool):
+    return _td_or_th(tr) if th_as_td else _descendants(tr, "td")
+
+
 def table_grid(table: _Node, th_as_td: bool = False) -> list[list[str]]:
     """Rows of ``td`` texts of one table (nested rows and cells included).
 
