@@ -272,7 +272,9 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
         builder.feed(html[m.start():])
 
 
-def split_segments(html: str, newest_only: bool = False, th_as_td: bool = False) -> list[dict]:
+def split_segments(
+    html: str, newest_only: bool = False, th_as_td: bool = False, keep_table_html: bool = True
+) -> list[dict]:
     """Alternate text / top-level-table segments covering ``html`` end to end.
 
     With ``newest_only`` the document is parsed only up to the end of the newest message when
@@ -298,8 +300,8 @@ def split_segments(html: str, newest_only: bool = False, th_as_td: bool = False)
         )
         end = table.end if table.end >= table.start else len(html)
         segments.append(
-            {"kind": "table", "html": html[table.start : end], "start": table.start, "end": end,
-             "table_idx": idx, "rows": table_grid(table, th_as_td)}
+            {"kind": "table", "html": html[table.start : end] if keep_table_html else None,
+             "start": table.start, "end": end, "table_idx": idx, "rows": table_grid(table, th_as_td)}
         )
         pos = end
     segments.append(
@@ -316,13 +318,19 @@ def _arrow_field(field: T.StructField) -> pa.Field:
 
 
 def parse_html(
-    df: DataFrame, html_col: str = "html", newest_only: bool = False, th_as_td: bool = False
+    df: DataFrame,
+    html_col: str = "html",
+    newest_only: bool = False,
+    th_as_td: bool = False,
+    keep_table_html: bool = True,
 ) -> DataFrame:
     """One row per message: input columns without ``html_col``, plus ``has_html``,
     ``segments`` and ``parse_error`` (null when the markup parsed).
 
     ``newest_only`` skips tree building for a provably quoted tail (see ``split_segments``);
-    the extraction uses it, the full-document views (restore, parts, cells) do not."""
+    the extraction uses it, the full-document views (restore, parts, cells) do not.
+    ``keep_table_html=False`` leaves the html text of table segments out (the grid and span
+    stay): the extraction masks tables and never needs their source text."""
     keep = [f for f in df.schema.fields if f.name != html_col]
     out_schema = T.StructType(
         keep
@@ -346,7 +354,7 @@ def parse_html(
                     errors.append(None)
                     continue
                 try:
-                    segs.append(split_segments(h, newest_only, th_as_td))
+                    segs.append(split_segments(h, newest_only, th_as_td, keep_table_html))
                     errors.append(None)
                 except Exception as exc:  # isolate the message (J1)
                     segs.append(None)

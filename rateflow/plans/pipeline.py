@@ -62,10 +62,16 @@ def detect_rate_tables(
     th_as_td: bool = False,
 ) -> DataFrame:
     """One row per message with ``segments``, ``tables``, ``table_info``, ``rate_tables``,
-    ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5).
+    ``message_failed``; ``carry`` columns pass through. Only html is parsed (D5), only up to
+    the newest message where provable, and table segments carry grids but not their html
+    (use ``parse_html`` directly for full-document views).
     ``th_as_td`` reads ``<th>`` cells like ``<td>`` (off by default, as in the source)."""
     parsed = parse_html(
-        spread(emails.select(key, html_col, *carry), key), html_col, newest_only=True, th_as_td=th_as_td
+        spread(emails.select(key, html_col, *carry), key),
+        html_col,
+        newest_only=True,
+        th_as_td=th_as_td,
+        keep_table_html=False,
     )
     return rates.detect(cut_thread(parsed, strict), field_aliases, stopwords)
 
