@@ -71,10 +71,12 @@ def entry_number(c) -> Column:
     return first_number(F.substring_index(_col(c), "=", -1))
 
 
-def service_name(c, keywords: Sequence[tuple[str, str]] = dims.SERVICE_KEYWORDS) -> Column:
-    """First keyword (in dictionary order) contained in the lower-cased text, else ''."""
+def service_name(c, keywords: Sequence[tuple[str, str]] = dims.SERVICE_KEYWORDS, lowered: bool = False) -> Column:
+    """First keyword (in dictionary order) contained in the lower-cased text, else ''.
+
+    ``lowered``: ``c`` is already lower-cased (saves repeated lower() inside lambdas)."""
     c = _col(c)
-    low = F.lower(c)
+    low = c if lowered else F.lower(c)
     expr = None
     for keyword, service in keywords:
         cond = low.contains(keyword.lower())
@@ -89,14 +91,14 @@ def stopword_pattern(words: Sequence[str] = dims.STOPWORDS, literal: bool = Fals
     return "(?iu)(?:" + "|".join(parts) + ")"
 
 
-def keeps_row(name, words: Sequence[str] = dims.STOPWORDS, literal: bool = False) -> Column:
+def keeps_row(name, words: Sequence[str] = dims.STOPWORDS, literal: bool = False, lowered: bool = False) -> Column:
     """D3 predicate: True when the name is non-null and contains no stop-word."""
     name = _col(name)
     if not words:
         return name.isNotNull()
     if literal or not any(ch in _REGEX_META for w in words for ch in w):
         # plain words: case-insensitive substring test without a regex per row
-        low = F.lower(name)
+        low = name if lowered else F.lower(name)
         hit = None
         for w in words:
             cond = low.contains(w.lower())

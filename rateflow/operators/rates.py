@@ -238,15 +238,16 @@ def message_status(detected: DataFrame, key: str = "message_id", stopwords=dims.
     """``rate_table_status``: one row per rate table with its kept row count."""
     t = detected.select(key, "message_failed", F.explode("rate_tables").alias("t"))
 
-    def kept(r):
-        name = _cell(r, F.col("t.fields"), dims.NAME)
-        return tx.keeps_row(name, stopwords) & (tx.service_name(name, keywords) != "")
+    def kept(low):
+        return tx.keeps_row(low, stopwords, lowered=True) & (tx.service_name(low, keywords, lowered=True) != "")
+
+    names = F.transform("t.cells", lambda c: F.lower(c["name_raw"]))  # lower once per row
 
     return t.select(
         key,
         F.col("t.table_idx").alias("table_idx"),
         F.when(F.col("message_failed"), F.lit(0))
-        .otherwise(F.size(F.filter("t.data", kept)))
+        .otherwise(F.size(F.filter(names, kept)))
         .alias("n_rows"),
         F.col("t.failed").alias("table_failed"),
         F.col("message_failed"),
