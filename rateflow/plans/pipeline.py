@@ -19,20 +19,22 @@ from rateflow.operators.thread import cut_thread
 
 
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over more partitions when it has fewer than twice the cluster's cores.
+    """Spread ``df`` over twice the cluster's cores when it would use at most a quarter of them.
 
     The markup pass costs CPU per message, so a few large input splits (one small file, one
-    unsplittable archive) would leave cores idle. Inputs that already have enough partitions
-    (the normal case at scale) are left alone: no shuffle is added.
+    unsplittable archive) would leave cores idle. Inputs with a fair number of partitions (the
+    normal case at scale) are left alone: reshuffling message bodies to gain a little
+    parallelism would cost more than it saves.
     """
     if df.isStreaming:
         return df
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism * 2
+        cores = df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()  # planning only, no job
     except Exception:  # no RDD view (e.g. a remote session): leave the plan as it is
         return df
-    if current >= target:
+    target = min_partitions or cores * 2
+    if current * 4 > cores or current >= target:
         return df
     # round-robin, not by key: copies of one message (same key) may be a third of the input.
     # Spark sorts rows before a round-robin repartition, so a retried task gets the same rows.

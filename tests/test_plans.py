@@ -48,9 +48,20 @@ def test_no_filter_evaluates_the_array_expression_twice(spark):
     assert not any("lambdafunction" in line for line in filters)
 
 
-def test_unseen_is_an_anti_join_planned_by_catalyst(spark):
+def test_unseen_scans_the_ledger_with_broadcast_batch_keys(spark):
     plan = _plan(QUERIES["unseen_messages"](spark, SF))
-    assert "LeftAnti" in plan
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_unseen_falls_back_to_a_plain_anti_join_over_the_limit(spark):
+    from rateflow.sources import messages
+
+    msgs = spark.range(100).withColumnRenamed("id", "message_id")
+    ledger = spark.range(0, 100, 2).withColumnRenamed("id", "message_id")
+    out = messages.unseen(msgs, ledger, broadcast_limit=10)
+    assert "LeftSemi" not in _plan(out)
+    assert sorted(r[0] for r in out.collect()) == list(range(1, 100, 2))
 
 
 def test_filter_on_the_f2_flag_does_not_repeat_detection(spark):
