@@ -108,6 +108,13 @@ def extract_rates(
     return rate_rows_from_detected(detected, key, keywords, stopwords, keep_col_order)
 
 
+# Log lines of the per-message processor ({n} = number of rate tables).
+LOG_OK = "Успешно обработано <{n}> таблиц ставок."
+LOG_FAILED = "ОШИБКА! Одну из таблиц ставок не удалось обработать. Письмо не будет обработано."
+LOG_NOTHING_TO_EXPORT = "No rate tables were extracted."
+# End of fixed values.
+
+
 def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | None = None) -> DataFrame:
     """One row per message: tables found, status and detail (no shuffle)."""
     n_tables = F.when(F.col("rate_tables").isNull(), F.lit(0)).otherwise(F.size("rate_tables"))
@@ -118,11 +125,13 @@ def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | No
         .when(n_tables == 0, F.lit("no_tables"))
         .otherwise(F.lit("ok"))
     )
+    ok_line = F.replace(F.lit(LOG_OK), F.lit("{n}"), n_tables.cast("string"))
     detail = (
         F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
-        .when(~F.col("has_html"), F.lit("message has no html part"))
-        .when(F.col("message_failed"), F.lit("a rate table could not be processed; message skipped"))
-        .otherwise(F.format_string("%d rate tables processed", n_tables))
+        .when(~F.col("has_html"), F.lit(LOG_NOTHING_TO_EXPORT))
+        .when(F.col("message_failed"), F.concat_ws("\n", F.lit(LOG_FAILED), F.lit(LOG_NOTHING_TO_EXPORT)))
+        .when(n_tables == 0, F.concat_ws("\n", ok_line, F.lit(LOG_NOTHING_TO_EXPORT)))
+        .otherwise(ok_line)
     )
     return detected.select(
         key,

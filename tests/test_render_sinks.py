@@ -63,3 +63,4 @@ def test_process_log_statuses(spark):
     log = {r.message_id: r for r in pipeline.process_log(d, batch_id=7).collect()}
     assert (log[0].status, log[1].status, log[2].status) == ("no_tables", "error", "no_html")
     assert log[1].n_tables == 0 and log[0].batch_id == 7
+    assert log[1].detail.startswith("ОШИБКА!") and log[0].detail.startswith("Успешно обработано <0>")
