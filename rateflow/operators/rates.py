@@ -98,10 +98,6 @@ def describe_tables(tables: Column, field_aliases=dims.FIELD_ALIASES) -> Column:
     return F.transform(F.transform(F.transform(F.transform(tables, shape), header), fields), verdict)
 
 
-def _cell(row: Column, fields: Column, field: str) -> Column:
-    return F.get(row, _position(fields, field))
-
-
 def row_cells(t: Column) -> Column:
     """Data rows of a rate table as ``struct(row_idx, name_raw, rate_raw, entry_raw)``.
 

@@ -18,7 +18,7 @@ from rateflow.operators.markup import parse_html
 from rateflow.operators.thread import cut_thread
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread ``df`` over twice the cluster's cores when it would use at most a quarter of them.
 
     The markup pass costs CPU per message, so a few large input splits (one small file, one
@@ -69,7 +69,7 @@ def detect_rate_tables(
     (use ``parse_html`` directly for full-document views).
     ``th_as_td`` reads ``<th>`` cells like ``<td>`` (off by default, as in the source)."""
     parsed = parse_html(
-        spread(emails.select(key, html_col, *carry), key),
+        spread(emails.select(key, html_col, *carry)),
         html_col,
         newest_only=True,
         th_as_td=th_as_td,
