@@ -100,3 +100,31 @@ def append_ledger(processed: DataFrame, ledger_path: str, batch_id: int, key: st
 def write_process_log(log: DataFrame, path: str, mode: str = "append") -> None:
     """The process log as a table, partitioned by batch."""
     log.write.mode(mode).partitionBy("batch_id").parquet(path)
+
+
+def write_table_csv_files(detected: DataFrame, path: str, key: str = "message_id", mode: str = "overwrite",
+                          keywords=dims.SERVICE_KEYWORDS, stopwords=dims.STOPWORDS) -> None:
+    """G1 with the source's file content: one folder per ``key/table_idx`` holding that table's
+    CSV in its own source column order (header line, rows, pandas number format).
+
+    Lines are rendered inside the message row and exploded with their index; the write keeps
+    that order (the required sort by folder is a prefix of it). Only accepted messages (F2)
+    write files. Directory count grows with the number of tables: meant for small sweeps.
+    """
+    from rateflow.operators.render import table_csv_lines
+    from rateflow.plans.pipeline import keep_where
+
+    accepted = keep_where(detected, ~F.col("message_failed"), key, "rate_tables")
+    tables = accepted.select(key, F.explode("rate_tables").alias("t"))
+    lines = tables.select(
+        key,
+        F.col("t.table_idx").alias("table_idx"),
+        F.posexplode(table_csv_lines(F.col("t"), keywords, stopwords)).alias("line_idx", "value"),
+    )
+    (
+        lines.sortWithinPartitions(key, "table_idx", "line_idx")
+        .drop("line_idx")
+        .write.mode(mode)
+        .partitionBy(key, "table_idx")
+        .text(path)
+    )

@@ -64,3 +64,16 @@ def test_process_log_statuses(spark):
     assert (log[0].status, log[1].status, log[2].status) == ("no_tables", "error", "no_html")
     assert log[1].n_tables == 0 and log[0].batch_id == 7
     assert log[1].detail.startswith("ОШИБКА!") and log[0].detail.startswith("Успешно обработано <0>")
+
+
+def test_table_csv_files_in_source_column_order(spark, tmp_path):
+    t = f"<table>{HDR}<tr><td>1 234,5</td><td>Фрахт</td><td>10=15</td></tr><tr><td>x</td><td>РЖД</td><td>7</td></tr></table>"
+    plain = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Охрана</td><td>1</td><td>2</td></tr></table>"
+    d = _detected(spark, [t + plain])
+    path = tmp_path / "csv"
+    files.write_table_csv_files(d, str(path))
+    got = {p.parent.name: p.read_text(encoding="utf-8") for p in (path / "message_id=0").glob("*/*.txt")}
+    assert got == {
+        "table_idx=0": "ставка,наименование,вход\n1234.0,Фрахт,15.0\n,Организация ЖД перевозки,7.0\n",
+        "table_idx=1": "наименование,ставка,вход\n",
+    }
