@@ -114,6 +114,25 @@ GROUP BY o.o_orderkey, o.o_custkey
 """
 
 
+def table_csv_sql() -> str:
+    def v(x):
+        return f"coalesce(CAST({x} AS VARCHAR), '')"
+
+    row_default = f"e.name || ',' || {v('e.rate')} || ',' || {v('e.entry')}"
+    row_perm = f"{v('e.rate')} || ',' || {v('e.entry')} || ',' || e.name"
+    return f"""
+WITH e AS ({EXP}),
+t AS (SELECT DISTINCT message_id, table_idx FROM ({GEN}) g),
+rl AS (SELECT e.message_id, e.table_idx, e.row_idx,
+         CASE WHEN e.message_id % 3 = 2 THEN {row_perm} ELSE {row_default} END AS line FROM e)
+SELECT t.message_id, t.table_idx,
+  CASE WHEN t.message_id % 3 = 2 THEN 'ставка,вход,наименование' ELSE 'наименование,ставка,вход' END
+  || {NL} || coalesce(string_agg(rl.line || {NL}, '' ORDER BY rl.row_idx), '') AS csv
+FROM t LEFT JOIN rl ON rl.message_id = t.message_id AND rl.table_idx = t.table_idx
+GROUP BY t.message_id, t.table_idx
+"""
+
+
 def table_cells_sql() -> str:
     """Cells of all top-level tables of the synthetic html, from the integers."""
     nb = synth.NBSP
@@ -199,6 +218,7 @@ FROM ({EXP}) e JOIN f ON e.message_id = f.message_id WHERE NOT f.failed""",
             f"FROM ({html_render_sql(True)}) h"
         ),
         "html_reply": reply_sql(),
+        "table_csv": table_csv_sql(),
         "rate_table_status": f"""
 WITH t AS (SELECT DISTINCT message_id, table_idx FROM ({GEN}) g),
 c AS (SELECT message_id, table_idx, count(*) AS n FROM ({EXP}) e GROUP BY message_id, table_idx)

@@ -176,6 +176,15 @@ def q_html_reply(spark, sf_dir):
     return render.outbox(d, account="rates@example.com").select("message_id", "recipient", "body_html")
 
 
+def q_table_csv(spark, sf_dir):
+    """G1 file content per accepted rate table (what ``write_table_csv_files`` writes)."""
+    d = pipeline.detect_rate_tables(_html(spark, sf_dir))
+    t = pipeline.keep_where(d, ~F.col("message_failed"), "message_id", "rate_tables")
+    t = t.select("message_id", F.explode("rate_tables").alias("t"))
+    csv = F.concat(F.array_join(render.table_csv_lines(F.col("t")), "\n"), F.lit("\n"))
+    return t.select("message_id", F.col("t.table_idx").alias("table_idx"), csv.alias("csv"))
+
+
 def q_rate_table_status(spark, sf_dir):
     d = pipeline.detect_rate_tables(_html(spark, sf_dir))
     return rates.message_status(d).select("message_id", "table_idx", "n_rows", "table_failed", "message_failed")
@@ -288,6 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_cells": q_table_cells,
     "restore_html": q_restore_html,
     "html_reply": q_html_reply,
+    "table_csv": q_table_csv,
     "rate_table_status": q_rate_table_status,
     "unseen_messages": q_unseen_messages,
     "process_log": q_process_log,
