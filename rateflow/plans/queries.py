@@ -18,13 +18,14 @@ from rateflow.functions import text as tx
 from rateflow.operators import rates, render, thread
 from rateflow.operators.markup import parse_html
 from rateflow.plans import pipeline
-from rateflow.session import scratch_dir
+from rateflow.session import scratch_dir, ship_package
 from rateflow.sinks import files
 from rateflow.sources import messages, synth
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order keys, spread over the cores before any message is rendered (cheap rows)."""
+    ship_package(spark)
     o = spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).select(
         "o_orderkey", "o_custkey", "o_orderdate"
     )

@@ -50,3 +50,35 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rateflow`` importable in Python workers (once per application).
+
+    The Python stages (markup, MIME, UDFs) run functions of this package on executors, which do
+    not have the repository on their path. The package is zipped once and added with
+    ``addPyFile``; Spark distributes it to every executor and puts it on the workers' path.
+    """
+    import zipfile
+
+    import rateflow
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(rateflow.__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="rateflow-pkg-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
