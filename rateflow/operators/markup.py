@@ -331,6 +331,9 @@ def parse_html(
     the extraction uses it, the full-document views (restore, parts, cells) do not.
     ``keep_table_html=False`` leaves the html text of table segments out (the grid and span
     stay): the extraction masks tables and never needs their source text."""
+    from rateflow.session import ship_package
+
+    ship_package(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name != html_col]
     out_schema = T.StructType(
         keep
@@ -415,5 +418,9 @@ class HtmlTableCells:
 def register_udtfs(spark) -> None:
     from pyspark.sql.functions import udtf
 
+    from rateflow.session import ship_package
+
+    ship_package(spark)
+
     fn = udtf(HtmlTableCells, returnType="table_idx: int, row_idx: int, col_idx: int, text: string")
     spark.udtf.register("html_table_cells", fn)
