@@ -311,6 +311,44 @@ def split_segments(
     return segments
 
 
+def segments_to_arrow(all_segments: list, arrow_type: pa.DataType) -> pa.Array:
+    """Segments of a batch of messages as one Arrow array, built column-wise from flat lists and
+    offsets (about ten times cheaper than converting nested Python dicts)."""
+    seg_off, seg_null = [0], []
+    kinds, htmls, starts, ends, tidx = [], [], [], [], []
+    rows_off, rows_null, cell_off, cells = [0], [], [0], []
+    for segs in all_segments:
+        seg_null.append(segs is None)
+        for s in segs or ():
+            kinds.append(s["kind"])
+            htmls.append(s["html"])
+            starts.append(s["start"])
+            ends.append(s["end"])
+            tidx.append(s["table_idx"])
+            rows = s["rows"]
+            rows_null.append(rows is None)
+            for r in rows or ():
+                cells.extend(r)
+                cell_off.append(len(cells))
+            rows_off.append(len(cell_off) - 1)
+        seg_off.append(len(kinds))
+    inner = pa.ListArray.from_arrays(pa.array(cell_off, pa.int32()), pa.array(cells, pa.string()))
+    rows_arr = pa.ListArray.from_arrays(pa.array(rows_off, pa.int32()), inner, mask=pa.array(rows_null, pa.bool_()))
+    struct = pa.StructArray.from_arrays(
+        [
+            pa.array(kinds, pa.string()),
+            pa.array(htmls, pa.string()),
+            pa.array(starts, pa.int32()),
+            pa.array(ends, pa.int32()),
+            pa.array(tidx, pa.int32()),
+            rows_arr,
+        ],
+        fields=list(arrow_type.value_type),
+    )
+    out = pa.ListArray.from_arrays(pa.array(seg_off, pa.int32()), struct, mask=pa.array(seg_null, pa.bool_()))
+    return out.cast(arrow_type)
+
+
 def _arrow_field(field: T.StructField) -> pa.Field:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -367,7 +405,7 @@ def parse_html(
             ]
             cols += [
                 pa.array(has, pa.bool_()),
-                pa.array(segs, arrow_schema.field("segments").type),
+                segments_to_arrow(segs, arrow_schema.field("segments").type),
                 pa.array(errors, pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)

@@ -103,3 +103,16 @@ def test_cdata_is_text_but_doctype_and_processing_instructions_are_not():
     html = "<!DOCTYPE html><table><tr><td>a<![CDATA[ b ]]>c<?pi x?>d</td></tr></table>"
     rows = [s for s in split_segments(html) if s["kind"] == "table"][0]["rows"]
     assert rows == [["abcd"]]
+
+
+def test_columnar_arrow_conversion_equals_the_nested_one():
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from rateflow.operators.markup import SEGMENTS_TYPE, segments_to_arrow, split_segments
+
+    docs = ["<p>x</p>", "<table><tr><td>a</td></tr><tr></tr></table>t<table></table>", "",
+            "<table><tr><td><p>1</p><p>2</p></td><td>b</td></tr></table>"]
+    segs = [split_segments(d) for d in docs] + [None]
+    typ = to_arrow_type(SEGMENTS_TYPE)
+    assert segments_to_arrow(segs, typ).equals(pa.array(segs, typ))
