@@ -213,26 +213,28 @@ def _cell_text(td: _Node) -> str:
     return "".join(s.strip() for s in _strings(td))
 
 
-def _td_or_th(tr: _Node):
-    todo = list(reversed(tr.kids))
-    while todo:
-        n = todo.pop()
-        if isinstance(n, _Node):
-            if n.tag == "td" or n.tag == "th":
-                yield n
-            todo.extend(reversed(n.kids))
-
-
-def _cells_of(tr: _Node, th_as_td: bool):
-    return _td_or_th(tr) if th_as_td else _descendants(tr, "td")
-
-
 def table_grid(table: _Node, th_as_td: bool = False) -> list[list[str]]:
     """Rows of ``td`` texts of one table (nested rows and cells included).
 
+    Same result as "for every ``tr`` below the table, every ``td`` below that ``tr``", in one
+    pre-order walk: a cell's text is computed once and appended to every enclosing row.
     ``th`` cells are ignored as in the source unless ``th_as_td`` (then a ``<th>`` header row
     can make a rate table)."""
-    return [[_cell_text(td) for td in _cells_of(tr, th_as_td)] for tr in _descendants(table, "tr")]
+    cell_tags = ("td", "th") if th_as_td else ("td",)
+    rows: list[list[str]] = []
+    todo = [(k, ()) for k in reversed(table.kids) if isinstance(k, _Node)]
+    while todo:
+        node, open_rows = todo.pop()
+        if node.tag == "tr":
+            row: list[str] = []
+            rows.append(row)
+            open_rows = open_rows + (row,)
+        elif node.tag in cell_tags and open_rows:
+            text = _cell_text(node)
+            for r in open_rows:
+                r.append(text)
+        todo.extend((k, open_rows) for k in reversed(node.kids) if isinstance(k, _Node))
+    return rows
 
 
 _TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
