@@ -204,6 +204,12 @@ f AS (SELECT message_id,
 SELECT e.message_id, e.table_idx, e.row_idx, e.name, e.rate, e.entry
 FROM ({EXP}) e JOIN f ON e.message_id = f.message_id WHERE NOT f.failed""",
         "rate_table_count": f"SELECT o_orderkey AS message_id, {N_TABLES} AS n_tables FROM orders",
+        "table_headers": f"""
+SELECT message_id, table_idx, 3 AS width, CAST(count(*) AS INT) AS n_rows, true AS is_rate_table
+FROM ({GEN}) g GROUP BY message_id, table_idx
+UNION ALL
+SELECT o_orderkey AS message_id, {N_TABLES} AS table_idx, 1 AS width, 2 AS n_rows, false AS is_rate_table
+FROM orders WHERE o_orderkey % 8 = 2""",
         "html_cells_roundtrip": (
             f"SELECT message_id, table_idx, row_idx - 3 * table_idx AS row_idx, name_raw, rate_raw, entry_raw FROM ({GEN}) g"
         ),
@@ -278,4 +284,5 @@ FROM orders o JOIN h ON h.message_id = o.o_orderkey""",
         "xml_roundtrip": EXP_PER_TABLE,
         "stream_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0",
     }
+    sql["all_or_nothing_exploded"] = sql["all_or_nothing"]
     return sql
