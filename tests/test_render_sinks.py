@@ -77,3 +77,32 @@ def test_table_csv_files_in_source_column_order(spark, tmp_path):
         "table_idx=0": "ставка,наименование,вход\n1234.0,Фрахт,15.0\n,Организация ЖД перевозки,7.0\n",
         "table_idx=1": "наименование,ставка,вход\n",
     }
+
+
+def test_outbox_skip_empty_keeps_only_non_empty_replies(spark):
+    t = f"<table>{HDR}<tr><td>5</td><td>Фрахт</td><td>7</td></tr></table>"
+    bad = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт</td><td>1</td></tr></table>"
+    d = _detected(spark, [t, "<p>none</p>", bad])
+    out = render.outbox(d, "me@x.ru", skip_empty=True).collect()
+    assert [r.message_id for r in out] == [0] and out[0].body_html.startswith(render.TABLE_OPEN)
+
+
+def test_ledger_and_log_tables(spark, tmp_path):
+    d = _detected(spark, ["<p>x</p>", "<p>y</p>"])
+    files.append_ledger(d, str(tmp_path / "ledger"), batch_id=3)
+    files.append_ledger(d.where("message_id = 0"), str(tmp_path / "ledger"), batch_id=4)
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert sorted((r.message_id, r.batch_id) for r in ledger.collect()) == [(0, 3), (0, 4), (1, 3)]
+    files.write_process_log(pipeline.process_log(d, batch_id=3), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 2 and {r.batch_id for r in log.collect()} == {3}
+
+
+def test_dimension_frames(spark):
+    from rateflow import dims
+
+    aliases = {r.alias: r.field for r in dims.field_alias_frame(spark).collect()}
+    assert aliases["наименование услуги"] == "наименование" and len(aliases) == 4
+    kw = dims.keywords_from_frame(dims.service_keyword_frame(spark))
+    assert kw == [(k, s) for k, s in dims.SERVICE_KEYWORDS]
+    assert [r.word for r in dims.stopword_frame(spark).collect()] == ["охрана"]
