@@ -462,5 +462,7 @@ def register_udtfs(spark) -> None:
 
     ship_package(spark)
 
-    fn = udtf(HtmlTableCells, returnType="table_idx: int, row_idx: int, col_idx: int, text: string")
+    fn = udtf(
+        HtmlTableCells, returnType="table_idx: int, row_idx: int, col_idx: int, text: string", useArrow=True
+    )
     spark.udtf.register("html_table_cells", fn)
