@@ -66,6 +66,22 @@ class _Node:
         self.end = -1
 
 
+def _attr_value(v: str) -> str:
+    v = v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    if '"' not in v:
+        return f'"{v}"'
+    if "'" not in v:
+        return f"'{v}'"
+    return '"' + v.replace('"', "&quot;") + '"'
+
+
+def serialise_start_tag(tag: str, attrs, void: bool) -> str:
+    """A start tag as the re-serialised document shows it: name, ``key="value"`` pairs separated
+    by single spaces, ``/>`` for void elements (only used for tags wrapped over lines)."""
+    parts = [tag] + [f"{k}={_attr_value(v or '')}" for k, v in dict(attrs or ()).items()]
+    return "<" + " ".join(parts) + ("/>" if void else ">")
+
+
 class _TreeBuilder(HTMLParser):
     """Builds element nodes only inside tables (the only place cells come from) and keeps the
     names of every open element, so end tags close exactly what the tree builder would close.
@@ -82,6 +98,14 @@ class _TreeBuilder(HTMLParser):
         self.depth = 0  # open <table> elements
         self.tables: list[_Node] = []
         self.pending: list[str] = []
+        # (offset, length, text): start tags wrapped over lines, as the re-serialised document
+        # has them on one line (line structure decides the quoted-reply cut)
+        self.rewrites: list[tuple[int, int, str]] = []
+
+    def _note_wrapped(self, tag: str, attrs, void: bool) -> None:
+        raw = self.get_starttag_text() or ""
+        if "\n" in raw or "\r" in raw:
+            self.rewrites.append((self._offset(), len(raw), serialise_start_tag(tag, attrs, void)))
 
     def _offset(self) -> int:
         if self._line_starts is None:
@@ -111,6 +135,7 @@ class _TreeBuilder(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        self._note_wrapped(tag, attrs, tag in VOID_TAGS)
         node = self._node(tag)
         if tag in VOID_TAGS:
             return
@@ -124,6 +149,7 @@ class _TreeBuilder(HTMLParser):
             self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
+        self._note_wrapped(tag, attrs, True)
         self._node(tag)
 
     def _pop(self, end: int) -> None:
@@ -270,17 +296,33 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
         builder.feed(html)
         return
     builder.feed(html[: m.start()])
-    if builder.depth or builder.rawdata:
+    if builder.depth or builder.rawdata or builder.rewrites:
         builder.feed(html[m.start():])
 
 
+def _text_between(html: str, a: int, b: int, rewrites) -> str:
+    """Source text ``html[a:b]`` with wrapped start tags inside it put on one line."""
+    if not rewrites:
+        return html[a:b]
+    out, pos = [], a
+    for off, n, text in rewrites:
+        if off >= a and off + n <= b:
+            out.append(html[pos:off])
+            out.append(text)
+            pos = off + n
+    out.append(html[pos:b])
+    return "".join(out)
+
+
 def split_segments(
     html: str, newest_only: bool = False, th_as_td: bool = False, keep_table_html: bool = True
 ) -> list[dict]:
     """Alternate text / top-level-table segments covering ``html`` end to end.
 
+    Text segments are source text, except that a start tag wrapped over several lines is put on
+    one line as the re-serialised document has it (``start``/``end`` stay source offsets).
     With ``newest_only`` the document is parsed only up to the end of the newest message when
-    that end can be proven from the raw text (see ``_newest_end``); the rest is one text
+    that end can be proven from the raw text (see ``_feed_newest``); the rest is one text
     segment. The newest message's tables are the same; tables of the quoted thread are then
     not listed.
     """
@@ -297,8 +339,8 @@ def split_segments(
     pos = 0
     for idx, table in enumerate(builder.tables):
         segments.append(
-            {"kind": "text", "html": html[pos : table.start], "start": pos, "end": table.start,
-             "table_idx": None, "rows": None}
+            {"kind": "text", "html": _text_between(html, pos, table.start, builder.rewrites),
+             "start": pos, "end": table.start, "table_idx": None, "rows": None}
         )
         end = table.end if table.end >= table.start else len(html)
         segments.append(
@@ -307,8 +349,8 @@ def split_segments(
         )
         pos = end
     segments.append(
-        {"kind": "text", "html": html[pos:], "start": pos, "end": len(html), "table_idx": None,
-         "rows": None}
+        {"kind": "text", "html": _text_between(html, pos, len(html), builder.rewrites), "start": pos,
+         "end": len(html), "table_idx": None, "rows": None}
     )
     return segments
 

@@ -134,3 +134,16 @@ def _segments_count(html, newest_only):
     from rateflow.operators.markup import split_segments
 
     return split_segments(html, newest_only)
+
+
+def test_start_tag_wrapped_over_lines_counts_as_one_line(extract):
+    from rateflow.operators.markup import split_segments
+
+    quoted = "\n<p>From: a<br>\nSent: Monday<br><span\nstyle='x' nowrap>\nTo: b</span><br>\nSubject: c</p>\n"
+    html = f"{T}{quoted}{T}"
+    text = split_segments(html)[2]["html"]
+    assert "<span style=\"x\" nowrap=\"\">" in text and "<span\n" not in text
+    # the header lines are consecutive once the tag is on one line: the quoted table is cut off
+    assert _newest_counts(extract, [html]) == [1]
+    assert _newest_tables_py(html, True) == _newest_tables_py(html, False) == [[
+        ["Наименование", "Ставка", "Вход"], ["Фрахт", "1", "2"]]]
