@@ -109,7 +109,8 @@ def test_property_newest_only_parse_gives_the_same_newest_tables():
     rng = random.Random(11)
     table = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт {i}</td><td>1</td><td>2</td></tr></table>"
     pieces = ["<p>text</p>", "Sent: a", "To: b", "Subject: c", "Отправлено: а", "Кому: б", "Тема: в", "",
-              "<div>", "</div>", "<!-- x -->", "<table><tr><td>Sent: q", "</td></tr>\n<tr><td>To: r</td></tr></table>"]
+              "<div>", "</div>", "<!-- x -->", "<table><tr><td>Sent: q", "</td></tr>\n<tr><td>To: r</td></tr></table>",
+              "<span\nstyle='a'>", "</span>", "Sent: x<b\r\nclass=y>"]
     seps = ["\n", "\r\n", "<br>\n", " "]
     used_fast = 0
     for case in range(800):
