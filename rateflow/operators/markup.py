@@ -280,8 +280,8 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
 
     A quoted-reply header can never span a table placeholder line, so the first header of the
     raw html is also the first one of the masked text when no table is open where it starts,
-    no table starts inside its lines, and the parser has consumed everything before it. Then
-    nothing after it is needed. Otherwise the rest is fed too (the parser is incremental, so
+    no table starts inside its lines, no start tag before or inside it is wrapped over lines,
+    and the parser has consumed everything up to its end. Then nothing after it is needed. Otherwise the rest is fed too (the parser is incremental, so
     nothing is parsed twice).
     """
     global _REPLY_HEADER
@@ -298,6 +298,12 @@ def _feed_newest(html: str, builder: _TreeBuilder) -> None:
     builder.feed(html[: m.start()])
     if builder.depth or builder.rawdata or builder.rewrites:
         builder.feed(html[m.start():])
+        return
+    # the header lines themselves: a tag wrapped inside them would join lines once
+    # re-serialised (the header might then not match there), an unfinished token is unknown
+    builder.feed(html[m.start() : m.end()])
+    if builder.rewrites or builder.rawdata:
+        builder.feed(html[m.end():])
 
 
 def _text_between(html: str, a: int, b: int, rewrites) -> str:

@@ -148,3 +148,11 @@ def test_start_tag_wrapped_over_lines_counts_as_one_line(extract):
     assert _newest_counts(extract, [html]) == [1]
     assert _newest_tables_py(html, True) == _newest_tables_py(html, False) == [[
         ["Наименование", "Ставка", "Вход"], ["Фрахт", "1", "2"]]]
+
+
+def test_wrapped_tag_inside_the_header_lines_is_not_a_proven_cut(extract):
+    html = f"{T}\nSent: a <span\nstyle=x> To: b\nSubject: c\n{T}"
+    # once the tag is on one line, "to:" shares the "sent:" line: no header, both tables are newest
+    assert _newest_tables_py(html, True) == _newest_tables_py(html, False)
+    assert len(_newest_tables_py(html, False)) == 2
+    assert _newest_counts(extract, [html]) == [2]
