@@ -156,3 +156,32 @@ def test_wrapped_tag_inside_the_header_lines_is_not_a_proven_cut(extract):
     assert _newest_tables_py(html, True) == _newest_tables_py(html, False)
     assert len(_newest_tables_py(html, False)) == 2
     assert _newest_counts(extract, [html]) == [2]
+
+
+def test_property_newest_only_with_wrapped_tags_in_header_lines():
+    rng = random.Random(5)
+    table = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт {i}</td><td>1</td><td>2</td></tr></table>"
+    wraps = ["<span\nstyle=x>", "<b\r\nclass='y'>", "</span>", "<br>", "<i\n>", "<!--\nc-->", "&amp;", "<"]
+    blocks = [["Sent: a", "To: b", "Cc: x", "Subject: c"], ["Отправлено: а", "Кому: б", "Копия: г", "Тема: в"]]
+    for _ in range(600):
+        parts = []
+        for i in range(rng.randint(1, 12)):
+            r = rng.random()
+            if r < 0.3:
+                parts.append(table.format(i=i))
+            elif r < 0.6:
+                lines = list(rng.choice(blocks))
+                if rng.random() < 0.5:
+                    lines.pop(2)
+                sep = rng.choice(["\n", "\r\n", "<br>\n"])
+                out = []
+                for line in lines:
+                    if rng.random() < 0.3:
+                        k = rng.randint(0, len(line))
+                        line = line[:k] + rng.choice(wraps) + line[k:]
+                    out.append(line)
+                parts.append(sep.join(out) + sep)
+            else:
+                parts.append(rng.choice(["<p>t</p>", "text ", "\n", "<div>", "</div>"] + wraps))
+        html = "".join(parts)
+        assert _newest_tables_py(html, True) == _newest_tables_py(html, False), html
