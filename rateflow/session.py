@@ -36,6 +36,14 @@ def local_session(cores: str | int = "*", app: str = "rateflow") -> SparkSession
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a remote (Spark Connect) session, which has none."""
+    try:
+        return spark.sparkContext
+    except Exception:
+        return None
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
@@ -43,11 +51,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     the session has none (local tests), and then points to a new folder under the system temp.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    if not base and sc is not None:
+        base = sc.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="rateflow-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        if sc is not None:
+            sc.setCheckpointDir(base)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
     return path
 
@@ -66,8 +76,8 @@ def ship_package(spark: SparkSession) -> None:
 
     import rateflow
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else f"remote-{id(spark)}"
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(rateflow.__file__))
@@ -80,5 +90,8 @@ def ship_package(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(dirpath, name)
                     z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:  # Spark Connect: python files are shipped as session artifacts
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(app)
