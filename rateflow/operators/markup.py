@@ -102,6 +102,16 @@ class _TreeBuilder(HTMLParser):
         # has them on one line (line structure decides the quoted-reply cut)
         self.rewrites: list[tuple[int, int, str]] = []
 
+    track_end_tags = False  # set when the document has an end tag wrapped over lines
+
+    def _note_wrapped_end(self, tag: str, matched: bool) -> None:
+        # a wrapped end tag is one line after re-serialisation; an unmatched one is dropped
+        at = self._offset()
+        close = self.src.find(">", at)
+        raw = self.src[at : len(self.src) if close < 0 else close + 1]
+        if "\n" in raw or "\r" in raw:
+            self.rewrites.append((at, len(raw), f"</{tag}>" if matched else ""))
+
     def _note_wrapped(self, tag: str, attrs, void: bool) -> None:
         raw = self.get_starttag_text() or ""
         if "\n" in raw or "\r" in raw:
@@ -166,6 +176,8 @@ class _TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         tags = self.tags
+        if self.track_end_tags:
+            self._note_wrapped_end(tag, tag in tags[1:] and tag not in VOID_TAGS)
         if tags[-1] == tag and tag != "table":  # the common case: closes the innermost element
             if self.pending:
                 self._flush()
@@ -264,6 +276,7 @@ def table_grid(table: _Node, th_as_td: bool = False) -> list[list[str]]:
 
 
 _TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
+_WRAPPED_END_TAG = re.compile(r"</[a-zA-Z][^>]*[\r\n]")
 
 
 def _reply_header():
@@ -336,6 +349,7 @@ def split_segments(
         # no table start tag anywhere: nothing to find, skip the tree build
         return [{"kind": "text", "html": html, "start": 0, "end": len(html), "table_idx": None, "rows": None}]
     builder = _TreeBuilder(html)
+    builder.track_end_tags = _WRAPPED_END_TAG.search(html) is not None
     if newest_only:
         _feed_newest(html, builder)
     else:

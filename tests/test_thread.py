@@ -161,7 +161,8 @@ def test_wrapped_tag_inside_the_header_lines_is_not_a_proven_cut(extract):
 def test_property_newest_only_with_wrapped_tags_in_header_lines():
     rng = random.Random(5)
     table = "<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт {i}</td><td>1</td><td>2</td></tr></table>"
-    wraps = ["<span\nstyle=x>", "<b\r\nclass='y'>", "</span>", "<br>", "<i\n>", "<!--\nc-->", "&amp;", "<"]
+    wraps = ["<span\nstyle=x>", "<b\r\nclass='y'>", "</span>", "</span\n>", "</q\r\n>", "<br>", "<i\n>",
+             "<!--\nc-->", "&amp;", "<"]
     blocks = [["Sent: a", "To: b", "Cc: x", "Subject: c"], ["Отправлено: а", "Кому: б", "Копия: г", "Тема: в"]]
     for _ in range(600):
         parts = []
@@ -185,3 +186,14 @@ def test_property_newest_only_with_wrapped_tags_in_header_lines():
                 parts.append(rng.choice(["<p>t</p>", "text ", "\n", "<div>", "</div>"] + wraps))
         html = "".join(parts)
         assert _newest_tables_py(html, True) == _newest_tables_py(html, False), html
+
+
+def test_end_tag_wrapped_over_lines_counts_as_one_line(extract):
+    from rateflow.operators.markup import split_segments
+
+    quoted = "\n<span>Sent: a</span\n>\nTo: b\nSubject: c</p\n>\n"
+    html = f"{T}{quoted}{T}"
+    text = split_segments(html)[2]["html"]
+    assert "</span>" in text and "</span\n" not in text and "</p" not in text  # unmatched: dropped
+    assert _newest_counts(extract, [html]) == [1]
+    assert _newest_tables_py(html, True) == _newest_tables_py(html, False)
