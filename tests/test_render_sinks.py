@@ -106,3 +106,28 @@ def test_dimension_frames(spark):
     kw = dims.keywords_from_frame(dims.service_keyword_frame(spark))
     assert kw == [(k, s) for k, s in dims.SERVICE_KEYWORDS]
     assert [r.word for r in dims.stopword_frame(spark).collect()] == ["охрана"]
+
+
+def test_reply_equals_the_csv_text_rendered_as_html(spark):
+    """The reply is the tables' CSV text formatted as HTML (first line th, others td, cells
+    stripped, tables joined by '\\n+\\n'): checked on every message of sf0.001."""
+    from pyspark.sql import functions as F
+
+    from rateflow.plans.queries import QUERIES
+
+    def as_html(csv_text):
+        out = [render.TABLE_OPEN]
+        for i, line in enumerate(csv_text.strip().split("\n")):
+            tag = "th" if i == 0 else "td"
+            out.append("<tr>")
+            out += [f"  <{tag}>{cell.strip()}</{tag}>" for cell in line.split(",")]
+            out.append("</tr>")
+        out.append("</table>")
+        return "\n".join(out)
+
+    csv = QUERIES["table_csv"](spark, "/root/testdata/sf0.001").groupBy("message_id").agg(
+        F.sort_array(F.collect_list(F.struct("table_idx", "csv"))).alias("tables")
+    )
+    expected = {r.message_id: "\n+\n".join(as_html(t.csv) for t in r.tables) for r in csv.collect()}
+    replies = {r.message_id: r.body_html for r in QUERIES["html_reply"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(expected) == 1500 and all(replies[k] == v for k, v in expected.items())
