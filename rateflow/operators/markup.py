@@ -23,6 +23,7 @@ row; the cell text is the ``<p>`` texts joined by a newline when there are sever
 from __future__ import annotations
 
 import re
+from html import unescape as html_unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -103,6 +104,18 @@ class _TreeBuilder(HTMLParser):
         self.rewrites: list[tuple[int, int, str]] = []
 
     track_end_tags = False  # set when the document has an end tag wrapped over lines
+    track_entities = False  # set when the document has a line-break or colon reference
+
+    def _note_entities(self, data: str) -> None:
+        # text outside tables: references that decode to a line break or colon become the
+        # characters (chunks starting with "<" are bogus markup passed as text: left as is)
+        if data.startswith("<"):
+            return
+        at = self._offset()
+        end = self.src.find("<", at)
+        raw = self.src[at : len(self.src) if end < 0 else end]
+        for m in _LINE_ENTITY.finditer(raw):
+            self.rewrites.append((at + m.start(), len(m.group()), html_unescape(m.group())))
 
     def _note_wrapped_end(self, tag: str, matched: bool) -> None:
         # a wrapped end tag is one line after re-serialisation; an unmatched one is dropped
@@ -114,7 +127,8 @@ class _TreeBuilder(HTMLParser):
 
     def _note_wrapped(self, tag: str, attrs, void: bool) -> None:
         raw = self.get_starttag_text() or ""
-        if "\n" in raw or "\r" in raw:
+        if "\n" in raw or "\r" in raw or (self.track_entities and _LINE_ENTITY.search(raw)):
+            # (attribute values are re-serialised decoded: a line-break reference breaks the line)
             self.rewrites.append((self._offset(), len(raw), serialise_start_tag(tag, attrs, void)))
 
     def _offset(self) -> int:
@@ -198,6 +212,8 @@ class _TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if self.depth and not self.hidden and data:
             self.pending.append(data)
+        elif self.track_entities and not self.depth and not self.hidden and data:
+            self._note_entities(data)
 
     def _break_text(self, _data=None) -> None:
         # comments, declarations and processing instructions end the current string
@@ -277,6 +293,11 @@ def table_grid(table: _Node, th_as_td: bool = False) -> list[list[str]]:
 
 _TABLE_OPEN = re.compile(r"<table", re.IGNORECASE)
 _WRAPPED_END_TAG = re.compile(r"</[a-zA-Z][^>]*[\r\n]")
+# Character references that decode to a line break or a colon: in the re-serialised document
+# they are plain characters, and both decide where a quoted-reply header matches.
+_LINE_ENTITY = re.compile(
+    r"&#0*(?:10|13|58)(?![0-9]);?|&#[xX]0*(?:[aAdD]|3[aA])(?![0-9a-fA-F]);?|&(?:NewLine|colon);"
+)
 
 
 def _reply_header():
@@ -350,7 +371,8 @@ def split_segments(
         return [{"kind": "text", "html": html, "start": 0, "end": len(html), "table_idx": None, "rows": None}]
     builder = _TreeBuilder(html)
     builder.track_end_tags = _WRAPPED_END_TAG.search(html) is not None
-    if newest_only:
+    builder.track_entities = _LINE_ENTITY.search(html) is not None
+    if newest_only and not builder.track_entities:
         _feed_newest(html, builder)
     else:
         builder.feed(html)
