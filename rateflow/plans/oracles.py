@@ -219,6 +219,9 @@ FROM orders WHERE o_orderkey % 8 = 2""",
             f" {N_TABLES} + CASE WHEN o_orderkey % 8 = 2 THEN 1 ELSE 0 END AS n_tables_newest FROM orders"
         ),
         "table_cells": table_cells_sql(),
+        "thread_parts": (
+            "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS n_parts FROM orders"
+        ),
         "restore_html": (
             f"SELECT message_id, md5(html) AS restored_md5, CAST(length(html) AS BIGINT) AS restored_len "
             f"FROM ({html_render_sql(True)}) h"

@@ -164,6 +164,13 @@ def q_thread_cut(spark, sf_dir):
     )
 
 
+def q_thread_parts(spark, sf_dir):
+    """C4: number of parts of each thread (split at every quoted-reply header, tables masked)."""
+    p = parse_html(_html(spark, sf_dir))
+    parts = thread.thread_parts(thread.masked_html(F.col("segments")))
+    return p.select("message_id", F.size(parts).alias("n_parts"))
+
+
 def q_table_cells(spark, sf_dir):
     """C1 + C7 long form: every cell of every top-level table (header rows, decoy and quoted
     tables included), ``row_idx`` 0 = first row."""
@@ -312,6 +319,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rate_table_count": q_rate_table_count,
     "html_cells_roundtrip": q_html_cells_roundtrip,
     "thread_cut": q_thread_cut,
+    "thread_parts": q_thread_parts,
     "table_cells": q_table_cells,
     "restore_html": q_restore_html,
     "html_reply": q_html_reply,
