@@ -113,13 +113,28 @@ def source_stem(path) -> Column:
 
 
 def render_number(c) -> Column:
-    """A double as pandas writes it in CSV: ``1234.5``, ``35.0``, ``10000000.0``; null -> null.
+    """A double as pandas writes it in CSV (Python ``repr``): ``1234.5``, ``35.0``,
+    ``10000000.0``, ``1e+16``, ``1.5e-07``; null -> null.
 
-    Exact for values written with up to 10 decimals below 1e16 (Python switches to
-    exponent form outside [1e-4, 1e16)); Spark's own cast would print ``1.0E7``.
+    Positional for 1e-4 <= |x| < 1e16 (exact up to 10 decimals), exponent form outside, built
+    from Java's ``1.5E-7`` form of the cast; Spark's own cast alone would print ``1.0E7``.
     """
     c = _col(c)
     s = c.try_cast("decimal(38,10)").cast("string")
     s = F.regexp_replace(s, r"(\.\d*?)0+$", "$1")
     s = F.regexp_replace(s, r"\.$", ".0")
-    return F.when(c.isNotNull(), F.coalesce(s, c.cast("string")))
+    java = c.cast("string")  # e.g. 1.0E16, 1.5E-7
+    mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
+    sci = F.concat(
+        mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad(F.abs(exp).cast("string"), 2, "0"),
+    )
+    a = F.abs(c)
+    return (
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(c.isNaN(), F.lit("nan"))
+        .when(a == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when((a >= 1e16) | ((a < 1e-4) & (a > 0)), F.when(java.contains("E"), sci).otherwise(java))
+        .otherwise(F.coalesce(s, java))
+    )

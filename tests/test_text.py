@@ -60,9 +60,9 @@ def test_e8_source_stem(spark):
 
 
 def test_render_number_like_pandas(spark):
-    vals = [1234.5, 35.0, 10000000.0, 0.1, None, 91000.0]
+    vals = [1234.5, 35.0, 10000000.0, 0.1, None, 91000.0, 1e16, 1.2345e20, 1e-05, 1.5e-07, 0.0001, 0.0, -2e17]
     got = _one(spark, tx.render_number, vals, "v DOUBLE")
-    assert got == ["1234.5", "35.0", "10000000.0", "0.1", None, "91000.0"]
+    assert got == [None if v is None else repr(v) for v in vals]
 
 
 # ------------------------------------------------------------------ property tests
