@@ -65,15 +65,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             yield batch.slice(start)
 
 
+_KINDS = {"BIGINT": pa.int64(), "INT": pa.int32(), "DOUBLE": pa.float64(), "STRING": pa.string(), "BINARY": pa.binary(), "BOOLEAN": pa.bool_()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a flat DDL string (types as in ``_KINDS`` or ``ARRAY<...>`` of them)."""
+
+    def kind(t: str) -> pa.DataType:
+        return pa.list_(kind(t[6:-1])) if t.startswith("ARRAY<") else _KINDS[t]
+
+    return pa.schema([(n, kind(t)) for n, t in (f.strip().split(" ", 1) for f in ddl.split(","))])
+
+
 def per_batch(schema: str, names: list[str], fn: Callable[[pa.RecordBatch], dict[str, list]], max_bytes: int = 4 << 20):
     """A ``mapInArrow`` function: ``fn`` gets a bounded batch and returns the new columns.
 
     ``names`` are the input columns passed through unchanged, before the new ones.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out_schema = to_arrow_schema(_parse_datatype_string(schema))
+    out_schema = arrow_schema(schema)
 
     def run(batches):
         for batch in pieces(batches, "text", max_bytes):

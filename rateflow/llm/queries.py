@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from rateflow.llm.dac import op4_direct_codes
+from rateflow.llm.packing import op9_cutting_stock
+from rateflow.llm.simhash import op7_simhash_bk
 
 QUERIES = {
     "op4_direct_codes": op4_direct_codes,
+    "op7_simhash_bk": op7_simhash_bk,
+    "op9_cutting_stock": op9_cutting_stock,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
