@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from rateflow.llm.brown import op10_brown_classes
 from rateflow.llm.dac import op4_direct_codes
+from rateflow.llm.langcnn import op6_byte_cnn
 from rateflow.llm.packing import op9_cutting_stock
+from rateflow.llm.pu_quality import op2_pu_quality
 from rateflow.llm.simhash import op7_simhash_bk
 
 QUERIES = {
+    "op2_pu_quality": op2_pu_quality,
     "op4_direct_codes": op4_direct_codes,
+    "op6_byte_cnn": op6_byte_cnn,
     "op7_simhash_bk": op7_simhash_bk,
     "op9_cutting_stock": op9_cutting_stock,
+    "op10_brown_classes": op10_brown_classes,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
