@@ -6,11 +6,13 @@ from rateflow.llm.brown import op10_brown_classes
 from rateflow.llm.dac import op4_direct_codes
 from rateflow.llm.langcnn import op6_byte_cnn
 from rateflow.llm.packing import op9_cutting_stock
+from rateflow.llm.pii import op3_feistel_pii
 from rateflow.llm.pu_quality import op2_pu_quality
 from rateflow.llm.simhash import op7_simhash_bk
 
 QUERIES = {
     "op2_pu_quality": op2_pu_quality,
+    "op3_feistel_pii": op3_feistel_pii,
     "op4_direct_codes": op4_direct_codes,
     "op6_byte_cnn": op6_byte_cnn,
     "op7_simhash_bk": op7_simhash_bk,
