@@ -10,9 +10,11 @@ from rateflow.llm.packing import op9_cutting_stock
 from rateflow.llm.pii import op3_feistel_pii
 from rateflow.llm.pu_quality import op2_pu_quality
 from rateflow.llm.simhash import op7_simhash_bk
+from rateflow.llm.spotsigs import op1_spotsigs
 from rateflow.llm.templates import op5_template_leaks
 
 QUERIES = {
+    "op1_spotsigs": op1_spotsigs,
     "op2_pu_quality": op2_pu_quality,
     "op3_feistel_pii": op3_feistel_pii,
     "op4_direct_codes": op4_direct_codes,
