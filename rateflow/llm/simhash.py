@@ -43,37 +43,41 @@ def fingerprint(text: bytes, shingle: int) -> int:
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+FINGERPRINTS = "doc_id BIGINT, text_hash BIGINT, fp BIGINT"
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp) with the 64 bits as a signed BIGINT; null text is empty (fingerprint 0)."""
+    """(doc_id, text_hash, fp) with the 64 bits as a signed BIGINT; null text is empty (fp 0)."""
 
     def run(batches):
         def one(batch):
             fps = np.array([fingerprint(t, shingle) for t in common.utf8(batch, "text")], dtype=np.uint64)
             return {"fp": fps.view(np.int64)}
 
-        yield from common.per_batch("doc_id BIGINT, fp BIGINT", ["doc_id"], one)(batches)
+        yield from common.per_batch(FINGERPRINTS, ["doc_id", "text_hash"], one)(batches)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id BIGINT, fp BIGINT")
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return d.mapInArrow(run, FINGERPRINTS)
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit values, built and searched level by level.
+    """BK-trees over distinct 64-bit values, one for each shard, built and searched level by level.
 
-    Node 0 is the root. Children of a node stand together, ordered by their edge (the distance to
-    the node), so the edges within a radius are one slice.
+    ``shard`` numbers the shards 0, 1, ... of values that stand shard by shard (default: one shard).
+    Node k is the root of shard k. Children of a node stand together, ordered by their edge (the
+    distance to the node), so the edges within a radius are one slice.
     """
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, shard: np.ndarray | None = None):
         values = np.asarray(values, dtype=np.uint64)
-        self.order, self.first, self.last, self.edge = [], [], [], []
-        if not len(values):
-            self.values = values
-            return
+        shard = np.zeros(len(values), dtype=np.int64) if shard is None else shard
         # groups of values below one node; the first of each group becomes the node
-        member, group = np.arange(1, len(values)), np.zeros(len(values) - 1, dtype=np.int64)
-        nodes, edges, parents = [np.array([0])], [np.array([0])], [np.array([-1])]
-        count, heads = 1, np.array([0])
-        base = 0
+        roots = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(values)])
+        keep = np.ones(len(values), dtype=bool)
+        keep[roots] = False
+        member, group, heads = np.flatnonzero(keep), shard[keep], roots
+        nodes, edges, parents = [roots], [np.zeros(len(roots), dtype=np.int64)], [np.full(len(roots), -1)]
+        base, count = 0, len(roots)
         while len(member):
             d = np.bitwise_count(values[member] ^ values[heads[group]]).astype(np.int64)
             key = group * 65 + d
@@ -95,8 +99,8 @@ class BKTree:
         parent = np.concatenate(parents)
         self.slots = parent * 65 + self.edge  # ascending: nodes stand in order of (parent, edge)
 
-    def near(self, queries: np.ndarray, radius: int, pairs: int = 1 << 21):
-        """Yield (query index, value index) arrays of pairs within ``radius``.
+    def near(self, queries: np.ndarray, radius: int, shard: np.ndarray | None = None, pairs: int = 1 << 21):
+        """Yield (query index, value index) arrays of pairs within ``radius`` in the queries' shards.
 
         The frontier is split so that about ``pairs`` node visits are held at a time.
         """
@@ -104,7 +108,8 @@ class BKTree:
         if not len(self.values) or not len(queries):
             return
         step = max(1, pairs // 64)
-        work = [(np.arange(a, min(a + step, len(queries))), np.zeros(min(step, len(queries) - a), dtype=np.int64)) for a in range(0, len(queries), step)]
+        root = np.zeros(len(queries), dtype=np.int64) if shard is None else shard
+        work = [(np.arange(a, min(a + step, len(queries))), root[a : a + step]) for a in range(0, len(queries), step)]
         while work:
             q, n = work.pop()
             d = np.bitwise_count(queries[q] ^ self.values[n]).astype(np.int64)
@@ -127,12 +132,10 @@ class BKTree:
                     a = b
 
 
-def components(values: np.ndarray, radius: int) -> np.ndarray:
-    """For each distinct value, the index of the smallest index reachable by close pairs."""
-    n = len(values)
-    label = np.arange(n)
-    tree = BKTree(values)
-    for q, v in tree.near(values, radius):
+def components(values: np.ndarray, radius: int, shard: np.ndarray | None = None) -> np.ndarray:
+    """For each value, the smallest index reachable by close pairs inside its shard."""
+    label = np.arange(len(values))
+    for q, v in BKTree(values, shard).near(values, radius, shard):
         a, b = label[q], label[v]
         while True:
             a, b = label[a], label[b]
@@ -173,31 +176,26 @@ def shard_links(unique: DataFrame, radius: int, blocks: int, split: int) -> Data
     schema = pa.schema([("fp", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
-        held, last = [], None
+        columns = ["choice", "key", "a", "b", "fp"]
 
-        def solve(values):
-            fps = np.concatenate(values)
-            label = components(fps.view(np.uint64), radius)
+        def solve(rows):
+            change = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in columns[:-1]])
+            shard = np.cumsum(np.r_[0, change])
+            fps = rows["fp"]
+            label = components(fps.view(np.uint64), radius, shard)
             moved = np.flatnonzero(label != np.arange(len(fps)))
             return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[label[moved]])], schema=schema)
 
-        out = []
+        held = {c: np.empty(0, dtype=np.int64) for c in columns}
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "key", "a", "b")]
-            fps = batch.column("fp").to_numpy(zero_copy_only=False)
-            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-            bounds = np.r_[0, new, len(fps)].tolist()
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                group = tuple(c[s] for c in cols)
-                if held and group != last:
-                    out.append(solve(held))
-                    held = []
-                held.append(fps[s:e])
-                last = group
-            if sum(o.num_rows for o in out):
-                yield pa.Table.from_batches(out, schema).combine_chunks().to_batches()[0]
-            out = []
-        if held:
+            held = {c: np.concatenate([held[c], batch.column(c).to_numpy(zero_copy_only=False)]) for c in columns}
+            # the last shard may go on in the next batch
+            same = np.logical_and.reduce([held[c] == held[c][-1] for c in columns[:-1]])
+            whole = len(same) - int(same.sum())
+            if whole:
+                yield solve({c: v[:whole] for c, v in held.items()})
+                held = {c: v[whole:] for c, v in held.items()}
+        if len(held["fp"]):
             yield solve(held)
 
     return spread.mapInArrow(run, "fp BIGINT, other BIGINT").distinct()
@@ -227,12 +225,13 @@ def connected(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int, blocks: int | None = None, split: int = 20_000) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, text_hash, fp, root, component_id) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over fingerprints that differ in at most
     ``radius`` bits (itself included). Null text is empty; a null doc_id takes part, but names a
     component only if no other id does. Repeated rows are kept. ``blocks`` (default radius + 2)
-    sets the shards: more blocks, more but smaller shards.
+    sets the shards: more blocks, more but smaller shards. ``root`` is the component's smallest
+    fingerprint.
     """
     held = common.stored(fingerprints(docs, shingle), "simhash")
     unique = common.stored(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-unique")
@@ -240,8 +239,22 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, blocks: int | No
     roots = common.stored(connected(links), "simhash-roots")
     least = unique.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = least.join(named, "root").select("fp", "component_id")
-    return held.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = least.join(named, "root").select("fp", "root", "component_id")
+    return held.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with its own columns.
+
+    The row of the smallest doc_id stays (a null id only if the group has no other; of several rows
+    of that id, the one of the smallest text hash, once). Rows are found again by id and text hash.
+    """
+    near = near_duplicates(docs, shingle, radius)
+    one = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")).alias("first"))
+    chosen = one.select(F.col("first.doc_id").alias("chosen_id"), F.col("first.text_hash").alias("chosen_hash"))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = kept.join(chosen, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("chosen_id")) & (F.xxhash64("row.text") == F.col("chosen_hash")))
+    return found.groupBy("chosen_id", "chosen_hash").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op7_simhash_bk(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,238 @@
+"""Fingerprints, near-duplicates, leaks and pseudonyms against brute force."""
+
+import datetime
+import hashlib
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from rateflow.llm import pii, simhash, spotsigs, templates
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    return {r[0]: r[1] or "" for r in rows}
+
+
+def brute_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps, radius):
+    ids = list(fps)
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    values = np.array([fps[i] for i in ids], dtype=np.uint64)
+    for i in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= radius).tolist():
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return {ids[i]: min(ids[j] for j in range(len(ids)) if find(j) == find(i)) if find(i) != i else ids[i] for i in range(len(ids))}
+
+
+def test_simhash_query(spark, docs):
+    got = {r["doc_id"]: r for r in simhash.op7_simhash_bk(spark, SF).collect()}
+    fps = {d: brute_simhash(t) for d, t in docs.items()}
+    assert {d: r["fingerprint"] for d, r in got.items()} == {d: f"{f:016x}" for d, f in fps.items()}
+    assert {d: r["component_id"] for d, r in got.items()} == brute_components(fps, 4)
+
+
+def test_tree_finds_every_pair_within_the_radius():
+    rng = np.random.default_rng(0)
+    v = rng.integers(0, 2**63, 800, dtype=np.uint64)
+    for k in range(300):
+        v[799 - k] = v[k] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))
+    v = np.unique(v)
+    near = np.bitwise_count(v[:, None] ^ v[None, :])
+    for radius in (0, 1, 4, 9):
+        got = set()
+        for q, i in simhash.BKTree(v).near(v, radius, pairs=500):
+            got |= set(zip(q.tolist(), i.tolist(), strict=True))
+        assert got == set(zip(*map(list, np.nonzero(near <= radius)), strict=True))
+    assert list(simhash.BKTree(v[:0]).near(v, 4)) == []
+
+
+@pytest.mark.parametrize("split", [10, 20_000])
+def test_chains_and_divided_shards(spark, split):
+    # a chain in which neighbours differ in 4 bits, and a dense cluster in one shard
+    rng = np.random.default_rng(2)
+    chain = [0]
+    for k in range(12):
+        chain.append(chain[-1] ^ (0b1111 << (4 * k)))
+    cluster = {int(rng.integers(1 << 62)) ^ 0}
+    base = next(iter(cluster))
+    cluster |= {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (60, 2))}
+    fps = {i: f for i, f in enumerate([*chain, *sorted(cluster)])}
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in set(fps.values())]
+    unique = spark.createDataFrame(signed, "fp BIGINT")
+    roots = {r["fp"]: r["root"] for r in simhash.connected(simhash.shard_links(unique, 4, 6, split)).collect()}
+    want = brute_components(fps, 4)
+    groups, mine = {}, {}
+    for i, f in fps.items():
+        s = f - (1 << 64) if f >> 63 else f
+        groups.setdefault(want[i], set()).add(s)
+        mine.setdefault(roots.get(s, s), set()).add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_keep_one_keeps_a_row_of_each_group(spark):
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(3, long, "x"), (1, long + " tail", "y"), (3, long, "x"), (7, "different text here", "z"), (7, "another one entirely", "w"), (None, "no id at all", "n"), (8, None, "e"), (9, "", "e2")]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, fp STRING")
+    got = sorted(map(tuple, simhash.keep_one(df, 4, 4).collect()), key=str)
+    assert got == sorted([(1, long + " tail", "y"), (7, "different text here", "z"), (7, "another one entirely", "w"), (None, "no id at all", "n"), (8, None, "e")], key=str)
+
+
+def test_spotsigs_query(spark, docs):
+    got = {r["doc_id"]: r for r in spotsigs.op1_spotsigs(spark, SF).collect()}
+    order = list(docs)
+    assert set(got) == set(order)
+    sets = {d: set(spotsigs.signatures(t.encode()).tolist()) for d, t in docs.items()}
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+    for i, d in enumerate(order):
+        text, after = docs[d], order[(i + 1) % len(order)]
+        k = len(text) // 2
+        new = text[: len(text) - k] + docs[after][:k]
+        r = got[d]
+        edited = set(spotsigs.signatures(new.encode()).tolist())
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert abs(r["near_edited"] - jaccard(sets[d], edited)) < 1e-12
+        assert abs(r["near_next"] - jaccard(sets[d], sets[after])) < 1e-12
+        assert r["fingerprint"] == "".join(f"{s:08x}" for s in sorted(sets[d]))
+
+
+def test_signatures_follow_the_anchors():
+    a = spotsigs.signatures(b"The fox ran to the old house quickly today")
+    assert len(a) == 3  # the, to, the
+    assert a.tolist() == spotsigs.signatures(b"the FOX ran, to the old house quickly today!").tolist()
+    assert len(spotsigs.signatures(b"")) == 0 and len(spotsigs.signatures(b"fox house")) == 1
+    assert len(spotsigs.signatures(b"the")) == 1
+
+
+def test_near_texts(spark, docs):
+    membership, links = spotsigs.near_texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    sets = {d: frozenset(spotsigs.signatures(t.encode()).tolist()) for d, t in docs.items()}
+    least = {}
+    for d, s in sets.items():
+        least.setdefault(s, d)
+    assert dict(membership.collect()) == {d: least[s] for d, s in sets.items()}
+    kinds = [(d, s) for s, d in least.items() if s]
+    want = {frozenset((a, b)) for i, (a, x) in enumerate(kinds) for b, y in kinds[:i] if len(x & y) >= 0.8 * len(x | y)}
+    assert {frozenset((r["class_a"], r["class_b"])) for r in links.collect()} == want
+
+
+def test_leaks_query(spark, docs):
+    got = {(r["doc_id"], r["item_id"]) for r in templates.op5_template_leaks(spark, SF).collect()}
+
+    def bare(s):
+        return " ".join(re.findall(r"\w+", s.lower()))
+
+    items = [(r[0], bare(r[1])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    held = {d: bare(t) for d, t in docs.items()}
+    assert got == {(d, i) for d, t in held.items() for i, q in items if q in t}
+
+
+QUESTION = "A train leaves Paris at 9 and travels 120 km to Lyon in 3 hours. How fast does the train from Paris go if Lyon is 120 km away?"
+
+
+@pytest.mark.parametrize("text, held", [
+    ("Before it. " + QUESTION + " And after.", True),
+    (QUESTION.replace("Paris", "Berlin").replace("Lyon", "Hamburg").replace("120", "200").replace("9", "7"), True),
+    (QUESTION.replace("from Paris", "from Rome").replace("if Lyon", "if Madrid").replace("is 120", "is 77").replace("Paris", "Oslo"), False),
+    (QUESTION.lower().replace("fast", "slow"), True),
+    ("A train leaves at noon. Paris is far away from Lyon and it costs 120 dollars.", False),
+    (QUESTION[:60], False),
+])
+def test_reparameterised_questions(text, held):
+    index = templates.Index([(5, QUESTION), (6, "Two short words")], 5)
+    assert [m[0] for m in index.matches(templates.Sequence(templates.Words().codes(text)), 0.8, 30, 0.8)] == [5] * held
+
+
+def test_short_items_and_blocks(spark):
+    docs = spark.createDataFrame([(1, "xx two short words yy", "q"), (2, "two short", "q"), (3, None, "q"), (4, QUESTION, "q")], "doc_id BIGINT, text STRING, items STRING")
+    bench = spark.createDataFrame([(6, "Two short words"), (7, QUESTION), (8, None), (9, ""), (7, QUESTION)], "item_id BIGINT, text STRING")
+    for chars in (1 << 20, 20):
+        found = {r["row"]["doc_id"]: sorted(r["items"]) for r in templates.found_items(docs, bench, block_chars=chars).collect()}
+        assert found == {1: [6], 2: [], 3: [], 4: [7, 7]}
+    assert {r["doc_id"] for r in templates.clean(docs, bench).collect()} == {2, 3}
+    assert templates.clean(docs, bench).columns == docs.columns
+
+
+def luhn(digits):
+    d = [int(c) for c in digits[::-1]]
+    return sum(d[0::2] + [sum(divmod(2 * x, 10)) for x in d[1::2]]) % 10 == 0
+
+
+def masked(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    return [r[1] for r in pii.mask(df).orderBy("doc_id").select("doc_id", "text").collect()]
+
+
+def test_pseudonyms_keep_their_format(spark):
+    cards = ["4532015112830366", "5425233430109903", "4532-0151-1283-0366", "6011 0009 9013 9424"]
+    dates = ["1987-06-05", "2000-02-29", "31.12.1999", "05/06/1987", "12/31/1999", "1899-01-01"]
+    out = masked(spark, [f"a {x} b" for x in cards + dates] + ["ip 233.254.104.120!", "GB82 WEST 1234 5698 7654 32", "+1 (017) 555-7713", "Ab.Cd9@mail.example.com"])
+    got = [t[2:-2] for t in out[: len(cards) + len(dates)]]
+    for a, b in zip(cards, got, strict=False):
+        assert a != b and luhn(re.sub(r"\D", "", b)) and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b)
+    assert re.sub(r"\D", "", got[0]) == re.sub(r"\D", "", got[2])
+    for a, b, f in zip(dates, got[len(cards) :], ["%Y-%m-%d", "%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d"], strict=True):
+        day = datetime.datetime.strptime(b, f)
+        assert a != b and (datetime.datetime.strptime(a, f).year - 1950) // 100 == (day.year - 1950) // 100
+    same = [datetime.datetime.strptime(got[len(cards)], "%Y-%m-%d"), datetime.datetime.strptime(got[len(cards) + 3], "%d/%m/%Y")]
+    assert same[0] == same[1]
+    ip, iban, phone, mail = out[-4:]
+    assert re.fullmatch(r"ip (\d{1,3}\.){3}\d{1,3}!", ip) and all(int(o) < 256 for o in re.findall(r"\d+", ip)) and "233.254" not in ip
+    bare = iban.replace(" ", "")
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", bare) and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and iban != "GB82 WEST 1234 5698 7654 32"
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phone) and phone != "+1 (017) 555-7713"
+    assert re.fullmatch(r"[A-Z][a-z]\.[A-Z][a-z]\d@mail\.example\.com", mail)
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = ["4532015112830367", "999.1.1.1", "v1.2.3", "2021-02-30", "GB00WEST12345698765432", "Version 2.0, 1234", "", None, "no data", "x" * 100_000, "0000000000000000"]
+    assert masked(spark, texts) == texts
+
+
+def test_permutation_is_one_to_one(spark):
+    df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
+    assert df.select(pii.permute(F.col("s"), "k", "t").alias("p")).distinct().count() == 10_000
+    days = spark.range(36_525).select(F.date_format(F.date_add(F.to_date(F.lit("1950-01-01")), F.col("id").cast("int")), "yyyy-MM-dd").alias("s"))
+    moved = days.select(pii._date(F.col("s"), "k").alias("p")).distinct()
+    assert moved.count() == 36_525 and moved.where("p < '1950' OR p >= '2050'").count() == 0
+
+
+def test_pseudonyms_leave_no_planted_value(spark, docs):
+    out = dict(pii.op3_feistel_pii(spark, SF).collect())
+    kinds = [r"(?<!\d)\d{16}(?!\d)", r"[A-Za-z]+\.\d+@[\w.]+\w", r"\+1 \(\d{3}\) 555-\d{4}", r"(?:\d{1,3}\.){3}\d{1,3}", r"(?i)password=\w+", r'"[0-9a-fA-F]{40}"', r"AKIA[A-Z0-9]{16}"]
+    mapping = {}
+    for d, text in docs.items():
+        changed = out[d] or ""
+        hits = [m[0] for k in kinds for m in re.finditer(k, text) if len(m[0]) != 16 or luhn(m[0])]
+        for value in hits:
+            assert value not in changed
+        if not hits:
+            assert changed == text
+        for a, b in zip(re.findall(kinds[0], text), re.findall(kinds[0], changed), strict=True):
+            assert mapping.setdefault(a, b) == b
+    plan = pii.op3_feistel_pii(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
