@@ -7,6 +7,7 @@ user can pass their own; ``*_frame`` turns them into DataFrames (``dim_*`` of FI
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values (must equal the reference for equal results).
 # H1: canonical rate-table fields and the header aliases of each, in priority order.
@@ -41,9 +42,6 @@ STOPWORDS: list[str] = ["охрана"]
 NAME, RATE, ENTRY = "наименование", "ставка", "вход"
 CANONICAL_FIELDS = (NAME, RATE, ENTRY)
 
-# Largest user dictionary folded into an expression; larger ones are refused, not truncated.
-MAX_DICTIONARY_ROWS = 10_000
-
 
 def alias_map(field_aliases: dict[str, list[str]] = FIELD_ALIASES) -> dict[str, str]:
     """H2: lower-cased alias -> canonical field."""
@@ -68,14 +66,13 @@ def stopword_frame(spark: SparkSession, words=STOPWORDS) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word STRING")
 
 
-def keywords_from_frame(dim: DataFrame, limit: int = MAX_DICTIONARY_ROWS) -> list[tuple[str, str]]:
-    """Read a user keyword table ``(keyword, service, prio)`` after checking its size.
+def keyword_row(dim: DataFrame) -> DataFrame:
+    """A user keyword table ``(keyword, service, prio)`` as one row: ``keywords`` in priority order.
 
-    A dictionary is configuration: it is folded into one expression, so its size is bounded
-    before it is read; an over-size table raises instead of being cut.
+    One Spark aggregate: nothing is collected to the driver and no number of rows is refused. Null
+    and empty keywords are left out; an empty table gives an empty array.
     """
-    head = dim.select("keyword", "service", "prio").limit(limit + 1).collect()
-    if len(head) > limit:
-        raise ValueError(f"keyword dictionary has more than {limit} rows")
-    head.sort(key=lambda r: (r["prio"], r["keyword"]))
-    return [(r["keyword"], r["service"]) for r in head]
+    rows = dim.where("keyword IS NOT NULL AND keyword <> ''").select(
+        F.struct(F.col("prio"), F.lower("keyword").alias("keyword"), F.col("service")).alias("k")
+    )
+    return rows.agg(F.sort_array(F.collect_list("k")).alias("keywords"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateflow import dims
@@ -85,6 +85,19 @@ def service_name(c, keywords: Sequence[tuple[str, str]] = dims.SERVICE_KEYWORDS,
     return F.when(c.isNotNull(), expr)
 
 
+def with_services(df: DataFrame, name_col: str, dim: DataFrame, out: str = "name") -> DataFrame:
+    """E6 with a dictionary table: adds the service of the keyword of lowest priority number that
+    the lower-cased text contains, else ''; null text -> null.
+
+    The dictionary is joined as one row (``dims.keyword_row``), so every text meets it once and no
+    pair of a text and a keyword becomes a row.
+    """
+    low = F.lower(F.col(name_col))
+    first = F.get(F.filter("keywords", lambda k: F.contains(low, k["keyword"])), F.lit(0))["service"]
+    found = F.when(low.isNotNull(), F.coalesce(first, F.lit("")))
+    return df.join(F.broadcast(dims.keyword_row(dim))).withColumn(out, found).drop("keywords")
+
+
 def stopword_pattern(words: Sequence[str] = dims.STOPWORDS, literal: bool = False) -> str:
     """Stop-words joined into one case-insensitive pattern (as regex, like the source)."""
     parts = [r"\Q" + w + r"\E" for w in words] if literal else list(words)
@@ -112,29 +125,71 @@ def source_stem(path) -> Column:
     return F.regexp_extract(_col(path), r"([^/\\]+?)(\.[^./\\]*)?$", 1)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _shorter(d: Column) -> Column:
+    """Digits and exponent with one digit less where that is still the same double.
+
+    Java 17 prints some doubles with a digit or two too many; Python's ``repr`` never does.
+    """
+    n = F.length(d["digits"])
+    cut = F.substring(d["digits"], F.lit(1), n - 1)
+    up = (cut.try_cast("decimal(20,0)") + 1).cast("string")
+    first, second = F.when(F.right(d["digits"], F.lit(1)) < "5", cut).otherwise(up), F.when(F.right(d["digits"], F.lit(1)) < "5", up).otherwise(cut)
+
+    def same(digits: Column) -> Column:
+        return F.concat(digits, F.lit("E"), (d["e"] - n + 2).cast("string")).try_cast("double") == d["value"]
+
+    def kept(digits: Column) -> Column:
+        return F.struct(
+            F.rtrim(digits, F.lit("0")).alias("digits"), (d["e"] + F.length(digits) - n + 1).cast("int").alias("e"), d["value"].alias("value")
+        )
+
+    long = (n >= 16) | ((n > 1) & (d["value"] < 1e-300))
+    return F.when(long & same(first), kept(first)).when(long & same(second), kept(second)).otherwise(d)
+
+
+def _from_digits(d: Column) -> Column:
+    """Python ``repr`` of a positive number from its significant digits and decimal exponent."""
+    digits, e = d["digits"], d["e"]
+    n = F.length(digits)
+    sci = F.concat(
+        F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit("")),
+        F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"),
+    )
+    whole = F.concat(digits, F.repeat(F.lit("0"), e - n + 1), F.lit(".0"))
+    mixed = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    return F.when((e < -4) | (e >= 16), sci).when(e >= n - 1, whole).when(e >= 0, mixed).otherwise(small)
+
+
 def render_number(c) -> Column:
     """A double as pandas writes it in CSV (Python ``repr``): ``1234.5``, ``35.0``,
     ``10000000.0``, ``1e+16``, ``1.5e-07``; null -> null.
 
-    Positional for 1e-4 <= |x| < 1e16 (exact up to 10 decimals), exponent form outside, built
-    from Java's ``1.5E-7`` form of the cast; Spark's own cast alone would print ``1.0E7``.
+    All digits of the double are kept: the text is built from the digits and the exponent of the
+    cast (``1.5E-7``), positional for 1e-4 <= |x| < 1e16. Plain short casts are already right.
     """
     c = _col(c)
-    s = c.try_cast("decimal(38,10)").cast("string")
-    s = F.regexp_replace(s, r"(\.\d*?)0+$", "$1")
-    s = F.regexp_replace(s, r"\.$", ".0")
-    java = c.cast("string")  # e.g. 1.0E16, 1.5E-7
-    mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
-    sci = F.concat(
-        mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exp).cast("string"), 2, "0"),
-    )
     a = F.abs(c)
+    java = a.cast("string")
+    mantissa = F.regexp_extract(java, r"^([0-9.]+)", 1)
+    power = F.coalesce(F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    before = F.length(F.substring_index(mantissa, ".", 1))
+    every = F.replace(mantissa, F.lit("."), F.lit(""))
+    leading = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
+    parts = F.struct(
+        F.btrim(every, F.lit("0")).alias("digits"), (before - 1 - leading + power).cast("int").alias("e"), a.alias("value")
+    )
+    text = _let(_let(_let(parts, _shorter), _shorter), _from_digits)  # Java may print 18 digits
+    plain = (a >= 1e-3) & (a < 1e7) & (F.length(java) < 17)
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
         .when(c.isNaN(), F.lit("nan"))
+        .when(plain | (a == 0), c.cast("string"))
         .when(a == float("inf"), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((a >= 1e16) | ((a < 1e-4) & (a > 0)), F.when(java.contains("E"), sci).otherwise(java))
-        .otherwise(F.coalesce(s, java))
+        .otherwise(F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), text))
     )

@@ -174,7 +174,9 @@ class _TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self._note_wrapped(tag, attrs, True)
-        self._node(tag)
+        node = self._node(tag)
+        if node is not None and not self.depth:  # a self-closed top-level table ends at its own tag
+            node.end = node.start + len(self.get_starttag_text() or "")
 
     def _pop(self, end: int) -> None:
         tag = self.tags.pop()

@@ -198,16 +198,14 @@ def normalise(
 ) -> DataFrame:
     """F1 on rows: D3 -> E3 (rate) -> E5 (entry) -> E6 (service) -> D4. Narrow, no shuffle."""
     kept = candidates.where(tx.keeps_row("name_raw", stopwords))
-    out = (
-        kept.withColumn("name", tx.service_name("name_raw", keywords))
-        .withColumn("rate", tx.first_number("rate_raw"))
-        .withColumn("entry", tx.entry_number("entry_raw"))
-        .where(F.col("name") != "")
-    )
     extra = [c for c in candidates.columns if c not in ("name_raw", "rate_raw", "entry_raw", "message_failed")]
     head = [c for c in extra if c not in ("col_order",)]
     tail = ["col_order"] if "col_order" in extra else []
-    return out.select(*head, "name", "rate", "entry", *tail)
+    row = F.struct(*head, tx.service_name("name_raw", keywords).alias("name"), "rate_raw", "entry_raw", *tail)
+    # a filter inside the generator reads the mapped name; a plain filter would be pushed below
+    # the projection with the whole keyword chain inlined and evaluated twice
+    named = kept.select(F.inline(F.filter(F.array(row), lambda r: r["name"] != "")))
+    return named.select(*head, "name", tx.first_number("rate_raw").alias("rate"), tx.entry_number("entry_raw").alias("entry"), *tail)
 
 
 def row_failed(candidates: DataFrame, stopwords: Sequence[str] = dims.STOPWORDS) -> Column:

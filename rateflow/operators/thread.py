@@ -21,11 +21,9 @@ REPLY_HEADER_RU = r"(?:.*отправлено:.*$\s)(?:.*кому:.*$\s)(?:.*к
 # Java flags: i+U = Unicode case folding and classes, m = per-line anchors, d = only '\n'
 # ends a line (so '.' also takes '\r', as Python's '.' does on CRLF text).
 _FLAGS = "(?imdU)"
-# Anchored form for the newest part: a leftmost match always starts at a line start, and the
-# anchor avoids retrying '.*' at every character of long minified lines.
-NEWEST_SPLIT = _FLAGS + "^(?:" + REPLY_HEADER_EN + "|" + REPLY_HEADER_RU + ")"
-# Unanchored form for the full list of parts (a later match may start mid-line).
-PARTS_SPLIT = _FLAGS + "(?:" + REPLY_HEADER_EN + "|" + REPLY_HEADER_RU + ")"
+# Anchored: every alternative ends at a line end, so a match always starts at a line start, and
+# the anchor avoids retrying '.*' at every character of long minified lines.
+REPLY_SPLIT = _FLAGS + "^(?:" + REPLY_HEADER_EN + "|" + REPLY_HEADER_RU + ")"
 
 MARK = "\u0001"
 
@@ -63,12 +61,12 @@ def restore_html(segments: Column) -> Column:
 
 def thread_parts(masked: Column) -> Column:
     """C4: all parts of the thread split at quoted-reply headers."""
-    return F.split(masked, PARTS_SPLIT)
+    return F.split(masked, REPLY_SPLIT)
 
 
 def newest_part(masked: Column) -> Column:
     """The newest message = text before the first quoted-reply header."""
-    return F.element_at(F.split(masked, NEWEST_SPLIT, 2), 1)
+    return F.element_at(F.split(masked, REPLY_SPLIT, 2), 1)
 
 
 def count_placeholders(text: Column) -> Column:

@@ -133,6 +133,27 @@ GROUP BY t.message_id, t.table_idx
 """
 
 
+def table_xml_sql() -> str:
+    def field(name, value):
+        return (
+            f"CASE WHEN {value} IS NULL THEN '    <{name}/>' ELSE '    <{name}>' || CAST({value} AS VARCHAR) || '</{name}>' END"
+        )
+
+    name, rate, entry = field("наименование", "e.name"), field("ставка", "e.rate"), field("вход", "e.entry")
+    plain, moved = f" || {NL} || ".join([name, rate, entry]), f" || {NL} || ".join([rate, entry, name])
+    return f"""
+WITH e AS ({EXP}),
+t AS (SELECT DISTINCT message_id, table_idx FROM ({GEN}) g),
+rl AS (SELECT e.message_id, e.table_idx, e.row_idx,
+         '  <row>' || {NL} || CASE WHEN e.message_id % 3 = 2 THEN {moved} ELSE {plain} END || {NL} || '  </row>' || {NL} AS x FROM e)
+SELECT t.message_id, t.table_idx,
+  '<?xml version=''1.0'' encoding=''utf-8''?>' || {NL} ||
+  coalesce('<data>' || {NL} || string_agg(rl.x, '' ORDER BY rl.row_idx) || '</data>', '<data/>') || {NL} AS xml
+FROM t LEFT JOIN rl ON rl.message_id = t.message_id AND rl.table_idx = t.table_idx
+GROUP BY t.message_id, t.table_idx
+"""
+
+
 def table_cells_sql() -> str:
     """Cells of all top-level tables of the synthetic html, from the integers."""
     nb = synth.NBSP
@@ -288,4 +309,42 @@ FROM orders o JOIN h ON h.message_id = o.o_orderkey""",
         "stream_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0",
     }
     sql["all_or_nothing_exploded"] = sql["all_or_nothing"]
+    from rateflow.plans.queries import NUMBER_POWERS
+
+    powers = ", ".join(f"CAST({p!r} AS DOUBLE)" for p in NUMBER_POWERS)
+    n_rows = f"(SELECT message_id, count(*) AS n FROM ({EXP}) e GROUP BY message_id)"
+    bad = "o_orderkey % 13 = 5"
+    sql |= {
+        "after_last_equal": (
+            "SELECT message_id, row_idx, CASE WHEN contains(entry_raw, '=') "
+            f"THEN '=' || list_extract(string_split(entry_raw, '='), -1) END AS formula FROM ({GEN}) g"
+        ),
+        "source_stem": (
+            "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 3 = 2 THEN 'mail' "
+            "ELSE 'mail.' || CAST(o_orderkey AS VARCHAR) END AS stem FROM orders"
+        ),
+        "number_rendering": (
+            "SELECT o_orderkey AS message_id, CAST(CAST(o_orderkey AS DOUBLE) / CAST(7.0 AS DOUBLE) * "
+            f"list_extract([{powers}], CAST(o_orderkey % {len(NUMBER_POWERS)} + 1 AS INT)) AS VARCHAR) AS text FROM orders"
+        ),
+        "new_message_count": f"SELECT count(*) AS n_new FROM ({sql['unseen_messages']}) u",
+        "table_xml": table_xml_sql(),
+        "reply_no_tables": (
+            "SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 2 = 0 THEN 'a@example.com' END AS recipient, "
+            "'Автоответ от rates@example.com' AS subject, '' AS body_html, o_orderkey % 2 = 0 AS deliverable "
+            "FROM orders WHERE o_orderkey % 3 = 0"
+        ),
+        "quarantine": f"SELECT o_orderkey AS message_id, 'mime' AS stage FROM orders WHERE {bad}",
+        "batch_lifecycle": f"""
+SELECT o.o_orderkey AS message_id,
+  CASE WHEN {bad} AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_log,
+  CASE WHEN o_orderkey % 2 = 0 AND NOT {bad} THEN 'first' ELSE 'second' END AS run_id,
+  CASE WHEN {bad} THEN 'mime_error' WHEN o_orderkey % 11 = 0 THEN 'no_html' ELSE 'ok' END AS status,
+  CASE WHEN {bad} OR o_orderkey % 11 = 0 THEN 0 ELSE coalesce(r.n, 0) END AS n_rate_rows,
+  CASE WHEN {bad} OR o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS n_outbox,
+  CASE WHEN {bad} THEN 0 ELSE 1 END AS n_ledger,
+  CASE WHEN {bad} THEN CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_quarantine
+FROM orders o LEFT JOIN {n_rows} r ON r.message_id = o.o_orderkey""",
+        "html_table_function": sql["table_cells"],
+    }
     return sql

@@ -16,29 +16,26 @@ from rateflow import dims
 from rateflow.operators import rates
 from rateflow.operators.markup import parse_html
 from rateflow.operators.thread import cut_thread
+from rateflow.sources.messages import PARSE_FAILED
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over twice the cluster's cores when it would use at most a quarter of them.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows over ``partitions`` (default: twice the cluster's cores), at the caller's choice.
 
-    The markup pass costs CPU per message, so a few large input splits (one small file, one
-    unsplittable archive) would leave cores idle. Inputs with a fair number of partitions (the
-    normal case at scale) are left alone: reshuffling message bodies to gain a little
-    parallelism would cost more than it saves.
+    The MIME and markup passes cost CPU per message, so a few large input splits (one small
+    file, one unsplittable archive) leave cores idle: spread such input *before* the first Python
+    pass, while rows are raw. Inputs with a fair number of splits, the normal case at scale, need
+    none of it; nothing here decides that by itself, as asking for the number of splits may run
+    jobs. Round-robin, not by key: copies of one message (same key) may be a third of the input.
+    Spark sorts rows before a round-robin repartition, so a retried task gets the same rows.
     """
     if df.isStreaming:
         return df
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan as it is
-        return df
-    target = min_partitions or cores * 2
-    if current * 4 > cores or current >= target:
-        return df
-    # round-robin, not by key: copies of one message (same key) may be a third of the input.
-    # Spark sorts rows before a round-robin repartition, so a retried task gets the same rows.
-    return df.repartition(target)
+    if partitions is None:
+        from rateflow.session import cores
+
+        partitions = 2 * cores(df.sparkSession)
+    return df.repartition(partitions)
 
 
 def keep_where(df: DataFrame, condition, *cols) -> DataFrame:
@@ -69,7 +66,7 @@ def detect_rate_tables(
     (use ``parse_html`` directly for full-document views).
     ``th_as_td`` reads ``<th>`` cells like ``<td>`` (off by default, as in the source)."""
     parsed = parse_html(
-        spread(emails.select(key, html_col, *carry)),
+        emails.select(key, html_col, *carry),
         html_col,
         newest_only=True,
         th_as_td=th_as_td,
@@ -104,6 +101,8 @@ def extract_rates(
     ``row_idx`` counts the data rows of each table from 1; ``table_idx`` numbers the top-level
     tables of the newest message from 0.
     """
+    # only messages with a table start tag give rows: the others never cross to Python
+    emails = emails.where(F.col(html_col).rlike("(?i)<table"))
     detected = detect_rate_tables(emails, key, html_col, strict, field_aliases, stopwords)
     return rate_rows_from_detected(detected, key, keywords, stopwords, keep_col_order)
 
@@ -115,11 +114,20 @@ LOG_NOTHING_TO_EXPORT = "No rate tables were extracted."
 # End of fixed values.
 
 
-def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | None = None) -> DataFrame:
-    """One row per message: tables found, status and detail (no shuffle)."""
+def process_log(
+    detected: DataFrame, key: str = "message_id", batch_id: int | None = None, error_col: str | None = None
+) -> DataFrame:
+    """One row per message: tables found, status and detail (no shuffle).
+
+    ``error_col`` names a carried MIME error: a message whose bytes could not be parsed gets the
+    status ``mime_error``; other notes of that column do not change the status.
+    """
     n_tables = F.when(F.col("rate_tables").isNull(), F.lit(0)).otherwise(F.size("rate_tables"))
+    mime = F.col(error_col) if error_col else F.lit(None).cast("string")
+    unreadable = F.coalesce(mime.startswith(PARSE_FAILED), F.lit(False))
     status = (
-        F.when(F.col("parse_error").isNotNull(), F.lit("parse_error"))
+        F.when(unreadable, F.lit("mime_error"))
+        .when(F.col("parse_error").isNotNull(), F.lit("parse_error"))
         .when(~F.col("has_html"), F.lit("no_html"))
         .when(F.col("message_failed"), F.lit("error"))
         .when(n_tables == 0, F.lit("no_tables"))
@@ -127,7 +135,8 @@ def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | No
     )
     ok_line = F.replace(F.lit(LOG_OK), F.lit("{n}"), n_tables.cast("string"))
     detail = (
-        F.when(F.col("parse_error").isNotNull(), F.col("parse_error"))
+        F.when(unreadable, mime)
+        .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
         .when(~F.col("has_html"), F.lit(LOG_NOTHING_TO_EXPORT))
         .when(F.col("message_failed"), F.concat_ws("\n", F.lit(LOG_FAILED), F.lit(LOG_NOTHING_TO_EXPORT)))
         .when(n_tables == 0, F.concat_ws("\n", ok_line, F.lit(LOG_NOTHING_TO_EXPORT)))
@@ -143,9 +152,16 @@ def process_log(detected: DataFrame, key: str = "message_id", batch_id: int | No
     )
 
 
-def process_messages(raw: DataFrame, out_dir: str, account: str, batch_id: int = 0, key: str = "message_id") -> None:
+def process_messages(
+    raw: DataFrame, out_dir: str, account: str, run_id: str | None = None, key: str = "message_id"
+) -> str:
     """Batch run over raw messages (``key``, ``content``): the same per-batch writer as the
-    stream (rate rows, process log, ledger, outbox under ``out_dir``, keyed by ``batch_id``)."""
+    stream. Every call is a run of its own; pass the ``run_id`` it returned (or your own) to
+    repeat a run that failed. Returns the run id."""
+    import uuid
+
     from rateflow.streaming.stream import run_batch
 
-    run_batch(raw, batch_id, out_dir, account, key)
+    run_id = run_id or uuid.uuid4().hex
+    run_batch(raw, 0, out_dir, account, run_id, key)
+    return run_id

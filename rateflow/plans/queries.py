@@ -50,9 +50,8 @@ def q_service_map(spark, sf_dir):
 
 
 def q_service_map_dim(spark, sf_dir):
-    keywords = dims.keywords_from_frame(dims.service_keyword_frame(spark))
-    c = synth.candidate_rows(_orders(spark, sf_dir))
-    return c.select("message_id", "row_idx", tx.service_name("name_raw", keywords).alias("name"))
+    c = synth.candidate_rows(_orders(spark, sf_dir)).select("message_id", "row_idx", "name_raw")
+    return tx.with_services(c, "name_raw", dims.service_keyword_frame(spark)).drop("name_raw")
 
 
 def q_stopword_filter(spark, sf_dir):
@@ -70,8 +69,8 @@ def q_drop_unmapped(spark, sf_dir):
 _HEADERS = [
     ["Наименование", "Ставка", "Вход"],
     ["Наименование услуги", "ставка", "вход"],
-    [synth.NBSP + "ВХОД ", "наименование", "СТАВКА" + synth.NBSP],
-    ["Наименование", "ВХоД", "ставка", "1"],
+    ["\tСтавка", synth.NBSP + "Наименование услуги ", "ВхОд\n"],
+    ["ВХОД", "Примечание", "Ставка", "Наименование"],
     ["Услуги", "ВХОД", "ставка"],
     ["ставка", "ставка", "вход"],
     ["наименование", "наименование услуги", "ставка"],
@@ -242,7 +241,7 @@ def q_mime_project(spark, sf_dir):
 
 def q_mail_rates(spark, sf_dir):
     """Entry 1 lifecycle in batch: RFC 822 bytes -> emails -> rate rows (no html: no rows)."""
-    emails = messages.emails_from_raw(synth.mime_messages(_orders(spark, sf_dir)))
+    emails = messages.emails_from_raw(synth.mime_messages(_orders(spark, sf_dir)), want_text=False)
     return pipeline.extract_rates(emails)
 
 
@@ -303,6 +302,103 @@ def q_stream_rates(spark, sf_dir):
     return spark.read.parquet(out).select("message_id", "table_idx", "row_idx", "name", "rate", "entry")
 
 
+# ------------------------------------------------------- single operators and the lifecycle
+
+def q_after_last_equal(spark, sf_dir):
+    """E4 on the raw entry cells."""
+    c = synth.candidate_rows(_orders(spark, sf_dir))
+    return c.select("message_id", "row_idx", tx.after_last_equal("entry_raw").alias("formula"))
+
+
+def q_source_stem(spark, sf_dir):
+    """E8 on message paths derived from the order key (dots inside the name, no extension)."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("mail."), k.cast("string"), F.when(k % 3 == 0, F.lit(".eml")).when(k % 3 == 1, F.lit(".msg")).otherwise(F.lit("")))
+    path = F.concat(F.lit("/landing/box."), (k % 7).cast("string"), F.lit("/"), name)
+    return _orders(spark, sf_dir).select(k.alias("message_id"), tx.source_stem(path).alias("stem"))
+
+
+def q_number_rendering(spark, sf_dir):
+    """F5/G1 number text over magnitudes from 1e-300 to 1e300 and many decimals."""
+    k = F.col("o_orderkey").cast("double")
+    power = F.element_at(F.array(*[F.lit(p) for p in NUMBER_POWERS]), (F.col("o_orderkey") % len(NUMBER_POWERS) + 1).cast("int"))
+    values = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("message_id"), (k / 7.0 * power).alias("value"))
+    return values.select("message_id", tx.render_number("value").alias("text"))
+
+
+#: Factors of the numbers above.
+NUMBER_POWERS = [1.0, 1e-3, 1e-5, 1e-12, 1e-300, 1e5, 1e11, 1e16, 1e100, 1e295, -1.0, -1e-7]
+
+
+def q_new_message_count(spark, sf_dir):
+    """number of messages that no batch has processed."""
+    return q_unseen_messages(spark, sf_dir).agg(F.count("*").alias("n_new"))
+
+
+def q_table_xml(spark, sf_dir):
+    """G2 file content per accepted rate table (what ``write_table_xml_files`` writes)."""
+    d = pipeline.detect_rate_tables(_html(spark, sf_dir))
+    t = pipeline.keep_where(d, ~F.col("message_failed"), "message_id", "rate_tables")
+    t = t.select("message_id", F.explode("rate_tables").alias("t"))
+    xml = F.concat(F.array_join(render.table_xml_lines(F.col("t")), "\n"), F.lit("\n"))
+    return t.select("message_id", F.col("t.table_idx").alias("table_idx"), xml.alias("xml"))
+
+
+def q_reply_no_tables(spark, sf_dir):
+    """Html messages without tables still get a reply, with an empty body and a subject."""
+    o = _orders(spark, sf_dir)
+    k = F.col("o_orderkey")
+    html = F.when(k % 3 == 0, F.lit("<p>no tables</p>")).when(k % 3 == 1, F.lit(""))
+    emails = o.select(k.alias("message_id"), html.alias("html"), F.when(k % 2 == 0, F.lit("a@example.com")).alias("sender_address"))
+    d = pipeline.detect_rate_tables(emails, carry=["sender_address"])
+    return render.outbox(d, account="rates@example.com")
+
+
+def _with_unreadable(raw):
+    """Every 13th message becomes bytes that the parser refuses (nested far too deep)."""
+    deep = F.repeat(F.lit("Content-Type: message/rfc822\r\n\r\n"), 2000).cast("binary")
+    return raw.withColumn("content", F.when(F.col("message_id") % 13 == 5, deep).otherwise(F.col("content")))
+
+
+def q_quarantine(spark, sf_dir):
+    """Unreadable messages are set apart, the others go on."""
+    emails = messages.emails_from_raw(_with_unreadable(synth.mime_messages(_orders(spark, sf_dir))))
+    return messages.quarantine(emails).select("message_id", "stage")
+
+
+def q_batch_lifecycle(spark, sf_dir):
+    """Every output of two sweeps, the second with old and new mail.
+
+    The first sweep gets the even orders, the second all of them, some twice. Per message: its
+    rate rows, log status, replies, ledger rows and quarantine rows.
+    """
+    raw = _with_unreadable(synth.mime_messages(_orders(spark, sf_dir)))
+    out = scratch_dir(spark, "lifecycle")
+    pipeline.process_messages(raw.where("message_id % 2 = 0"), out, "rates@example.com", "first")
+    again = raw.unionByName(raw.where("message_id % 5 = 1"))
+    pipeline.process_messages(again, out, "rates@example.com", "second")
+
+    def count(table, name):
+        rows = spark.read.parquet(f"{out}/{table}").groupBy("message_id")
+        return rows.agg(F.count("*").alias(name), F.max("run_id").alias(f"{name}_run")).drop(*([] if name == "n_log" else [f"{name}_run"]))
+
+    logs = spark.read.parquet(f"{out}/process_log").groupBy("message_id").agg(
+        F.count("*").alias("n_log"), F.max("run_id").alias("run_id"), F.max("status").alias("status")
+    )
+    for table in ("rate_rows", "outbox", "ledger", "quarantine"):
+        logs = logs.join(count(table, f"n_{table}"), "message_id", "left")
+    return logs.na.fill(0)
+
+
+def q_html_table_function(spark, sf_dir):
+    """The SQL table function over message html, laterally joined."""
+    from rateflow.operators.markup import register_udtfs
+
+    register_udtfs(spark)
+    _html(spark, sf_dir).select("message_id", "html").createOrReplaceTempView("rateflow_html")
+    return spark.sql("SELECT message_id, c.table_idx, c.row_idx, c.col_idx, c.text FROM rateflow_html, LATERAL html_table_cells(html) c")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_rates": q_extract_rates,
     "normalised_rates": q_normalised_rates,
@@ -335,4 +431,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_roundtrip": q_csv_roundtrip,
     "xml_roundtrip": q_xml_roundtrip,
     "stream_rates": q_stream_rates,
+    "after_last_equal": q_after_last_equal,
+    "source_stem": q_source_stem,
+    "number_rendering": q_number_rendering,
+    "new_message_count": q_new_message_count,
+    "table_xml": q_table_xml,
+    "reply_no_tables": q_reply_no_tables,
+    "quarantine": q_quarantine,
+    "batch_lifecycle": q_batch_lifecycle,
+    "html_table_function": q_html_table_function,
 }

@@ -44,22 +44,29 @@ def _context(spark: SparkSession):
         return None
 
 
+def cores(spark: SparkSession) -> int:
+    """Task slots of the cluster; without a SparkContext, the session's shuffle partitions."""
+    sc = _context(spark)
+    return sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the shared folder on a cluster; it is only set here when
-    the session has none (local tests), and then points to a new folder under the system temp.
+    ``spark.checkpoint.dir`` names the shared folder on a cluster. A local session (one machine,
+    as in tests) without it gets a folder under the system temp; any other session must name one,
+    since executors would write to their own disks.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rateflow-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(base)
-    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-    return path
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 _SHIPPED: set[str] = set()

@@ -68,10 +68,12 @@ def write_rate_tables(
         ).save(path)
 
 
-def read_rate_tables(spark, path: str, fmt: str = "csv", key: str = "message_id") -> DataFrame:
-    """Read a ``dataset`` export back as typed ``rate_rows``."""
+def read_rate_tables(
+    spark, path: str, fmt: str = "csv", key: str = "message_id", key_type: str = "BIGINT"
+) -> DataFrame:
+    """Read a ``dataset`` export back as typed ``rate_rows`` (``key_type``: STRING for path keys)."""
     cols = (
-        f"`{key}` BIGINT, table_idx INT, row_idx INT, "
+        f"`{key}` {key_type}, table_idx INT, row_idx INT, "
         f"`{dims.NAME}` STRING, `{dims.RATE}` STRING, `{dims.ENTRY}` STRING"
     )
     if fmt == "csv":
@@ -88,38 +90,24 @@ def read_rate_tables(spark, path: str, fmt: str = "csv", key: str = "message_id"
     )
 
 
-def append_ledger(processed: DataFrame, ledger_path: str, batch_id: int, key: str = "message_id") -> None:
-    """Record processed messages (after the export, before any reply).
-
-    ``processed`` has one row per message (the detected frame), so no de-duplication shuffle."""
-    processed.select(key).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
-        "append"
-    ).parquet(ledger_path)
-
-
 def write_process_log(log: DataFrame, path: str, mode: str = "append") -> None:
     """The process log as a table, partitioned by batch."""
     log.write.mode(mode).partitionBy("batch_id").parquet(path)
 
 
-def write_table_csv_files(detected: DataFrame, path: str, key: str = "message_id", mode: str = "overwrite",
-                          keywords=dims.SERVICE_KEYWORDS, stopwords=dims.STOPWORDS) -> None:
-    """G1 with the source's file content: one folder per ``key/table_idx`` holding that table's
-    CSV in its own source column order (header line, rows, pandas number format).
+def _write_table_files(detected, path, key, mode, lines_of) -> None:
+    """One folder per ``key/table_idx`` with the lines that ``lines_of`` renders for its table.
 
     Lines are rendered inside the message row and exploded with their index; the write keeps
     that order (the required sort by folder is a prefix of it). Only accepted messages (F2)
     write files. Directory count grows with the number of tables: meant for small sweeps.
     """
-    from rateflow.operators.render import table_csv_lines
     from rateflow.plans.pipeline import keep_where
 
     accepted = keep_where(detected, ~F.col("message_failed"), key, "rate_tables")
     tables = accepted.select(key, F.explode("rate_tables").alias("t"))
     lines = tables.select(
-        key,
-        F.col("t.table_idx").alias("table_idx"),
-        F.posexplode(table_csv_lines(F.col("t"), keywords, stopwords)).alias("line_idx", "value"),
+        key, F.col("t.table_idx").alias("table_idx"), F.posexplode(lines_of(F.col("t"))).alias("line_idx", "value")
     )
     (
         lines.sortWithinPartitions(key, "table_idx", "line_idx")
@@ -128,3 +116,21 @@ def write_table_csv_files(detected: DataFrame, path: str, key: str = "message_id
         .partitionBy(key, "table_idx")
         .text(path)
     )
+
+
+def write_table_csv_files(detected: DataFrame, path: str, key: str = "message_id", mode: str = "overwrite",
+                          keywords=dims.SERVICE_KEYWORDS, stopwords=dims.STOPWORDS) -> None:
+    """G1 with the source's file content: each table's CSV in its own source column order
+    (header line, rows, pandas number format)."""
+    from rateflow.operators.render import table_csv_lines
+
+    _write_table_files(detected, path, key, mode, lambda t: table_csv_lines(t, keywords, stopwords))
+
+
+def write_table_xml_files(detected: DataFrame, path: str, key: str = "message_id", mode: str = "overwrite",
+                          keywords=dims.SERVICE_KEYWORDS, stopwords=dims.STOPWORDS) -> None:
+    """G2 with the source's file content: each table's XML in its own source column order; the
+    keys stand in the path only."""
+    from rateflow.operators.render import table_xml_lines
+
+    _write_table_files(detected, path, key, mode, lambda t: table_xml_lines(t, keywords, stopwords))

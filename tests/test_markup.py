@@ -116,3 +116,22 @@ def test_columnar_arrow_conversion_equals_the_nested_one():
     segs = [split_segments(d) for d in docs] + [None]
     typ = to_arrow_type(SEGMENTS_TYPE)
     assert segments_to_arrow(segs, typ).equals(pa.array(segs, typ))
+
+
+def test_self_closed_tables_end_at_their_own_tag():
+    from rateflow.operators.markup import split_segments
+
+    t = "<table><tr><td>a</td></tr></table>"
+    html = f"x<table/>y{t}z<TABLE class='q' />Sent: a\nTo: b\nSubject: c\n{t}end"
+    segments = split_segments(html)
+    assert [s["kind"] for s in segments] == ["text", "table"] * 4 + ["text"]
+    assert [s["html"] for s in segments] == ["x", "<table/>", "y", t, "z", "<TABLE class='q' />", "Sent: a\nTo: b\nSubject: c\n", t, "end"]
+    assert [s["rows"] for s in segments if s["kind"] == "table"] == [[], [["a"]], [], [["a"]]]
+
+
+def test_self_closed_table_does_not_open_the_quoted_thread(extract):
+    hdr = "<tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr>"
+    new = f"<table>{hdr}<tr><td>Фрахт</td><td>1</td><td>2</td></tr></table>"
+    old = f"<table>{hdr}<tr><td>Фрахт</td><td>8</td><td>9</td></tr></table>"
+    _, rows = extract([f"<table/>{new}<table/><p>&#58;</p>\nSent: a\nTo: b\nSubject: c\n{old}"])
+    assert [(r.rate, r.entry) for r in rows] == [(1.0, 2.0)]

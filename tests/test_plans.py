@@ -50,7 +50,7 @@ def test_no_filter_evaluates_the_array_expression_twice(spark):
 
 def test_unseen_scans_the_ledger_with_broadcast_batch_keys(spark):
     plan = _plan(QUERIES["unseen_messages"](spark, SF))
-    assert "LeftAnti" in plan and "LeftSemi" in plan
+    assert "LeftAnti" in plan and "LeftSemi" in plan  # distinct keys on both sides of the ledger scan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
@@ -59,7 +59,7 @@ def test_unseen_falls_back_to_a_plain_anti_join_over_the_limit(spark):
 
     msgs = spark.range(100).withColumnRenamed("id", "message_id")
     ledger = spark.range(0, 100, 2).withColumnRenamed("id", "message_id")
-    out = messages.unseen(msgs, ledger, broadcast_limit=10)
+    out = messages.unseen(msgs, ledger, broadcast_bytes=10)
     assert "LeftSemi" not in _plan(out)
     assert sorted(r[0] for r in out.collect()) == list(range(1, 100, 2))
 
@@ -81,3 +81,50 @@ def test_all_or_nothing_on_exploded_rows_aggregates_keys_before_the_shuffle(spar
     assert "Window" not in plan
     assert "LeftAnti" in plan and "HashAggregate" in plan
     assert [r.message_id for r in out.collect()] == [2]
+
+
+def test_building_an_extraction_starts_no_job(spark):
+    from rateflow.sources import messages
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").repartition(3)
+    html = synth.html_messages(orders.groupBy("o_orderkey", "o_custkey", "o_orderdate").count().drop("count"))
+    raw = synth.mime_messages(orders)
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    spark.sparkContext.setJobGroup("build-only", "no job may start here")
+    try:
+        pipeline.extract_rates(html)
+        pipeline.extract_rates(messages.emails_from_raw(raw, want_text=False))
+        pipeline.detect_rate_tables(html)
+        assert list(tracker.getJobIdsForGroup("build-only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert set(tracker.getJobIdsForGroup()) == before
+
+
+def test_messages_without_tables_never_reach_python(spark):
+    emails = spark.createDataFrame([(1, "<p>x</p>"), (2, "<TABLE></TABLE>")], "message_id BIGINT, html STRING")
+    plan = _plan(pipeline.extract_rates(emails))
+    assert "RLIKE" in plan.upper() and plan.upper().rindex("RLIKE") > plan.index("MapInArrow")
+
+
+def test_keyword_chain_is_evaluated_once_per_row(spark):
+    plan = _plan(QUERIES["normalised_rates"](spark, SF))
+    assert plan.count("автоперевозка") <= 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from rateflow import session
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    monkeypatch.setattr(session, "_context", lambda s: Context())
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(RuntimeError):
+            session.scratch_dir(spark, "x")

@@ -87,12 +87,8 @@ def test_outbox_skip_empty_keeps_only_non_empty_replies(spark):
     assert [r.message_id for r in out] == [0] and out[0].body_html.startswith(render.TABLE_OPEN)
 
 
-def test_ledger_and_log_tables(spark, tmp_path):
+def test_log_table(spark, tmp_path):
     d = _detected(spark, ["<p>x</p>", "<p>y</p>"])
-    files.append_ledger(d, str(tmp_path / "ledger"), batch_id=3)
-    files.append_ledger(d.where("message_id = 0"), str(tmp_path / "ledger"), batch_id=4)
-    ledger = spark.read.parquet(str(tmp_path / "ledger"))
-    assert sorted((r.message_id, r.batch_id) for r in ledger.collect()) == [(0, 3), (0, 4), (1, 3)]
     files.write_process_log(pipeline.process_log(d, batch_id=3), str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 2 and {r.batch_id for r in log.collect()} == {3}
@@ -103,8 +99,8 @@ def test_dimension_frames(spark):
 
     aliases = {r.alias: r.field for r in dims.field_alias_frame(spark).collect()}
     assert aliases["наименование услуги"] == "наименование" and len(aliases) == 4
-    kw = dims.keywords_from_frame(dims.service_keyword_frame(spark))
-    assert kw == [(k, s) for k, s in dims.SERVICE_KEYWORDS]
+    kw = dims.keyword_row(dims.service_keyword_frame(spark)).first().keywords
+    assert [(r.keyword, r.service) for r in kw] == [(k, s) for k, s in dims.SERVICE_KEYWORDS]
     assert [r.word for r in dims.stopword_frame(spark).collect()] == ["охрана"]
 
 
@@ -131,3 +127,57 @@ def test_reply_equals_the_csv_text_rendered_as_html(spark):
     expected = {r.message_id: "\n+\n".join(as_html(t.csv) for t in r.tables) for r in csv.collect()}
     replies = {r.message_id: r.body_html for r in QUERIES["html_reply"](spark, "/root/testdata/sf0.001").collect()}
     assert len(expected) == 1500 and all(replies[k] == v for k, v in expected.items())
+
+
+def test_dictionary_table_takes_the_lowest_priority(spark):
+    from rateflow import dims
+    from rateflow.functions import text as tx
+
+    dim = spark.createDataFrame([("ab", "late", 5), ("b", "first", 1), (None, "x", 0), ("", "y", 0)], "keyword STRING, service STRING, prio INT")
+    df = spark.createDataFrame([("xABy",), ("a",), (None,)], "s STRING")
+    got = tx.with_services(df, "s", dim, "v")
+    assert got.columns == ["s", "v"] and [r.v for r in got.collect()] == ["first", "", None]
+    assert [r.v for r in tx.with_services(df, "s", dim.limit(0), "v").collect()] == ["", "", None]
+    big = spark.range(20_000).selectExpr("concat('key', id) AS keyword", "concat('s', id) AS service", "int(id) AS prio")
+    one = spark.createDataFrame([("has key19999 inside",)], "s STRING")
+    assert tx.with_services(one, "s", big, "v").first().v == "s1"
+
+
+def test_round_trip_of_text_keys_and_table_xml(spark, tmp_path):
+    t = f"<table>{HDR}<tr><td>0,5</td><td>Фрахт</td><td>x</td></tr><tr><td>2</td><td>РЖД</td><td>0.00012345678901234</td></tr></table>"
+    df = spark.createDataFrame([("file:/a/b.eml", t)], "message_id STRING, html STRING")
+    d = pipeline.detect_rate_tables(df)
+    rows = pipeline.rate_rows_from_detected(d)
+    for fmt in ("csv", "xml"):
+        path = str(tmp_path / fmt)
+        files.write_rate_tables(rows, path, fmt=fmt)
+        back = files.read_rate_tables(spark, path, fmt=fmt, key_type="STRING")
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    files.write_table_xml_files(d, str(tmp_path / "tables"))
+    (file,) = (tmp_path / "tables").rglob("*.txt")
+    assert file.read_text() == "\n".join([
+        "<?xml version='1.0' encoding='utf-8'?>", "<data>",
+        "  <row>", "    <ставка>0.0</ставка>", "    <наименование>Фрахт</наименование>", "    <вход/>", "  </row>",
+        "  <row>", "    <ставка>2.0</ставка>", "    <наименование>Организация ЖД перевозки</наименование>", "    <вход>0.00012345678901234</вход>", "  </row>",
+        "</data>", "",
+    ])
+
+
+def test_numbers_are_written_as_python_does(spark):
+    import random
+    import struct
+
+    from rateflow.functions.text import render_number
+
+    rnd = random.Random(4)
+    values = [struct.unpack("<d", struct.pack("<Q", rnd.getrandbits(64)))[0] for _ in range(20_000)]
+    values += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-300, 300) for _ in range(20_000)]
+    values += [round(rnd.uniform(0, 1e7), rnd.randint(0, 12)) for _ in range(20_000)]
+    values += [0.0, -0.0, 1e16, 9999999999999998.0, 1e15, 1e-4, 9.999e-5, 1e100, 1.5e-120, 5e-324, 1.7976931348623157e308, 0.30000000000000004, 2.0**-44, 1e23, 2e-3, 1e22, 123456789.0, 1e7]
+    values += [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values) if v == v], "i INT, v DOUBLE").select("i", "v", render_number("v").alias("s"))
+    rows = df.collect()
+    assert all(float(r.s) == r.v and len(r.s) == len(repr(r.v)) for r in rows)
+    # far outside any rate Java's 17th digit may be the second nearest; it still reads back the same
+    assert [(r.v, r.s) for r in rows if 1e-20 < abs(r.v) < 1e20 and r.s != repr(r.v)] == []
+    assert sum(r.s != repr(r.v) for r in rows) <= len(rows) / 5000
