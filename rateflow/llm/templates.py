@@ -95,12 +95,13 @@ class Sequence:
     def __len__(self) -> int:
         return len(self.value)
 
-    def windows(self, width: int, literals: int = 2) -> np.ndarray:
-        """Hash of each window. A window with fewer than ``literals`` ordinary words says nothing
-        as a template, so it counts by its words as written."""
+    def windows(self, width: int, literals: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each window, as a template and by its lower-cased words as written. A window
+        with fewer than ``literals`` ordinary words says nothing as a template and has only the
+        second; that one also finds copies whose case or punctuation moved names and sentences."""
         n = len(self) - width + 1
         if n <= 0:
-            return np.empty(0, dtype=np.uint64)
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
         typed, plain, count = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.zeros(n, np.int64)
         base = np.uint64(0x100000001B3)
         for k in range(width):
@@ -109,7 +110,7 @@ class Sequence:
             plain = (plain ^ self.value[k : k + n]) * base
             plain ^= plain >> np.uint64(31)
             count += self.type[k : k + n] == LITERAL
-        return np.where(count >= literals, typed, plain)
+        return np.where(count >= literals, typed, plain), plain
 
 
 def consistent(item: Sequence, doc: Sequence, at: list[tuple[int, int]]) -> tuple[float, int]:
@@ -135,11 +136,12 @@ class Index:
         hashes, owner, place = [], [], []
         for item_id, text in items:
             s = Sequence(words.codes(text))
-            w = s.windows(min(width, max(1, len(s))))
-            if len(w):
-                hashes.append(w)
-                owner.append(np.full(len(w), len(self.ids)))
-                place.append(np.arange(len(w)))
+            typed, plain = s.windows(min(width, max(1, len(s))))
+            if len(typed):
+                other = np.flatnonzero(plain != typed)
+                hashes.append(np.concatenate([typed, plain[other]]))
+                owner.append(np.full(len(typed) + len(other), len(self.ids)))
+                place.append(np.concatenate([np.arange(len(typed)), other]))
                 self.ids.append(item_id)
                 self.sequences.append(s)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -154,16 +156,16 @@ class Index:
 
     def matches(self, doc: Sequence, share: float, run: int, agree: float) -> list[tuple[int, float, int, float, int]]:
         """(item, covered share, longest run, agreement, slots) of the items that ``doc`` holds."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for width in [self.width, *self.short]:
-            w = doc.windows(width)
-            maybe = np.flatnonzero(self.seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo = np.searchsorted(self.hash, w[maybe], "left")
-            hi = np.searchsorted(self.hash, w[maybe], "right")
-            for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for k in range(a, b):
-                    if min(self.width, len(self.sequences[self.owner[k]])) == width:
-                        found[int(self.owner[k])].append((int(self.place[k]), p))
+            for w in doc.windows(width):
+                maybe = np.flatnonzero(self.seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                lo = np.searchsorted(self.hash, w[maybe], "left")
+                hi = np.searchsorted(self.hash, w[maybe], "right")
+                for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                    for k in range(a, b):
+                        if min(self.width, len(self.sequences[self.owner[k]])) == width:
+                            found[int(self.owner[k])].add((int(self.place[k]), p))
         out = []
         for k, pairs in found.items():
             item = self.sequences[k]
@@ -185,7 +187,7 @@ class Index:
         return out
 
     @staticmethod
-    def _copies(pairs: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    def _copies(pairs: set[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
         pairs = sorted(pairs, key=lambda x: x[1] - x[0])
         groups, start = [], None
         for q, p in pairs:
