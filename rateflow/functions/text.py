@@ -3,7 +3,8 @@
 All of them are built-in Spark expressions, so they stay inside whole-stage codegen.
 Java regex differs from Python's in three places that matter here:
   * ``(?U)\\s`` lacks U+001C..U+001F, which Python's ``\\s`` and ``str.strip`` include;
-  * ``\\d`` is ASCII only (Python also matches other decimal digits; documented deviation);
+  * ``\\d`` is ASCII only, while Python also reads other decimal digits as numbers; they are
+    translated to ASCII first, in the same pass that drops the white space;
   * ``(?iu)`` is needed for Unicode case folding.
 Where an exact native function exists (``translate``, ``btrim``, ``contains``) it is used
 instead of a regex: Spark decodes every value to a Java string for each regex call.
@@ -11,6 +12,7 @@ instead of a regex: Spark decodes every value to a Java string for each regex ca
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ from rateflow import dims
 # from the interpreter by rule; Java's ``(?U)\s`` lacks U+001C..U+001F.
 PY_WHITESPACE = "".join(chr(c) for c in range(0x3100) if chr(c).isspace())
 WHITESPACE_NO_NEWLINE = PY_WHITESPACE.replace("\n", "")
+# Decimal digits of other scripts and their values, computed from the interpreter by rule.
+_DIGITS = {chr(c): unicodedata.decimal(chr(c)) for c in range(0x80, 0x20000) if chr(c).isdecimal()}
 _WS = r"\s\x1c-\x1f"
 # E7 as a regex (kept for SQL users); the column function below uses ``translate``.
 WS_EXCEPT_NEWLINE = r"(?U)[" + _WS + r"&&[^\n]]"
@@ -54,9 +58,11 @@ def first_number(c) -> Column:
     """First number of the text after removing every whitespace except newlines.
 
     ``1 234.50`` -> 1234.5, ``1 234,50`` -> 1234.0, ``-7`` -> 7.0, ``.5`` -> 5.0, none -> null.
-    Numbers never join across lines because newlines survive.
+    Numbers never join across lines because newlines survive. Digits of any script count.
     """
-    digits = F.regexp_extract(remove_spaces_keep_newlines(c), FIRST_NUMBER, 1)
+    # translate deletes the characters that have no counterpart: the white space
+    plain = F.translate(_col(c), "".join(_DIGITS) + WHITESPACE_NO_NEWLINE, "".join(map(str, _DIGITS.values())))
+    digits = F.regexp_extract(plain, FIRST_NUMBER, 1)
     return F.when(digits != "", digits).try_cast("double")
 
 

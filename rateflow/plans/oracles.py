@@ -108,6 +108,7 @@ tb AS (SELECT t.message_id, t.table_idx,
        FROM t LEFT JOIN rh ON rh.message_id = t.message_id AND rh.table_idx = t.table_idx
        GROUP BY t.message_id, t.table_idx)
 SELECT o.o_orderkey AS message_id, 'client' || CAST(o.o_custkey AS VARCHAR) || '@example.com' AS recipient,
+       'Автоответ от rates@example.com' AS subject, true AS deliverable,
        string_agg(tb.html, {NL} || '+' || {NL} ORDER BY tb.table_idx) AS body_html
 FROM orders o JOIN tb ON tb.message_id = o.o_orderkey
 GROUP BY o.o_orderkey, o.o_custkey
@@ -260,8 +261,9 @@ FROM t LEFT JOIN c ON c.message_id = t.message_id AND c.table_idx = t.table_idx"
             "WHERE l.o_orderdate < TIMESTAMP '1995-01-01' AND l.o_orderkey = o.o_orderkey)"
         ),
         "process_log": (
-            f"SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE {N_TABLES} END AS n_tables, "
-            "CASE WHEN o_orderkey % 11 = 0 THEN 'no_html' ELSE 'ok' END AS status FROM orders"
+            f"SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 11 IN (0, 1, 2) THEN 0 ELSE {N_TABLES} END AS n_tables, "
+            "CASE o_orderkey % 11 WHEN 0 THEN 'no_html' WHEN 1 THEN 'no_tables' WHEN 2 THEN 'error' ELSE 'ok' END AS status "
+            "FROM orders"
         ),
         "mime_project": f"""
 WITH h AS ({html})

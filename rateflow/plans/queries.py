@@ -195,7 +195,7 @@ def q_html_reply(spark, sf_dir):
         F.concat(F.lit("client"), F.col("o_custkey").cast("string"), F.lit("@example.com")).alias("sender_address"),
     )
     d = pipeline.detect_rate_tables(emails, carry=["sender_address"])
-    return render.outbox(d, account="rates@example.com").select("message_id", "recipient", "body_html")
+    return render.outbox(d, account="rates@example.com")
 
 
 def q_table_csv(spark, sf_dir):
@@ -213,8 +213,12 @@ def q_rate_table_status(spark, sf_dir):
 
 
 def q_process_log(spark, sf_dir):
+    """G6 with every status of readable mail: no html, no tables, a ragged rate table, fine."""
     h = _html(spark, sf_dir)
-    h = h.withColumn("html", F.when(F.col("message_id") % 11 != 0, F.col("html")))
+    k = F.col("message_id") % 11
+    ragged = F.lit("<table><tr><td>Наименование</td><td>Ставка</td><td>Вход</td></tr><tr><td>Фрахт</td><td>1</td></tr></table>")
+    html = F.when(k == 1, F.lit("<p>no tables</p>")).when(k == 2, F.concat(ragged, F.col("html"))).when(k != 0, F.col("html"))
+    h = h.withColumn("html", html)
     d = pipeline.detect_rate_tables(h)
     return pipeline.process_log(d).select("message_id", "n_tables", "status")
 

@@ -86,3 +86,11 @@ def test_property_first_number_and_entry_match_python_model(spark, texts):
         assert a == _py_first_number(t), t
         assert b == _py_first_number(t.rsplit("=", 1)[-1]), t
         assert c == t.strip().lower(), t
+
+
+def test_digits_of_other_scripts_are_numbers(spark):
+    from rateflow.functions.text import entry_number, first_number
+
+    df = spark.createDataFrame([("٣٤",), ("x १२ ३.५",), ("=１=２",), ("²",), ("𝟗1",)], "s STRING")
+    got = [tuple(r) for r in df.select(first_number("s"), entry_number("s")).collect()]
+    assert got == [(34.0, 34.0), (123.5, 123.5), (1.0, 2.0), (None, None), (91.0, 91.0)]
