@@ -11,9 +11,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateflow.llm import common
@@ -112,6 +111,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array of longs, folded to one literal when the plan is optimised."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(bounds: Column, size: int, x: Column) -> Column:
+    """How many of ``size`` sorted ``bounds`` are less than ``x``, by binary search."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))
+        left = F.struct(a["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(bounds, mid) < x, right).otherwise(left)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length() + 1)), start, halve, lambda a: a["lo"])
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, text, grp, extra): documents in ranges of doc_id, each range followed by a copy
     (``extra``) of the first document of the next range (after the last range: of the first).
@@ -121,41 +138,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     least_id = -(1 << 63)
-    d = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least_id)).alias("ord"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(least_id))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("ord"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = [i / ranges for i in range(1, ranges)]
-    bounds = np.unique(np.array(d.agg(F.percentile_approx("ord", share, 10 * ranges)).first()[0] or [], dtype=np.int64))
-
-    def range_of(ids):
-        return np.searchsorted(bounds, ids, "left").astype(np.int64)
-
-    grp = _long_udf(range_of)
-    firsts = d.select("ord").groupBy(grp(F.col("ord")).alias("grp")).agg(F.min("ord").alias("least")).orderBy("grp").collect()  # one row a range
-    names = np.array([r["grp"] for r in firsts], dtype=np.int64)
-    least = np.array([r["least"] for r in firsts], dtype=np.int64)
-
-    def copy_to(ids):
-        """The range before that of an id that is the least of its range; -1 for any other id."""
-        at = np.searchsorted(names, range_of(ids))
-        return np.where(least[at] == ids, names[at - 1], -1)
-
-    placed = d.select("*", grp(F.col("ord")).alias("own"), _long_udf(copy_to)(F.col("ord")).alias("before"))
-    ways = F.array(F.struct(F.col("own").alias("grp"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("grp"), F.lit(True).alias("extra")))
-    spread = placed.select("doc_id", "ord", "text", F.explode(F.slice(ways, F.lit(1), F.when(F.col("before") < 0, 1).otherwise(2))).alias("way"))
+    bounds = sorted(set(d.agg(F.percentile_approx("ord", share, 10 * ranges)).first()[0] or []))
+    own = _below(_numbers(bounds), len(bounds), F.col("ord")) if bounds else F.lit(0)
+    firsts = d.select(own.alias("grp"), "ord").groupBy("grp").agg(F.min("ord").alias("least")).orderBy("grp").collect()  # one row a range
+    least, before = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1)  # no row looks up an empty range
+    for i, r in enumerate(firsts):
+        least[r["grp"]], before[r["grp"]] = r["least"], firsts[i - 1]["grp"]
+    placed = d.select("*", own.alias("own"))
+    is_first = F.get(_numbers(least), F.col("own")) == F.col("ord")
+    at_home = F.struct(F.col("own").cast("bigint").alias("grp"), F.lit(False).alias("extra"))
+    copied = F.struct(F.get(_numbers(before), F.col("own")).alias("grp"), F.lit(True).alias("extra"))
+    spread = placed.select("doc_id", "ord", "text", F.explode(F.when(is_first, F.array(at_home, copied)).otherwise(F.array(at_home))).alias("way"))
     return spread.select("doc_id", "ord", "text", "way.grp", "way.extra")
 
 
-def _long_udf(fn):
-    @F.pandas_udf("bigint")
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series(fn(ids.to_numpy()))
-
-    return run
-
-
 COMPARED = (
     "doc_id BIGINT, n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, near_edited DOUBLE, near_next DOUBLE"
 )
