@@ -4,14 +4,17 @@ Numbers, names and units become typed placeholders, so a re-parameterised questi
 template. Windows of template words of every document are hash-joined with the windows of the
 benchmark, which is broadcast in blocks of bounded size; the matches of a document and an item must
 cover enough of the item and fill its slots consistently (one value of the item, one value of the
-document) before the pair is reported.
+document) before the pair is reported; matches beside a copy's place do not count against it.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +130,20 @@ def consistent(item: Sequence, doc: Sequence, at: list[tuple[int, int]]) -> tupl
     return good / len(slots), len(slots)
 
 
+def _aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The most pairs that rise in both places (a longest increasing subsequence)."""
+    ends, last, before, pairs = [], [], [], sorted(pairs, key=lambda x: (x[0], -x[1]))
+    for i, (_, p) in enumerate(pairs):
+        k = bisect_left(ends, p)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1], last[k : k + 1] = [p], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
+
+
 class Index:
     """Windows of a block of benchmark items, sorted by hash, for joining inside a task."""
 
@@ -168,34 +185,61 @@ class Index:
                             found[int(self.owner[k])].add((int(self.place[k]), p))
         out = []
         for k, pairs in found.items():
-            item = self.sequences[k]
-            width = min(self.width, len(item))
-            total = len(item) - width + 1
-            # copies of the item in one document stand apart: group by the place of its start
-            best = None
-            for group in self._copies(pairs, len(item)):
-                covered = len({q for q, _ in group}) / total
-                longest = self._longest(group) + width - 1
-                if covered < share and longest < run:
-                    continue
-                words = {(q + i, p + i) for q, p in group for i in range(width)}
-                agreement, slots = consistent(item, doc, sorted(words))
-                if agreement >= agree and (best is None or covered > best[0]):
-                    best = (covered, longest, agreement, slots)
+            best = self._best(k, doc, pairs, share, run, agree)
             if best:
                 out.append((self.ids[k], *best))
         return out
 
+    def _best(self, k: int, doc: Sequence, pairs: set[tuple[int, int]], share: float, run: int, agree: float) -> tuple[float, int, float, int] | None:
+        """(covered share, longest run, agreement, slots) of the best copy of item ``k`` in ``doc``."""
+        item = self.sequences[k]
+        width = min(self.width, len(item))
+        total = len(item) - width + 1
+        best = None
+
+        def reach(part):
+            covered = len({q for q, _ in part}) / total
+            longest = self._longest(part) + width - 1 if part else 0
+            return covered, longest, covered >= share or longest >= run
+
+        # copies of the item in one document stand apart: group by the place of its start
+        for group, near in self._copies(pairs, len(item)):
+            if not reach(near)[2]:
+                continue  # nor does any part of it
+            for part in self._readings(group, near, item, doc, width):
+                covered, longest, enough = reach(part)
+                if not enough:
+                    continue
+                words = {(q + i, p + i) for q, p in part for i in range(width)}
+                agreement, slots = consistent(item, doc, sorted(words))
+                if agreement >= agree:
+                    if best is None or covered > best[0]:
+                        best = (covered, longest, agreement, slots)
+                    break
+        return best
+
+    @staticmethod
+    def _readings(group: list[tuple[int, int]], near: list[tuple[int, int]], item: Sequence, doc: Sequence, width: int) -> Iterator[list[tuple[int, int]]]:
+        """The pairs that may be one copy, each set to be judged by itself: an item that repeats its
+        own template also matches beside its place, and those matches say nothing of the slots. All
+        pairs; those equal as written; the longest alignment in order; each diagonal."""
+        yield group
+        yield [(q, p) for q, p in near if np.array_equal(item.value[q : q + width], doc.value[p : p + width])]
+        yield _aligned(near)
+        for _, one in groupby(group, key=lambda x: x[1] - x[0]):
+            yield list(one)
+
     @staticmethod
-    def _copies(pairs: set[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    def _copies(pairs: set[tuple[int, int]], length: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+        """Groups of pairs on diagonals close to each other, each with the pairs as close to its main diagonal."""
         pairs = sorted(pairs, key=lambda x: x[1] - x[0])
-        groups, start = [], None
-        for q, p in pairs:
-            if start is None or p - q - start > max(5, length // 5):
-                groups.append([])
-                start = p - q
-            groups[-1].append((q, p))
-        return groups
+        at, reach = [p - q for q, p in pairs], max(5, length // 5)
+        lo = 0
+        while lo < len(pairs):
+            hi = bisect_right(at, at[lo] + reach)
+            main = Counter(at[lo:hi]).most_common(1)[0][0]
+            yield pairs[lo:hi], pairs[bisect_left(at, main - reach) : bisect_right(at, main + reach)]
+            lo = hi
 
     @staticmethod
     def _longest(group: list[tuple[int, int]]) -> int:

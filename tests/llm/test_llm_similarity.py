@@ -167,6 +167,25 @@ def test_reparameterised_questions(text, held):
     assert [m[0] for m in index.matches(templates.Sequence(templates.Words().codes(text)), 0.8, 30, 0.8)] == [5] * held
 
 
+DRILL = ", ".join(f"paid {2 * i + 3} dollars and got {2 * i + 4} pens" for i in range(8))
+REFILLED = ", ".join(f"paid {5 * i + 40} dollars and got {7 * i + 300} pens" for i in range(8))
+
+
+@pytest.mark.parametrize("text, held", [
+    (DRILL, True),
+    (DRILL + ". " + DRILL, True),
+    ("Some words stand before it: " + DRILL + " and some after.", True),
+    (DRILL.replace("and got 10 pens", "and then got 10 pens"), True),
+    (REFILLED, True),
+    (REFILLED.replace("and got 321 pens", "and then got 321 pens"), True),
+    (", ".join(f"paid {3 + i % 2} dollars and got {4 - i % 2} pens" for i in range(8)), False),
+    ("paid 3 dollars for 4 pens and got them.", False),
+])
+def test_items_that_repeat_their_template(text, held):
+    index = templates.Index([(5, DRILL)], 5)
+    assert [m[0] for m in index.matches(templates.Sequence(templates.Words().codes(text)), 0.8, 1000, 0.8)] == [5] * held
+
+
 def test_short_items_and_blocks(spark):
     docs = spark.createDataFrame([(1, "xx two short words yy", "q"), (2, "two short", "q"), (3, None, "q"), (4, QUESTION, "q")], "doc_id BIGINT, text STRING, items STRING")
     bench = spark.createDataFrame([(6, "Two short words"), (7, QUESTION), (8, None), (9, ""), (7, QUESTION)], "item_id BIGINT, text STRING")
