@@ -32,6 +32,7 @@ UNITS = frozenset(
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,/:]*(?:st|nd|rd|th|%)?$")
+_PARTS = re.compile("[-'’]")
 _EDGE = "\"'()[]{}<>.,;:!?|*#$%&-–—…“”‘’«»¡¿"
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
@@ -40,24 +41,29 @@ _PLACEHOLDER = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E
 
 class Words:
     """Raw word -> (hash of the lower-cased bare word, is capitalised, is number, is unit, ends a
-    sentence), through a bounded cache."""
+    sentence, may be a name), through a bounded cache."""
 
     def __init__(self, limit: int = 300_000):
         self.known: dict[str, int] = {}
         self.limit = limit
 
     def code(self, raw: str) -> int:
-        """61-bit hash and flags in one integer: 1 capital, 2 number, 4 unit; bit 3 sentence end."""
+        """58-bit hash and flags in one integer: 1 capital, 2 number, 4 unit, 8 sentence end, 16 capital
+        with a possessive, hyphen or apostrophe allowed. The hash is that of the word less a possessive
+        "'s", then two bits for its form."""
         bare = raw.strip(_EDGE)
         low = bare.lower()
-        data = low.encode()
+        possessive = 1 if low.endswith("'s") else 2 if low.endswith("’s") else 0
+        stem = bare[:-2] if possessive else bare
+        data = (low[:-2] if possessive else low).encode()
         h = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
         number = bool(_NUMBER.match(bare)) or low in NUMBER_WORDS
         capital = not number and bare[:1].isupper() and not bare.isupper() and bare.isalpha()
         ends = raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":") or not bare
-        flags = capital | number << 1 | (low in UNITS) << 2 | ends << 3
+        wide = not number and stem[:1].isupper() and not stem.isupper() and all(map(str.isalpha, _PARTS.split(stem)))
+        flags = capital | number << 1 | (low in UNITS) << 2 | ends << 3 | wide << 4
         # an empty bare word (marks only) is dropped from the word sequence
-        return -1 - (flags >> 3 & 1) if not bare else (h & ((1 << 59) - 1)) << 4 | flags
+        return -1 - (flags >> 3 & 1) if not bare else ((h & ((1 << 56) - 1)) << 2 | possessive) << 5 | flags
 
     def codes(self, text: str) -> np.ndarray:
         words = text.replace("\n", " . ").split()
@@ -76,24 +82,35 @@ class Words:
 _WORDS = Words()  # a Python worker's own
 
 
+def _counts(mask: np.ndarray, width: int) -> np.ndarray:
+    """How many of each ``width`` neighbours are true."""
+    sums = np.zeros(len(mask) + 1, dtype=np.int64)
+    np.cumsum(mask, out=sums[1:])
+    return sums[width:] - sums[:-width]
+
+
 class Sequence:
     """The template of a text: typed placeholders for slots, hashes for other words.
 
-    A capitalised word is a name unless it opens a sentence; a unit word counts after a number.
+    A capitalised word is a name unless it opens a sentence; a unit word counts after a number. In the
+    wide reading capitalised words that open a sentence, and names with a possessive, a hyphen or an
+    apostrophe, are names too; "Tom's" has the value of "Tom" there.
     """
 
     def __init__(self, codes: np.ndarray):
         real = codes >= 0
         ends = np.where(real, codes >> 3 & 1, 1).astype(bool)
         # a word opens a sentence if the word or mark before it ended one
-        opens = np.r_[True, ends[:-1]][real] if len(codes) else np.empty(0, dtype=bool)
+        opens = np.concatenate(([True], ends[:-1]))[real] if len(codes) else np.empty(0, dtype=bool)
         codes = codes[real]
-        self.value = (codes >> 4).astype(np.uint64)
+        self.value = (codes >> 5).astype(np.uint64)
         number = (codes & 2) > 0
-        unit = ((codes & 4) > 0) & np.r_[False, number[:-1]] if len(codes) else number
+        unit = ((codes & 4) > 0) & np.concatenate(([False], number[:-1])) if len(codes) else number
         name = ((codes & 1) > 0) & ~opens
         self.type = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.int8)
         self.token = np.where(self.type == LITERAL, self.value, _PLACEHOLDER[self.type])
+        self.wide = (self.type == LITERAL) & ((codes & 16) > 0)
+        self.wide_type = np.where(self.wide, NAME, self.type).astype(np.int8)
 
     def __len__(self) -> int:
         return len(self.value)
@@ -105,21 +122,42 @@ class Sequence:
         n = len(self) - width + 1
         if n <= 0:
             return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-        typed, plain, count = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.zeros(n, np.int64)
+        typed, plain = np.zeros(n, np.uint64), np.ones(n, np.uint64)
         base = np.uint64(0x100000001B3)
         for k in range(width):
-            typed = (typed ^ self.token[k : k + n]) * base
+            typed ^= self.token[k : k + n]
+            typed *= base
             typed ^= typed >> np.uint64(29)
-            plain = (plain ^ self.value[k : k + n]) * base
+            plain ^= self.value[k : k + n]
+            plain *= base
             plain ^= plain >> np.uint64(31)
-            count += self.type[k : k + n] == LITERAL
-        return np.where(count >= literals, typed, plain), plain
+        return np.where(_counts(self.type == LITERAL, width) >= literals, typed, plain), plain
+
+    def wide_windows(self, width: int, literals: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the windows that the wide reading changes, with enough ordinary words."""
+        n = len(self) - width + 1
+        if n <= 0 or not self.wide.any():
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        at = np.flatnonzero((_counts(self.wide, width) > 0) & (_counts(self.wide_type == LITERAL, width) >= literals))
+        token = np.where(self.wide, _PLACEHOLDER[NAME], self.token)
+        return at, self._typed(token, at, width)
 
+    @staticmethod
+    def _typed(token: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        h, base = np.zeros(len(at), np.uint64), np.uint64(0x100000001B3)
+        for k in range(width):
+            h = (h ^ token[at + k]) * base
+            h ^= h >> np.uint64(29)
+        return h
 
-def consistent(item: Sequence, doc: Sequence, at: list[tuple[int, int]]) -> tuple[float, int]:
+
+def consistent(item: Sequence, doc: Sequence, at: list[tuple[int, int]], wide: bool = False) -> tuple[float, int]:
     """Share of the matched slots that follow the main mapping of item values to document values
-    (and back), and the number of slots; 1.0 where no slot is matched."""
-    slots = [(int(item.type[q]), int(item.value[q]), int(doc.value[p])) for q, p in at if item.type[q] != LITERAL and doc.type[p] == item.type[q]]
+    (and back), and the number of slots; 1.0 where no slot is matched. ``wide`` takes the slots of
+    the wide reading."""
+    kinds, others = (item.wide_type, doc.wide_type) if wide else (item.type, doc.type)
+    less = 2 if wide else 0
+    slots = [(int(kinds[q]), int(item.value[q]) >> less, int(doc.value[p]) >> less) for q, p in at if kinds[q] != LITERAL and others[p] == kinds[q]]
     if not slots:
         return 1.0, 0
     there, back = defaultdict(Counter), defaultdict(Counter)
@@ -150,15 +188,17 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], width: int):
         words = Words()
         self.width, self.ids, self.sequences = width, [], []
-        hashes, owner, place = [], [], []
+        hashes, owner, place, wide = [], [], [], []
         for item_id, text in items:
             s = Sequence(words.codes(text))
             typed, plain = s.windows(min(width, max(1, len(s))))
             if len(typed):
                 other = np.flatnonzero(plain != typed)
-                hashes.append(np.concatenate([typed, plain[other]]))
-                owner.append(np.full(len(typed) + len(other), len(self.ids)))
-                place.append(np.concatenate([np.arange(len(typed)), other]))
+                at, more = s.wide_windows(min(width, len(s)))
+                hashes.append(np.concatenate([typed, plain[other], more]))
+                owner.append(np.full(len(hashes[-1]), len(self.ids)))
+                place.append(np.concatenate([np.arange(len(typed)), other, at]))
+                wide.append(np.arange(len(hashes[-1])) >= len(typed) + len(other))
                 self.ids.append(item_id)
                 self.sequences.append(s)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -166,6 +206,7 @@ class Index:
         self.hash = h[order]
         self.owner = np.concatenate(owner)[order] if hashes else h.astype(np.int64)
         self.place = np.concatenate(place)[order] if hashes else h.astype(np.int64)
+        self.wide = np.concatenate(wide)[order] if hashes else h.astype(bool)
         # a first look at the low bits spares most windows the search
         self.seen = np.zeros(1 << 20, dtype=bool)
         self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -174,23 +215,30 @@ class Index:
     def matches(self, doc: Sequence, share: float, run: int, agree: float) -> list[tuple[int, float, int, float, int]]:
         """(item, covered share, longest run, agreement, slots) of the items that ``doc`` holds."""
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
+        wider: dict[int, set[tuple[int, int]]] = defaultdict(set)  # what only the wide reading matches
         for width in [self.width, *self.short]:
-            for w in doc.windows(width):
+            at, wide = doc.wide_windows(width)
+            for w, places in [*((w, None) for w in doc.windows(width)), (wide, at)]:
                 maybe = np.flatnonzero(self.seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+                if not len(maybe):
+                    continue
                 lo = np.searchsorted(self.hash, w[maybe], "left")
                 hi = np.searchsorted(self.hash, w[maybe], "right")
-                for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                held = maybe if places is None else places[maybe]
+                for p, a, b in zip(held[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                     for k in range(a, b):
                         if min(self.width, len(self.sequences[self.owner[k]])) == width:
-                            found[int(self.owner[k])].add((int(self.place[k]), p))
+                            (wider if places is not None or self.wide[k] else found)[int(self.owner[k])].add((int(self.place[k]), p))
         out = []
-        for k, pairs in found.items():
-            best = self._best(k, doc, pairs, share, run, agree)
+        for k in [*found, *(wider.keys() - found.keys())]:
+            best = self._best(k, doc, found.get(k, set()), share, run, agree)
+            if not best and k in wider:
+                best = self._best(k, doc, found.get(k, set()) | wider[k], share, run, agree, True)
             if best:
                 out.append((self.ids[k], *best))
         return out
 
-    def _best(self, k: int, doc: Sequence, pairs: set[tuple[int, int]], share: float, run: int, agree: float) -> tuple[float, int, float, int] | None:
+    def _best(self, k: int, doc: Sequence, pairs: set[tuple[int, int]], share: float, run: int, agree: float, wide: bool = False) -> tuple[float, int, float, int] | None:
         """(covered share, longest run, agreement, slots) of the best copy of item ``k`` in ``doc``."""
         item = self.sequences[k]
         width = min(self.width, len(item))
@@ -211,7 +259,7 @@ class Index:
                 if not enough:
                     continue
                 words = {(q + i, p + i) for q, p in part for i in range(width)}
-                agreement, slots = consistent(item, doc, sorted(words))
+                agreement, slots = consistent(item, doc, sorted(words), wide)
                 if agreement >= agree:
                     if best is None or covered > best[0]:
                         best = (covered, longest, agreement, slots)

@@ -186,6 +186,23 @@ def test_items_that_repeat_their_template(text, held):
     assert [m[0] for m in index.matches(templates.Sequence(templates.Words().codes(text)), 0.8, 1000, 0.8)] == [5] * held
 
 
+NAMED = "Tom has 3 apples. Ann gives him 5 more. How many apples does Tom have now?"
+OWNED = "Lee's brother sold 14 of Lee's red kites to Anne-Marie. Then Anne-Marie gave 6 kites to Lee's aunt, how many were left?"
+
+
+@pytest.mark.parametrize("item, text, held", [
+    (NAMED, NAMED.replace("Tom", "Bob").replace("Ann", "Sue").replace("3", "8").replace("5", "4"), True),
+    (NAMED, "So " + NAMED[:-1].replace("Tom", "Jean-Luc").replace("Ann", "O’Neil"), True),
+    (NAMED, "Bob has 8 pears. Sue gives Tim 4 of them. How many pears does Bob have now?", False),
+    (OWNED, OWNED.replace("Lee's", "Kim's").replace("Anne-Marie", "Paula").replace("14", "23"), True),
+    (OWNED, OWNED.replace("Lee's brother", "Kim’s brother").replace("Lee's", "Kim’s"), True),
+    (OWNED, "Kim's brother sold 14 of Bo's red kites to Paula. Then Olga gave 6 kites to Max's aunt, how many were left?", False),
+])
+def test_names_that_open_sentences_or_have_marks(item, text, held):
+    index = templates.Index([(5, item)], 5)
+    assert [m[0] for m in index.matches(templates.Sequence(templates.Words().codes(text)), 0.8, 13, 0.8)] == [5] * held
+
+
 def test_short_items_and_blocks(spark):
     docs = spark.createDataFrame([(1, "xx two short words yy", "q"), (2, "two short", "q"), (3, None, "q"), (4, QUESTION, "q")], "doc_id BIGINT, text STRING, items STRING")
     bench = spark.createDataFrame([(6, "Two short words"), (7, QUESTION), (8, None), (9, ""), (7, QUESTION)], "item_id BIGINT, text STRING")
