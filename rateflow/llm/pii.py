@@ -5,8 +5,8 @@ calendar dates), and replaced by a keyed permutation of their own format: an alt
 network over their digits and letters. Equal values get equal pseudonyms in every document, other
 values of the format others, and separators, check digits and letter case stay in order.
 
-No Python runs on the executors: a text without digits or "@" passes a native test unchanged; any
-other is split at the matches, and the matches alone go through the network.
+No Python runs on the executors: a text without any character that the patterns need passes a native
+test unchanged; any other is split at the matches, and the matches alone go through the network.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ ROUNDS = 10
 
 # Linear patterns: every start is anchored by a look-behind, long runs are possessive.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
-_ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,128}+"
+_ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,}+"
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-_HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]{0,40}[0-9])[0-9a-fA-F]{32,128}+(?![A-Za-z0-9])"
+_HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 _ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -77,8 +77,10 @@ def permute(s: Column, key: str, kind: str, hexadecimal: bool = False) -> Column
         start = F.struct(F.slice(symbols, F.lit(1), u).alias("a"), F.slice(symbols, u + 1, n - u).alias("b"))
 
         def step(acc: Column, i: Column) -> Column:
-            other = F.array_join(F.transform(acc["b"], lambda x: x["v"].cast("string")), ",")
-            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(acc["a"]) / 32).cast("int")), lambda k: _digest(key, tweak, i.cast("string"), k.cast("string"), other))
+            shown = F.array_join(F.transform(acc["b"], lambda x: x["v"].cast("string")), ",")
+            # a long half is digested once, not in each block
+            half = F.when(F.size(acc["b"]) > 64, F.sha2(shown.cast("binary"), 512)).otherwise(shown)
+            blocks = let(half, lambda other: F.transform(F.sequence(F.lit(0), F.floor(F.size(acc["a"]) / 32).cast("int")), lambda k: _digest(key, tweak, i.cast("string"), k.cast("string"), other)))
 
             def shift(digests: Column) -> Column:
                 return F.transform(acc["a"], lambda x, j: F.struct(
@@ -94,10 +96,9 @@ def permute(s: Column, key: str, kind: str, hexadecimal: bool = False) -> Column
         return F.chr(v + F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65))
 
     def rebuilt(both: Column) -> Column:
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("k"))
-        return F.aggregate(both["chars"], start, lambda acc, c: F.when(
-            _alphanumeric(c), F.struct(F.concat(acc["out"], shown(c, both["new"][acc["k"]]["v"])).alias("out"), (acc["k"] + 1).alias("k"))
-        ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["k"].alias("k"))), lambda acc: acc["out"])
+        places = F.transform(both["chars"], lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+        filled = F.zip_with(F.filter(places, lambda x: _alphanumeric(x["c"])), both["new"], lambda x, y: F.struct(x["i"].alias("i"), shown(x["c"], y["v"]).alias("c")))
+        return F.array_join(F.transform(F.sort_array(F.concat(filled, F.filter(places, lambda x: ~_alphanumeric(x["c"])))), lambda x: x["c"]), "")
 
     chars = _chars(s)
     symbols = F.transform(F.filter(chars, _alphanumeric), lambda c: _symbol(c, hexadecimal))
@@ -226,7 +227,7 @@ def pseudonymised(text: Column, key: str) -> Column:
     gaps, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     new = F.transform(found, lambda m: pseudonym(m, key))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    return F.when(text.rlike("[0-9@]"), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@=:]|AKIA|ASIA"), joined).otherwise(text)
 
 
 def mask(docs: DataFrame, key: str = "rateflow") -> DataFrame:
