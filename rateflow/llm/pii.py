@@ -25,12 +25,16 @@ _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9
 _ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,}+"
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 _ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-_CARD = r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
+# Groups of a card or account number go on to the end of the row of groups, but not into a value of another kind.
+_OTHER = "|".join([_EMAIL, _HEX, _DATE, _ADDRESS, _SOCIAL, _PHONE])
+_IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}|(?: (?!{_OTHER})[A-Z0-9]{{4}}(?![A-Za-z0-9])){{2,}}+(?: (?!{_OTHER})[A-Z0-9]{{1,3}}(?![A-Za-z0-9]))?+)(?![A-Za-z0-9])"
+_CARD = rf"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?:-| (?!{_OTHER}))[0-9]++(?![A-Za-z]))*+"
+# How the groups of a card are printed; other groups may be a card too, but these come first.
+_PRINTED = r"^[2-6](?:[0-9]{12,18}|[0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})$"
 
 PATTERN = "|".join([_EMAIL, _ASSIGNED, _ACCESS, _HEX, _IBAN, _DATE, _ADDRESS, _SOCIAL, _PHONE, _CARD])
 
@@ -113,6 +117,12 @@ def _refill(s: Column, digits: Column) -> Column:
     ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["k"].alias("k"))), lambda acc: acc["out"]))
 
 
+def _swapped(text: Column, pattern: str, swap: Callable[[Column], Column]) -> Column:
+    """``text`` with ``swap`` applied to the matches of ``pattern``."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(gaps, F.transform(found, swap), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -126,13 +136,53 @@ def _luhn(payload: Column) -> Column:
     return F.pmod(-F.aggregate(doubled, F.lit(0), add), F.lit(10)).cast("string")
 
 
+def _valid_card(d: Column) -> Column:
+    return F.length(d).between(13, 19) & (F.regexp_replace(d, "0", "") != "") & (_luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)))
+
+
 def _card(m: Column, key: str) -> Column:
-    def swap(d: Column) -> Column:
-        payload = F.substring(d, F.lit(1), F.length(d) - 1)
-        valid = (_luhn(payload) == F.right(d, F.lit(1))) & (F.regexp_replace(d, "0", "") != "")
-        return F.when(valid, _refill(m, let(permute(payload, key, "card"), lambda p: F.concat(p, _luhn(p))))).otherwise(m)
+    """A valid card, its last digit computed anew."""
+    return let(_digits(m), lambda d: _refill(m, let(permute(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda p: F.concat(p, _luhn(p)))))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """A row of digit groups with every card in it replaced: whole groups of 13 to 19 digits that pass.
+
+    From the left, a span printed as cards are comes first, then the longest that reaches into none.
+    What a printed span shares with the one before it and leaves over is replaced as well.
+    """
+    def spans(groups: Column, i: Column) -> Column:
+        """The valid spans from group ``i``: (size, is printed as a card)."""
+        tries = F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(groups) - i)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(groups, i + 1, n), "").alias("s")))
+        valid = F.filter(tries, lambda x: let(_digits(x["s"]), _valid_card))
+        return F.transform(valid, lambda x: F.struct(x["n"].alias("n"), F.regexp_replace(x["s"], "[ -]$", "").rlike(_PRINTED).alias("printed")))
+
+    def taken(all_spans: Column) -> Column:
+        """By group: (groups of the card from here or 0, groups left over after it)."""
+        printed = F.transform(all_spans, lambda x: F.coalesce(F.array_max(F.transform(F.filter(x, lambda y: y["printed"]), lambda y: y["n"])), F.lit(0)))
+
+        def one(x: Column, i: Column, p: Column) -> Column:
+            free = F.filter(x, lambda y: ~F.exists(F.slice(p, i + 2, y["n"] - 1), lambda z: z > 0))
+            size = F.when(p[i] > 0, p[i]).otherwise(F.coalesce(F.array_max(F.transform(free, lambda y: y["n"])), F.lit(0)))
+            return let(size, lambda n: F.struct(n.alias("n"), F.when(n > 1, F.array_max(F.transform(F.slice(p, i + 2, n - 1), lambda z, j: F.when(z > 0, z + j + 1 - n).otherwise(0)))).otherwise(0).alias("more")))
+
+        return let(printed, lambda p: F.transform(all_spans, lambda x, i: one(x, i, p)))
+
+    def walked(x: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            here = x["t"][i]
+            more = F.greatest(here["more"], F.lit(0))
+            part = F.concat(_card(F.array_join(F.slice(x["g"], i + 1, here["n"]), ""), key), F.when(more > 0, permute(F.array_join(F.slice(x["g"], i + 1 + here["n"], more), ""), key, "card")).otherwise(""))
+            return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).when(
+                here["n"] > 0, F.struct(F.concat(acc["out"], part).alias("out"), (here["n"] + more - 1).alias("skip"))
+            ).otherwise(F.struct(F.concat(acc["out"], x["g"][i]).alias("out"), F.lit(0).alias("skip")))
 
-    return let(_digits(m), swap)
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["g"]) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("skip")), step, lambda acc: acc["out"])
+
+    def replaced(g: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: spans(g, i)), lambda all_spans: let(F.struct(g.alias("g"), taken(all_spans).alias("t")), walked))
+
+    return let(F.regexp_extract_all(m, F.lit("[0-9]+[ -]?"), F.lit(0)), replaced)
 
 
 def _mod97(s: Column) -> Column:
@@ -143,16 +193,47 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """A valid account number, its check digits computed anew."""
     def swap(bare: Column) -> Column:
         country, body = F.substring(bare, 1, 2), F.substring(bare, F.lit(5), F.length(bare) - 4)
-        valid = _mod97(F.concat(body, F.substring(bare, 1, 4))) == 1
         made = let(permute(body, key, "iban"), lambda b: F.concat(country, F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        spaced = F.rtrim(F.regexp_replace(made, "(.{4})", "$1 "))
-        return F.when(valid, F.when(F.contains(m, F.lit(" ")), spaced).otherwise(made)).otherwise(m)
+        return let(made, lambda x: F.when(F.contains(m, F.lit(" ")), F.rtrim(F.regexp_replace(x, "(.{4})", "$1 "))).otherwise(x))
 
     return let(F.regexp_replace(m, " ", ""), swap)
 
 
+def _numbers(m: Column, key: str) -> Column:
+    """A row of groups with every account number and card in it replaced.
+
+    Account numbers come first: from the left, the most groups (of at most 34 letters and digits)
+    that pass. Cards are sought in what lies between.
+    """
+    def fit(groups: Column, i: Column) -> Column:
+        n = F.size(groups)
+        tries = F.transform(F.sequence(F.least(F.lit(9), n - i), F.lit(1), F.lit(-1)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(groups, i + 1, k), "").alias("bare")))
+
+        def valid(x: Column) -> Column:
+            size, bare = F.length(x["bare"]), x["bare"]
+            whole = size.between(15, 34) | ((i == 0) & (x["k"] == n) & (size > 4))
+            return whole & ((x["k"] == 1) == (F.length(groups[i]) > 4)) & (_mod97(F.concat(F.substring(bare, F.lit(5), size - 4), F.substring(bare, 1, 4))) == 1)
+
+        return F.when(groups[i].rlike("^[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30})?$"), F.coalesce(F.get(F.filter(tries, valid), F.lit(0))["k"], F.lit(0))).otherwise(0)
+
+    def marked(x: Column) -> Column:
+        """The groups in a row, account numbers between marks."""
+        def step(acc: Column, i: Column) -> Column:
+            gap, k = F.when(i > 0, " ").otherwise(""), x["k"][i]
+            return F.when(acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))).when(
+                k > 0, F.struct(F.concat(acc["out"], gap, F.lit("\x01"), F.array_join(F.slice(x["g"], i + 1, k), " "), F.lit("\x01")).alias("out"), (k - 1).alias("skip"))
+            ).otherwise(F.struct(F.concat(acc["out"], gap, x["g"][i]).alias("out"), F.lit(0).alias("skip")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["g"]) - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("skip")), step, lambda acc: acc["out"])
+
+    row = let(F.split(m, " "), lambda g: let(F.struct(g.alias("g"), F.transform(g, lambda _, i: fit(g, i)).alias("k")), marked))
+    parts = F.split(F.when(m.rlike("^[0-9]"), m).otherwise(row), "\x01", -1)
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, _iban(x, key)).otherwise(_swapped(x, _CARD, lambda c: _cards(c, key)))), "")
+
+
 def _address(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
     flat = F.array_join(F.transform(octets, lambda o: F.lower(F.lpad(F.hex(o), 2, "0"))), "")
@@ -213,21 +294,17 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike("[=:]"), _after(m, r"^[^=:]*[=:]\s*[\"']?", lambda s: _token(s, key)))
         .when(m.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), F.concat(F.substring(m, 1, 4), permute(F.substring(m, 5, 16), key, "access")))
         .when(m.rlike("^[0-9a-fA-F]{32,}$"), _token(m, key))
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), _iban(m, key))
         .when(m.rlike(f"^(?:{_DATE})$"), _date(m, key))
         .when(m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), _address(m, key))
         .when(m.rlike(f"^(?:{_SOCIAL})$"), permute(m, key, "social"))
-        .when(m.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), _card(m, key))
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}|^[0-9][0-9 -]*$") & ~m.rlike("^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), _numbers(m, key))
         .otherwise(_after(m, r"^(?:\+[0-9]{1,3}[ .(-])?", lambda s: permute(s, key, "phone")))
     )
 
 
 def pseudonymised(text: Column, key: str) -> Column:
     """``text`` with every valid match replaced; null stays null."""
-    gaps, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    joined = F.array_join(F.zip_with(gaps, new, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    return F.when(text.rlike("[0-9@=:]|AKIA|ASIA"), joined).otherwise(text)
+    return F.when(text.rlike("[0-9@=:]|AKIA|ASIA"), _swapped(text, PATTERN, lambda m: pseudonym(m, key))).otherwise(text)
 
 
 def mask(docs: DataFrame, key: str = "rateflow") -> DataFrame:

@@ -261,6 +261,26 @@ def test_secrets_of_any_letters_and_length(spark):
     assert out[5:] == ["no secret: here", "a=b"]
 
 
+def test_cards_and_accounts_beside_numbers(spark):
+    card, other, iban = "4111 1111 1111 1111", "5425-2334-3010-9903", "BE68 5390 0754 7034"
+    alone = dict(zip([card, other, iban], [t[2:-2] for t in masked(spark, [f"a {x} b" for x in (card, other, iban)])], strict=True))
+    assert all(a != b for a, b in alone.items())
+    texts = [
+        f"pay {card} 12/25 now", f"pay {card} 123", f"no 12345 {card} 7", f"on 12/25 {card} 12 25 999", f"{card} {other}", f"{card} 12a", f"{card} 2025",
+        f"to {iban} 100 now", f"to {iban} USD", f"to {iban} 2024 EUR", f"to {iban} {card} 12", f"to {iban} {iban} 1", f"ref AB12 {card} 12",
+    ]
+    expected = texts
+    for a, b in alone.items():
+        expected = [t.replace(a, b) for t in expected]
+    assert masked(spark, texts) == expected
+    stays = ["1 2 3 4 5 6 7 8 9 " * 2000, "AB12 " + "CODE " * 3000]
+    got = masked(spark, [*stays[1:], f"{card} 2024-01-05", f"{card} 10.0.0.1", f"{card} 415-555-0123", f"{iban} 2024-01-05"])
+    assert got[0] == stays[1]
+    for t, old in zip(got[1:], ["2024-01-05", "10.0.0.1", "415-555-0123", "2024-01-05"], strict=True):
+        assert t.startswith((alone[card], alone[iban])) and old not in t
+    assert len(masked(spark, stays[:1])[0]) == len(stays[0])
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("s"))
     assert df.select(pii.permute(F.col("s"), "k", "t").alias("p")).distinct().count() == 10_000
