@@ -10,7 +10,9 @@ import numpy as np
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|template|iframe|noscript|svg|textarea|title|select|math|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    # svg and math may close themselves; the slash after an unquoted value is part of the value
+    r"|<(?:svg|math)(?=[\s/])(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+|\s++|/(?!>))*+/>"
+    r"|<(?P<raw>script|style|template|iframe|noscript|svg|textarea|title|select|math|object|canvas)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)(?:>|\Z)",
     re.S | re.I,
 )

@@ -32,13 +32,14 @@ _PARTS = {
     "share": (["div", "ul", "p"], ["share", "social", "sharing-buttons", "social-links", "print-email", "follow-us"]),
 }
 _MAIN = (["article", "main", "div", "section", "td"], ["", "content", "article", "post", "entry-content", "main-content", "post-body", "story", "article-body", "page", "text"])
+_ICONS = ['<svg-icon name="a"></svg-icon>', "<template-x></template-x>", "<title-bar hidden></title-bar>", "<object-view/>", '<svg viewBox="0 0 8 8"/>', "<math/>"]
 
 
 class Designer:
     """Random pages from real blocks of text; ``data-k`` marks main text (m) and the rest (b)."""
 
     def __init__(self, blocks: list[str], seed: int = 0):
-        self.random = random.Random(seed)
+        self.random, self.icons = random.Random(seed), random.Random(~seed)
         self.blocks = [b for b in blocks if b]
         self.words = [w for b in self.blocks[:2000] for w in b.split()] or ["text"]
 
@@ -51,6 +52,10 @@ class Designer:
         name = self.random.choice(names)
         return f' {self.random.choice(["class", "class", "id"])}="{name}"' if name else ""
 
+    def icon(self) -> str:
+        """At times a custom element or a self-closed picture, neither of which hides what follows."""
+        return self.icons.choice(_ICONS) if self.icons.random() < 0.1 else ""
+
     def paragraph(self) -> str:
         r = self.random
         text = escape(r.choice(self.blocks) if r.random() < 0.8 else self.some(1, 60))
@@ -87,7 +92,7 @@ class Designer:
             body += self.part(r.choice(["share", "comments", "side"]))
         tag = r.choice(_MAIN[0])
         names = _MAIN[1] if tag in ("article", "main") else _MAIN[1][1:]
-        inner = f"<{tag}{self.attr(names)} data-k=m>{body}</{tag}>"
+        inner = f"<{tag}{self.attr(names)} data-k=m>{self.icon()}{body}</{tag}>"
         return f"<table><tr>{inner}</tr></table>" if tag == "td" else inner
 
     def part(self, kind: str) -> str:
@@ -127,7 +132,7 @@ class Designer:
             inner = text if r.random() < 0.5 or tag == "p" else f"<p>{text}</p>"
             if r.random() < 0.3:
                 inner += f' <a href="/ok">{escape(self.some(1, 2))}</a>'
-        return f"<{tag}{self.attr(names)} data-k=b>{inner}</{tag}>"
+        return f"<{tag}{self.attr(names)} data-k=b>{self.icon()}{inner}</{tag}>"
 
     def page(self) -> str:
         r = self.random

@@ -134,6 +134,21 @@ def test_usual_page(forest):
     assert blocks == ["Head & tail", (para * 3).strip() + " more text", (para * 2).strip()]
 
 
+@pytest.mark.parametrize("mark", [
+    "<svg-icon name='x'></svg-icon>", "<title-bar></title-bar>", "<object-view/>", "<template-x>", "<svg/>", "<svg viewBox='0 0 8 8' />",
+    '<svg a="1>2"b=c d/>', "<math\n/>", "<SVG class='a/b'/>", "<svg class=a/><path/></svg>", "<svg><svg/><title>no</title></svg>", "<select / >no</select>",
+])
+def test_raw_elements_end_where_they_should(mark):
+    texts = [n.text for n in dom.parse(f"<div><p>before</p>{mark}<p>after</p></div><p>last</p>")[1] if n.text]
+    assert texts == ["before", "after", "last"]
+
+
+def test_designs_have_custom_elements_and_closed_pictures(forest):
+    designer = html_boost.Designer(forest[1], 5)
+    pages = "".join(designer.page() for _ in range(200))
+    assert "<svg-icon" in pages and "<svg viewBox" in pages
+
+
 def test_decoder_has_no_contradiction(forest):
     rng = np.random.default_rng(5)
     designer = html_boost.Designer(forest[1], 9)
