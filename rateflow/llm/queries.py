@@ -12,6 +12,8 @@ from rateflow.llm.pu_quality import op2_pu_quality
 from rateflow.llm.simhash import op7_simhash_bk
 from rateflow.llm.spotsigs import op1_spotsigs
 from rateflow.llm.templates import op5_template_leaks
+from rateflow.llm.warc import ORACLE as WARC_SQL
+from rateflow.llm.warc import op12_warc_segments
 
 QUERIES = {
     "op1_spotsigs": op1_spotsigs,
@@ -24,7 +26,8 @@ QUERIES = {
     "op8_boosted_dom": op8_boosted_dom,
     "op9_cutting_stock": op9_cutting_stock,
     "op10_brown_classes": op10_brown_classes,
+    "op12_warc_segments": op12_warc_segments,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_warc_segments": WARC_SQL}
