@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rateflow.llm.brown import op10_brown_classes
+from rateflow.llm.centroids import ORACLE as CENTROID_SQL
+from rateflow.llm.centroids import op13_heap_kmeans
 from rateflow.llm.dac import op4_direct_codes
 from rateflow.llm.html_boost import op8_boosted_dom
 from rateflow.llm.langcnn import op6_byte_cnn
@@ -27,7 +29,8 @@ QUERIES = {
     "op9_cutting_stock": op9_cutting_stock,
     "op10_brown_classes": op10_brown_classes,
     "op12_warc_segments": op12_warc_segments,
+    "op13_heap_kmeans": op13_heap_kmeans,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op12_warc_segments": WARC_SQL}
+ORACLES: dict[str, str] = {"op12_warc_segments": WARC_SQL, "op13_heap_kmeans": CENTROID_SQL}
