@@ -14,6 +14,8 @@ from rateflow.llm.pu_quality import op2_pu_quality
 from rateflow.llm.simhash import op7_simhash_bk
 from rateflow.llm.spotsigs import op1_spotsigs
 from rateflow.llm.templates import op5_template_leaks
+from rateflow.llm.trie import ORACLE as TRIE_SQL
+from rateflow.llm.trie import op11_prefix_trie
 from rateflow.llm.warc import ORACLE as WARC_SQL
 from rateflow.llm.warc import op12_warc_segments
 
@@ -28,9 +30,10 @@ QUERIES = {
     "op8_boosted_dom": op8_boosted_dom,
     "op9_cutting_stock": op9_cutting_stock,
     "op10_brown_classes": op10_brown_classes,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_warc_segments": op12_warc_segments,
     "op13_heap_kmeans": op13_heap_kmeans,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op12_warc_segments": WARC_SQL, "op13_heap_kmeans": CENTROID_SQL}
+ORACLES: dict[str, str] = {"op11_prefix_trie": TRIE_SQL, "op12_warc_segments": WARC_SQL, "op13_heap_kmeans": CENTROID_SQL}
