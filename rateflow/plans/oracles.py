@@ -348,5 +348,31 @@ SELECT o.o_orderkey AS message_id,
   CASE WHEN {bad} THEN CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_quarantine
 FROM orders o LEFT JOIN {n_rows} r ON r.message_id = o.o_orderkey""",
         "html_table_function": sql["table_cells"],
+        "copy_choice": """
+SELECT o_orderkey AS message_id, CAST(1 AS BIGINT) AS n_log,
+  CASE WHEN o_orderkey % 4 = 1 THEN 'mime_error' WHEN o_orderkey % 11 = 0 THEN 'no_html' ELSE 'ok' END AS status,
+  CASE WHEN o_orderkey % 4 = 1 OR o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS n_outbox,
+  CASE WHEN o_orderkey % 4 = 1 THEN 0 ELSE 1 END AS n_ledger,
+  CASE WHEN o_orderkey % 4 = 1 THEN 2 ELSE 0 END AS n_quarantine
+FROM orders""",
+        "retry_queue": f"""
+SELECT o_orderkey AS message_id,
+  CASE WHEN NOT bad THEN 1 WHEN even OR third THEN 2 + CAST(even AND third AS INT) ELSE 2 END AS n_log,
+  CASE WHEN bad AND NOT third THEN 'mime_error' WHEN o_orderkey % 11 = 0 THEN 'no_html' ELSE 'ok' END AS status,
+  CASE WHEN (bad AND NOT third) OR o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS n_outbox,
+  CASE WHEN bad AND NOT third THEN 0 ELSE 1 END AS n_ledger,
+  CASE WHEN NOT bad THEN 0 WHEN even THEN 2 WHEN third THEN 1 ELSE 2 END AS n_quarantine,
+  CASE WHEN NOT bad THEN 0 WHEN even THEN 2 WHEN third THEN 1 ELSE 2 END AS attempts
+FROM (SELECT o_orderkey, {bad} AS bad, o_orderkey % 2 = 0 AS even, o_orderkey % 3 = 0 AS third FROM orders) o""",
+        "committed_batches": f"""
+SELECT message_id, CAST(message_id % 4 AS VARCHAR) AS run_id, 0 AS batch_id, count(*) AS n_rows, sum(rate) AS rates
+FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0 AND message_id % 4 < 3 GROUP BY 1""",
+        "seen_index": "SELECT o_orderkey AS message_id FROM orders WHERE year(o_orderdate) > 1995",
+        "outbox_state": """
+SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'c' || o_orderkey || '@example.com' END AS recipient,
+  CASE WHEN tries > 0 AND o_orderkey % 6 <> 0 THEN 'sent' WHEN o_orderkey % 4 = 0 THEN 'undeliverable' WHEN tries = 0 THEN 'pending' ELSE 'failed' END AS state,
+  tries, CASE WHEN tries > 0 AND o_orderkey % 6 = 0 THEN '451 try later' END AS error,
+  o_orderkey % 4 <> 0 AND tries = 0 AS due
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 2 END AS tries FROM orders) o""",
     }
     return sql

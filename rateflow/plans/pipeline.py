@@ -153,15 +153,16 @@ def process_log(
 
 
 def process_messages(
-    raw: DataFrame, out_dir: str, account: str, run_id: str | None = None, key: str = "message_id"
+    raw: DataFrame, out_dir: str, account: str, run_id: str | None = None, key: str = "message_id", **options
 ) -> str:
     """Batch run over raw messages (``key``, ``content``): the same per-batch writer as the
     stream. Every call is a run of its own; pass the ``run_id`` it returned (or your own) to
-    repeat a run that failed. Returns the run id."""
+    repeat a run that failed. ``options`` go to ``run_batch`` (``retry``, ``max_attempts``).
+    Returns the run id."""
     import uuid
 
     from rateflow.streaming.stream import run_batch
 
     run_id = run_id or uuid.uuid4().hex
-    run_batch(raw, 0, out_dir, account, run_id, key)
+    run_batch(raw, 0, out_dir, account, run_id, key, **options)
     return run_id
