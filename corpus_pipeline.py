@@ -26,13 +26,16 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.mask(docs)
+    return pii.mask(docs, spark.conf.get(PII_KEY, "test key, not secret"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "byte_bpe_50k.json", tokens.BLANKS, 1)
 
 
+#: Session setting with the secret key of the pseudonyms; unset, a key for tests is used.
+PII_KEY = "spark.rateflow.pii.key"
+
 STAGES = [
     ("quality classifier", quality),
     ("SimHash near-dedup", near_duplicates),
