@@ -22,11 +22,16 @@ ROUNDS = 10
 
 # Linear patterns: every start is anchored by a look-behind, long runs are possessive.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?<=\.[A-Za-z]{2,24})"
-_ASSIGNED = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_-]{8,}+"
+# A secret runs to white space, a quote or a bracket of markup: eight characters, or five with a digit.
+_NAMED = r"(?i:password|passwd|passphrase|pwd|token|secret|api[_-]?key)[\"']?\s{0,16}[=:]\s{0,16}[\"']?"
+_BEARER = r"(?i:authorization)[\"']?\s{0,16}[=:]\s{0,16}[\"']?(?i:bearer|basic|token)\s{1,16}"
+_ASSIGNED = rf"(?<![A-Za-z0-9])(?:{_NAMED}|{_BEARER})(?=[^\s\"'<>]{{8}}|[^\s\"'<>]{{0,4}}[0-9])[^\s\"'<>]{{5,}}+"
 _ACCESS = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 _HEX = r"(?<![A-Za-z0-9])(?=[a-fA-F]*+[0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
 _ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+# Eight groups, or four and more with a double colon and a digit.
+_ADDRESS6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*[0-9])(?=(?:[0-9A-Fa-f]{1,4}:)+:)(?:[0-9A-Fa-f]{1,4}::?){3,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])"
 _SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 _PHONE = r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
 # Groups of a card or account number go on to the end of the row of groups, but not into a value of another kind.
@@ -36,7 +41,7 @@ _CARD = rf"(?<![A-Za-z0-9])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:(?
 # How the groups of a card are printed; other groups may be a card too, but these come first.
 _PRINTED = r"^[2-6](?:[0-9]{12,18}|[0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{3}([ -])[0-9]{6}\2[0-9]{4,5})$"
 
-PATTERN = "|".join([_EMAIL, _ASSIGNED, _ACCESS, _HEX, _IBAN, _DATE, _ADDRESS, _SOCIAL, _PHONE, _CARD])
+PATTERN = "|".join([_EMAIL, _ASSIGNED, _ADDRESS6, _ACCESS, _HEX, _IBAN, _DATE, _ADDRESS, _SOCIAL, _PHONE, _CARD])
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -290,8 +295,9 @@ def _after(m: Column, head: str, swap: Callable[[Column], Column]) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ``PATTERN``; a match that is not valid stays as it is."""
     return (
-        F.when(m.contains("@"), F.concat(permute(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
-        .when(m.rlike("[=:]"), _after(m, r"^[^=:]*[=:]\s*[\"']?", lambda s: _token(s, key)))
+        F.when(m.rlike(f"^(?:{_NAMED}|{_BEARER})"), _after(m, f"^(?:{_BEARER}|{_NAMED})", lambda s: _token(s, key)))
+        .when(m.rlike(f"^(?:{_ADDRESS6})$"), permute(F.lower(m), key, "address6", True))
+        .when(m.contains("@"), F.concat(permute(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
         .when(m.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), F.concat(F.substring(m, 1, 4), permute(F.substring(m, 5, 16), key, "access")))
         .when(m.rlike("^[0-9a-fA-F]{32,}$"), _token(m, key))
         .when(m.rlike(f"^(?:{_DATE})$"), _date(m, key))
@@ -307,9 +313,11 @@ def pseudonymised(text: Column, key: str) -> Column:
     return F.when(text.rlike("[0-9@=:]|AKIA|ASIA"), _swapped(text, PATTERN, lambda m: pseudonym(m, key))).otherwise(text)
 
 
-def mask(docs: DataFrame, key: str = "rateflow") -> DataFrame:
+def mask(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in text, and n_chars (where present) set to the new length.
 
+    Whoever has ``key`` can compute the permutation backwards: keep it as a secret. The domain of a
+    mail address stays. Texts of any length go through whole; an empty table stays empty.
     Rows and all other columns are unchanged; repeated rows, empty texts and null texts stay.
     """
     changed = {"text": pseudonymised(F.col("text"), key)}
@@ -321,5 +329,5 @@ def mask(docs: DataFrame, key: str = "rateflow") -> DataFrame:
 
 
 def op3_feistel_pii(spark, sf_dir: str) -> DataFrame:
-    """All documents with pseudonyms for their personal data."""
-    return mask(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with pseudonyms for their personal data (under a test key)."""
+    return mask(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "test key, not secret")
