@@ -52,7 +52,8 @@ class _Pieces(dict):
         return found
 
     def __missing__(self, piece: str) -> bytes:
-        key = piece.lower() if self.encoder.cut == WORDS else piece
+        # the tokenizer lower-cases letter by letter: no final form of sigma
+        key = piece.replace("Σ", "σ").lower() if self.encoder.cut == WORDS else piece
         head = key.rstrip(string.punctuation)
         if self.encoder.cut == BLANKS and key != "\n" and any(map(str.isspace, key.removeprefix(" "))):
             raise _Blank
