@@ -7,7 +7,7 @@ of several widths, keeps each filter's maximum over the window, and ends in a so
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,6 @@ from rateflow.llm import common, rows
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -105,11 +104,12 @@ def train(w: np.ndarray, y: np.ndarray, languages: list[str], dim: int = 8, filt
     return net
 
 
-def learn(docs: DataFrame, usable: Column, limit: int = 4000, sizes: tuple[int, ...] = (WINDOW, WINDOW, 60, 20)) -> Network | None:
+def learn(docs: DataFrame, usable: Column, limit: int = 4000, sizes: tuple[int, ...] = (WINDOW, WINDOW, 60, 20), least: int = 50) -> Network | None:
     """Learn from at most ``limit`` usable rows with a language, a piece of each of ``sizes`` from each.
 
-    Pieces start at hashed places anywhere in the text (short ones teach short texts). None if
-    there is no such row.
+    Pieces start at hashed places anywhere in the text (short ones teach short texts). A language
+    of which that sample has fewer than ``least`` rows gets up to ``least`` more. None if there is no
+    such row. Repeated rows count each.
     """
     known = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
 
@@ -119,6 +119,10 @@ def learn(docs: DataFrame, usable: Column, limit: int = 4000, sizes: tuple[int,
 
     cuts = [piece(k, size) for k, size in enumerate(sizes)]
     found = rows.sample(known, limit).select("lang", F.array(*cuts).alias("cuts")).collect()  # at most limit x sum(sizes) characters
+    had = Counter(r["lang"] for r in found)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    for lang in sorted(k for k, n in counts.items() if had[k] < min(n, least)):
+        found += rows.sample(known.where(F.col("lang") == lang), least).select("lang", F.array(*cuts).alias("cuts")).collect()
     languages = sorted({r["lang"] for r in found})
     if not languages:
         return None
@@ -137,7 +141,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
         model = shared.value
         texts = common.strings(batch, "text")
         names, scores = ["und"] * len(texts), np.ones(len(texts)) if model else np.zeros(len(texts))
-        lettered = [i for i, t in enumerate(texts) if model and _LETTER.search(t)]
+        lettered = [i for i, t in enumerate(texts) if model and any(map(str.isalpha, t))]  # Unicode letters: no digit, fraction or numeral
         if lettered:
             raw = [texts[i].encode() for i in lettered]
             cut = [windows(r) for r in raw]
