@@ -8,12 +8,17 @@ from html import unescape
 
 import numpy as np
 
+# Attributes as HTML5 reads them: a quote delimits a value only right after the equals sign; inside an
+# unquoted value or a name it is a plain character.
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+)"
+_NAMED = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+_ATTRS = rf"(?:[\s/]++|{_NAMED})*+"
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     # svg and math may close themselves; the slash after an unquoted value is part of the value
-    r"|<(?:svg|math)(?=[\s/])(?:[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+|\s++|/(?!>))*+/>"
-    r"|<(?P<raw>script|style|template|iframe|noscript|svg|textarea|title|select|math|object|canvas)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)(?:>|\Z)",
+    rf"|<(?:svg|math)(?=[\s/])(?:{_NAMED}|\s++|/(?!>))*+/>"
+    rf"|<(?P<raw>script|style|template|iframe|noscript|svg|textarea|title|select|math|object|canvas)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role|aria-label|data-k|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

@@ -32,6 +32,10 @@ _PARTS = {
     "share": (["div", "ul", "p"], ["share", "social", "sharing-buttons", "social-links", "print-email", "follow-us"]),
 }
 _MAIN = (["article", "main", "div", "section", "td"], ["", "content", "article", "post", "entry-content", "main-content", "post-body", "story", "article-body", "page", "text"])
+#: Names that say nothing, for main text and for the containers around it.
+_PLAIN = ["", "", "", "a1", "col-8", "x-body", "css-1q2w", "js-root", "inner", "region", "block"]
+#: Attributes with stray quotes, as pages have them.
+_STRAY = [" title=it's", ' data-x="5" tall"', " alt=a\"b", " data-q='>'", ' data-gt="a > b"']
 _ICONS = ['<svg-icon name="a"></svg-icon>', "<template-x></template-x>", "<title-bar hidden></title-bar>", "<object-view/>", '<svg viewBox="0 0 8 8"/>', "<math/>"]
 
 
@@ -56,21 +60,25 @@ class Designer:
         """At times a custom element or a self-closed picture, neither of which hides what follows."""
         return self.icons.choice(_ICONS) if self.icons.random() < 0.1 else ""
 
+    def stray(self) -> str:
+        return self.icons.choice(_STRAY) if self.icons.random() < 0.05 else ""
+
     def paragraph(self) -> str:
         r = self.random
-        text = escape(r.choice(self.blocks) if r.random() < 0.8 else self.some(1, 60))
+        text = escape(r.choice(self.blocks) if r.random() < 0.75 else self.some(1, r.choice([3, 60])))
         if r.random() < 0.2:
             text += f' <a href="/x">{escape(self.some(1, 4))}</a> ' + escape(self.some(2, 20))
         if r.random() < 0.3:
             return f"<p><b>{text}<br>"
-        return f"<p>{text}</p>"
+        return f"<p{self.stray()}>{text}</p>"
 
     def main(self) -> str:
         r, parts = self.random, []
-        if r.random() < 0.9:
+        count = r.choice([0, 1, 1, 2, 3, 4, 6, 9, 14])
+        if not count or r.random() < 0.9:
             h = f"<h1>{escape(self.some(1, 12))}</h1>"
             parts.append(f"<header>{h}</header>" if r.random() < 0.1 else h)
-        for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
+        for _ in range(count):
             kind = r.random()
             if kind < 0.78:
                 parts.append(self.paragraph())
@@ -91,7 +99,8 @@ class Designer:
         if r.random() < 0.15:
             body += self.part(r.choice(["share", "comments", "side"]))
         tag = r.choice(_MAIN[0])
-        names = _MAIN[1] if tag in ("article", "main") else _MAIN[1][1:]
+        # the tag and its name must not be needed: most designs have neither an article nor a telling name
+        names = _MAIN[1] if r.random() < 0.4 else _PLAIN
         inner = f"<{tag}{self.attr(names)} data-k=m>{self.icon()}{body}</{tag}>"
         return f"<table><tr>{inner}</tr></table>" if tag == "td" else inner
 
@@ -146,7 +155,7 @@ class Designer:
         return "<html><body>" + "".join(map(self.part, before)) + main + "".join(map(self.part, after)) + "</body></html>"
 
 
-def learn(html_pages: list[str], designs: int = 1200, seed: int = 0) -> boosting.Forest:
+def learn(html_pages: list[str], designs: int = 2500, seed: int = 0) -> boosting.Forest:
     """Trees fitted on ``designs`` laid-out pages made of the text blocks of ``html_pages``."""
     blocks = [n.text for h in html_pages for n in dom.parse(h)[1] if n.text]
     designer = Designer(blocks or ["text"], seed)
