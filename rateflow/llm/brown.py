@@ -3,10 +3,13 @@ times P(word | class).
 
 Texts are turned into blocks of token indices over the block's own word list once. Word counts are
 summed over all blocks by a shuffle of (block, word) rows and go back to the blocks, so no task
-and no driver holds the vocabulary. Classes are learned for items: every word with at least 1 in
-``1 / frequent`` of all tokens is an item of its own, any other word belongs to the item of its
-ending; so the number of items is bounded, their bigram counts cover every token of the corpus, and
-an unseen word has a class too.
+and no driver holds the vocabulary. Classes are learned by exchange for items: every word with at
+least 1 in ``1 / frequent`` of all tokens is an item of its own, any other word belongs to the item
+of its ending; so the number of items is bounded, their bigram counts cover every token of the
+corpus, and an unseen word has a class too. Every further word with at least 1 in ``1 / own`` of all
+tokens then moves to the class that its own counts of classes before and after it make most likely,
+once for each of ``rounds`` passes. Rarer words stay with their ending: their context counts would
+be as many rows as the corpus has word places.
 """
 
 from __future__ import annotations
@@ -121,7 +124,7 @@ def counted(held: DataFrame, least: float) -> DataFrame:
 
 
 def _word_list(cell: pa.StructArray, endings: pa.Array, frequent: pa.Array, n_frequent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(total, item) by word index of a block; items: end, frequent words, endings."""
+    """(total, item) by word index of a block; items: end, words with a class of their own, endings."""
     pos = cell.field("pos").to_numpy(zero_copy_only=False)
     total = np.empty(len(pos), dtype=np.int64)
     total[pos] = cell.field("total").to_numpy(zero_copy_only=False)
@@ -216,16 +219,13 @@ def _sum_matrices(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).applyInArrow(add, f"{column} INT, data BINARY")
 
 
-def train(counted_blocks: DataFrame, tokens: int, vocabulary: int, classes: int, endings: int, slices: int = 32) -> Model:
-    """Learn the model from all training tokens of the blocks.
+def train(counted_blocks: DataFrame, frequent: list[bytes], tokens: int, vocabulary: int, classes: int, endings: int, slices: int = 32) -> Model:
+    """Learn the model from all training tokens of the blocks; ``words`` are the exchange items.
 
     Each task adds the item bigrams of its blocks into one matrix and sends it in ``slices`` row
     slices, which are added up in two rounds (64 groups of tasks, then all), so that no task reads
     what every other has sent; the sum (items squared, bounded) comes to the driver for the exchange.
     """
-    words = counted_blocks.select(F.explode(F.array_distinct("words.word")).alias("word")).where("word IS NOT NULL").distinct()
-    # the empty word is the end of a text, item 0
-    frequent = sorted(bytes(r["word"]) for r in words.collect() if bytes(r["word"]))  # at most 1 / frequent
     n_items = 1 + len(frequent) + endings
 
     def count(batches):
@@ -260,11 +260,98 @@ def train(counted_blocks: DataFrame, tokens: int, vocabulary: int, classes: int,
     member = np.eye(classes)[label]
     joint = member.T @ bigrams @ member
     size = joint.sum(axis=0)
-    # transitions shrink towards the class frequencies
-    share = (size + 0.5) / (size.sum() + 0.5 * classes)
-    transition = np.log10((joint + 50.0 * share) / (joint.sum(axis=1, keepdims=True) + 50.0))
     distinct = np.bincount(label, weights=sums[-1], minlength=classes).astype(np.int64)
-    return Model(frequent, label, transition, size, distinct, tokens, vocabulary)
+    return Model(frequent, label, transitions(joint), size, distinct, tokens, vocabulary)
+
+
+def settle(counted_blocks: DataFrame, model: Model, words: list[bytes], endings: int, slices: int = 32) -> Model:
+    """The model with every one of ``words`` in the class its own class contexts make most likely.
+
+    One pass counts, for each word, the classes before and after it, the class bigrams being those of
+    ``model``; a word goes to the class c of the greatest sum of log P(c | before), log P(after | c)
+    and the cost of sharing c's mass. A second pass counts the bigrams and words of the new classes. What goes to
+    the driver is ``len(words)`` x 2 classes numbers, and classes squared.
+    """
+    classes, known = len(model.size), len(model.frequent)
+    # items of the new model: the end, exchange items, further words, endings
+    every = model.frequent + words
+    label = np.r_[model.label[: 1 + known], np.full(len(words), -1), model.label[1 + known :]]
+    shared = counted_blocks.sparkSession.sparkContext.broadcast((every, model.label, label))
+    n, cut = len(words), np.array_split(np.arange(len(words)), slices)
+
+    def sequences(batches, value_set, labels, count):
+        """(item, class, training mask, class before) of the tokens of each block."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell, tails = batch.column("words")[i].values, batch.column("endings")[i].values
+                _, item = _word_list(cell, tails, value_set, count)
+                lengths = np.array(batch.column("lengths")[i].as_py())
+                mask = np.repeat(~np.array(batch.column("held_out")[i].as_py()), lengths)
+                yield cell, tails, item, _expand(batch.column("ids")[i].as_py()), mask
+
+    def contexts(batches):
+        every, old, _ = shared.value
+        mine, theirs = pa.array(every, pa.binary()), pa.array(every[:known], pa.binary())
+        sums = np.zeros((n, 2 * classes), dtype=np.int64)
+        for cell, tails, item, ids, mask in sequences(batches, mine, None, len(every)):
+            _, coarse = _word_list(cell, tails, theirs, known)
+            kind = old[coarse][ids]
+            at = item[ids] - 1 - known
+            ours = (at >= 0) & (at < n) & mask
+            before = np.r_[0, kind[:-1]]
+            after = np.r_[kind[1:], 0]
+            flat = np.bincount(at[ours] * 2 * classes + before[ours], minlength=n * 2 * classes)
+            flat += np.bincount(at[ours] * 2 * classes + classes + after[ours], minlength=n * 2 * classes)
+            sums += flat.reshape(n, 2 * classes)
+        group = TaskContext.get().partitionId() % 64
+        for k, rows in enumerate(cut):
+            if len(rows) and sums[rows].any():
+                yield pa.RecordBatch.from_arrays([pa.array([64 * k + group], pa.int32()), pa.array([sums[rows].astype("<i8").tobytes()], pa.binary())], names=["slice", "data"])
+
+    columns = ["words", "endings", "lengths", "held_out", "ids"]
+
+    def added(sent):
+        grouped = _sum_matrices(sent, "slice").select((F.col("slice") / 64).cast("int").alias("slice"), "data")
+        return _sum_matrices(grouped, "slice").collect()
+
+    found = np.zeros((n, 2 * classes), dtype=np.int64)
+    for r in added(counted_blocks.select(*columns).mapInArrow(contexts, "slice INT, data BINARY")):
+        found[cut[r["slice"]]] = np.frombuffer(r["data"], dtype="<i8").reshape(-1, 2 * classes)
+    forward = model.transition * np.log(10)  # [before, class]
+    gain = found[:, :classes] @ forward + found[:, classes:] @ forward.T
+    # a word's share of its class: the same count weighs less in a larger class
+    gain -= found[:, :classes].sum(1)[:, None] * np.log(np.maximum(model.size, 1.0))[None, :]
+    gain[:, 0] = -np.inf  # the end of a text is alone
+    gain[:, model.size == 0] = -np.inf
+    label[1 + known : 1 + known + n] = gain.argmax(1)
+    shared_label = counted_blocks.sparkSession.sparkContext.broadcast((every, label))
+
+    def bigrams(batches):
+        every, label = shared_label.value
+        mine = pa.array(every, pa.binary())
+        sums = np.zeros((classes + 1, classes), dtype=np.int64)
+        for cell, tails, item, ids, mask in sequences(batches, mine, label, len(every)):
+            total, _ = _word_list(cell, tails, mine, len(every))
+            first = np.empty(len(item), dtype=bool)
+            first[cell.field("pos").to_numpy(zero_copy_only=False)] = cell.field("first").to_numpy(zero_copy_only=False)
+            sums[-1] += np.bincount(label[item[first & (total > 0)]], minlength=classes)
+            kind = label[item][ids]
+            pairs = (np.r_[0, kind[:-1]] * classes + kind)[mask]
+            sums[:-1] += np.bincount(pairs, minlength=classes * classes).reshape(classes, classes)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([sums.astype("<i8").tobytes()], pa.binary())], names=["slice", "data"])
+
+    total = np.zeros((classes + 1, classes), dtype=np.int64)
+    for r in added(counted_blocks.select(*columns).mapInArrow(bigrams, "slice INT, data BINARY")):
+        total += np.frombuffer(r["data"], dtype="<i8").reshape(classes + 1, classes)
+    joint = total[:-1].astype(float)
+    return Model(every, label, transitions(joint), joint.sum(axis=0), total[-1], model.tokens, model.vocabulary)
+
+
+def transitions(joint: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from class bigram counts, shrunk towards the class frequencies."""
+    size = joint.sum(axis=0)
+    share = (size + 0.5) / (size.sum() + 0.5 * len(size))
+    return np.log10((joint + 50.0 * share) / (joint.sum(axis=1, keepdims=True) + 50.0))
 
 
 SCORES = "doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, base_score DOUBLE, score DOUBLE"
@@ -299,18 +386,26 @@ def score(counted_blocks: DataFrame, model: Model) -> DataFrame:
     return counted_blocks.select("words", "endings", "ids", "lengths", "doc_ids", "held_out").mapInArrow(run, SCORES)
 
 
-def class_scores(docs: DataFrame, held_out, classes: int = 48, endings: int = 1024, frequent: float = 1 / 2000) -> DataFrame:
+def class_scores(docs: DataFrame, held_out, classes: int = 48, endings: int = 1024, frequent: float = 1 / 2000, own: float = 1 / 50_000, rounds: int = 1) -> DataFrame:
     """Scores of every row of ``docs``; ``held_out`` (a column) marks rows not to learn from.
 
     Null text is empty (one token, the end). Repeated rows count and are scored each. An empty
-    table gives no rows. The frequent-word threshold is relative, so it is the same at every size.
+    table gives no rows. Both thresholds are relative, so they are the same at every size.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held_out.alias("held_out"))
     held = common.stored(blocks(d, endings), "brown-blocks")
     tokens = held.agg(F.coalesce(F.sum("train_tokens"), F.lit(0))).first()[0]
-    full = common.stored(counted(held, max(1.0, tokens * frequent)), "brown-counted")
+    full = common.stored(counted(held, max(1.0, tokens * min(own, frequent))), "brown-counted")
     vocabulary = full.agg(F.coalesce(F.sum("new_words"), F.lit(0))).first()[0]
-    return score(full, train(full, tokens, vocabulary, classes, endings))
+    listed = full.select(F.explode(F.transform(F.filter("words", lambda w: w["first"] & w["word"].isNotNull()), lambda w: F.struct(w["word"].alias("word"), w["total"].alias("total")))).alias("w"))
+    # at most 1 / own words; the empty one is the end of a text
+    words = sorted((bytes(r["word"]), r["total"]) for r in listed.select("w.word", "w.total").collect() if bytes(r["word"]))
+    top = [w for w, n in words if n >= max(1.0, tokens * frequent)]
+    model = train(full, top, tokens, vocabulary, classes, endings)
+    more = [w for w, n in words if n < max(1.0, tokens * frequent)]
+    for _ in range(rounds if more else 0):
+        model = settle(full, Model(top, np.r_[model.label[: 1 + len(top)], model.label[-endings:]], model.transition, model.size, model.distinct, tokens, vocabulary), more, endings)
+    return score(full, model)
 
 
 def op10_brown_classes(spark, sf_dir: str) -> DataFrame:
