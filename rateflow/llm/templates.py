@@ -10,7 +10,6 @@ document) before the pair is reported; matches beside a copy's place do not coun
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ class Words:
     """Raw word -> (hash of the lower-cased bare word, is capitalised, is number, is unit, ends a
     sentence, may be a name), through a bounded cache."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 700_000):
         self.known: dict[str, int] = {}
         self.limit = limit
 
@@ -51,19 +51,23 @@ class Words:
         """58-bit hash and flags in one integer: 1 capital, 2 number, 4 unit, 8 sentence end, 16 capital
         with a possessive, hyphen or apostrophe allowed. The hash is that of the word less a possessive
         "'s", then two bits for its form."""
-        bare = raw.strip(_EDGE)
+        plain = raw.isalpha()  # no mark, digit or possessive
+        bare = raw if plain else raw.strip(_EDGE)
+        if not bare:  # marks only: dropped from the word sequence
+            return -2
         low = bare.lower()
-        possessive = 1 if low.endswith("'s") else 2 if low.endswith("’s") else 0
+        possessive = 0 if plain else 1 if low.endswith("'s") else 2 if low.endswith("’s") else 0
+        h = xxhash.xxh64_intdigest((low[:-2] if possessive else low).encode())
+        number = low in NUMBER_WORDS or (not plain and bool(_NUMBER.match(bare)))
+        capital = wide = False
+        if not number and bare[0].isupper() and not bare.isupper():
+            capital = plain or bare.isalpha()
         stem = bare[:-2] if possessive else bare
-        data = (low[:-2] if possessive else low).encode()
-        h = zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
-        number = bool(_NUMBER.match(bare)) or low in NUMBER_WORDS
-        capital = not number and bare[:1].isupper() and not bare.isupper() and bare.isalpha()
-        ends = raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":") or not bare
-        wide = not number and stem[:1].isupper() and not stem.isupper() and all(map(str.isalpha, _PARTS.split(stem)))
+        if not number and stem[:1].isupper() and not stem.isupper():
+            wide = capital or all(map(str.isalpha, _PARTS.split(stem)))
+        ends = not plain and raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":")
         flags = capital | number << 1 | (low in UNITS) << 2 | ends << 3 | wide << 4
-        # an empty bare word (marks only) is dropped from the word sequence
-        return -1 - (flags >> 3 & 1) if not bare else ((h & ((1 << 56) - 1)) << 2 | possessive) << 5 | flags
+        return ((h & ((1 << 56) - 1)) << 2 | possessive) << 5 | flags
 
     def codes(self, text: str) -> np.ndarray:
         words = text.replace("\n", " . ").split()
@@ -115,41 +119,54 @@ class Sequence:
     def __len__(self) -> int:
         return len(self.value)
 
-    def windows(self, width: int, literals: int = 2) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each window, as a template and by its lower-cased words as written. A window
-        with fewer than ``literals`` ordinary words says nothing as a template and has only the
-        second; that one also finds copies whose case or punctuation moved names and sentences."""
-        n = len(self) - width + 1
-        if n <= 0:
-            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-        typed, plain = np.zeros(n, np.uint64), np.ones(n, np.uint64)
-        base = np.uint64(0x100000001B3)
-        for k in range(width):
-            typed ^= self.token[k : k + n]
-            typed *= base
-            typed ^= typed >> np.uint64(29)
-            plain ^= self.value[k : k + n]
-            plain *= base
-            plain ^= plain >> np.uint64(31)
-        return np.where(_counts(self.type == LITERAL, width) >= literals, typed, plain), plain
-
-    def wide_windows(self, width: int, literals: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int, literals: int = 2, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, template hashes, hashes as written) of the windows (``at``: those places only).
+
+        A window with fewer than ``literals`` ordinary words says nothing as a template and has the
+        second hash for both; that one also finds copies whose case or punctuation moved names and
+        sentences."""
+        at = np.arange(max(0, len(self) - width + 1)) if at is None else at
+        typed, plain = self._hash(self.token, at, width, 29), self._hash(self.value, at, width, 31, 1)
+        if not len(at):
+            return at, typed, plain
+        return at, np.where(_counts(self.type == LITERAL, width)[at] >= literals, typed, plain), plain
+
+    def wide_windows(self, width: int, literals: int = 2, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the windows that the wide reading changes, with enough ordinary words."""
         n = len(self) - width + 1
         if n <= 0 or not self.wide.any():
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-        at = np.flatnonzero((_counts(self.wide, width) > 0) & (_counts(self.wide_type == LITERAL, width) >= literals))
+        good = (_counts(self.wide, width) > 0) & (_counts(self.wide_type == LITERAL, width) >= literals)
+        at = np.flatnonzero(good) if at is None else at[good[at]]
         token = np.where(self.wide, _PLACEHOLDER[NAME], self.token)
-        return at, self._typed(token, at, width)
+        return at, self._hash(token, at, width, 29)
+
+    def neighbours(self) -> list[np.ndarray]:
+        """20 bits of each pair of neighbours: as a template, as written, and in the wide reading."""
+        readings = [self.token, self.value]
+        if self.wide.any():
+            readings.append(np.where(self.wide, _PLACEHOLDER[NAME], self.token))
+        return [((r[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ r[1:] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)).astype(np.int64) for r in readings]
 
     @staticmethod
-    def _typed(token: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-        h, base = np.zeros(len(at), np.uint64), np.uint64(0x100000001B3)
+    def _hash(token: np.ndarray, at: np.ndarray, width: int, shift: int, start: int = 0) -> np.ndarray:
+        h, base = np.full(len(at), start, np.uint64), np.uint64(0x100000001B3)
         for k in range(width):
             h = (h ^ token[at + k]) * base
-            h ^= h >> np.uint64(29)
+            h ^= h >> np.uint64(shift)
         return h
 
+    def shape(self) -> tuple:
+        """What items of one template share: both readings, and which slots are filled alike."""
+        first: dict[tuple[int, int], int] = {}
+        slots = np.flatnonzero((self.type != LITERAL) | self.wide)
+        alike = [first.setdefault((int(self.value[i]), int(self.value[i]) >> 2), i) for i in slots.tolist()]
+        stems: dict[int, int] = {}
+        near = [stems.setdefault(int(self.value[i]) >> 2, i) for i in slots.tolist()]
+        token = np.where(self.wide, _PLACEHOLDER[NAME], self.token)
+        literal = np.where((self.type == LITERAL) & ~self.wide, self.value, 0)
+        return self.token[~self.wide].tobytes(), token.tobytes(), literal.tobytes(), self.type.tobytes(), self.wide.tobytes(), tuple(alike), tuple(near)
+
 
 def consistent(item: Sequence, doc: Sequence, at: list[tuple[int, int]], wide: bool = False) -> tuple[float, int]:
     """Share of the matched slots that follow the main mapping of item values to document values
@@ -183,64 +200,120 @@ def _aligned(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Index:
-    """Windows of a block of benchmark items, sorted by hash, for joining inside a task."""
+    """Windows of a block of benchmark items, sorted by hash, for joining inside a task.
+
+    Items of one ``Sequence.shape`` form a class: their windows stand once, and what a document
+    says of the template is worked out once. Only windows as written around a slot belong to a
+    single member.
+    """
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         words = Words()
-        self.width, self.ids, self.sequences = width, [], []
-        hashes, owner, place, wide = [], [], [], []
+        self.width = width
+        self.members: list[list[tuple[int, Sequence]]] = []
+        classes: dict[tuple, int] = {}
+        hashes, owner, place, wide, member = [], [], [], [], []
+        low = np.uint64((1 << 20) - 1)
+        #: low bits of every pair of neighbours of an item, in each reading
+        self.pairs = np.zeros(1 << 20, dtype=bool)
         for item_id, text in items:
             s = Sequence(words.codes(text))
-            typed, plain = s.windows(min(width, max(1, len(s))))
-            if len(typed):
-                other = np.flatnonzero(plain != typed)
-                at, more = s.wide_windows(min(width, len(s)))
-                hashes.append(np.concatenate([typed, plain[other], more]))
-                owner.append(np.full(len(hashes[-1]), len(self.ids)))
-                place.append(np.concatenate([np.arange(len(typed)), other, at]))
-                wide.append(np.arange(len(hashes[-1])) >= len(typed) + len(other))
-                self.ids.append(item_id)
-                self.sequences.append(s)
+            if not len(s):
+                continue
+            for p in s.neighbours():
+                self.pairs[p] = True
+            k = classes.setdefault(s.shape(), len(classes))
+            new = k == len(self.members)
+            if new:
+                self.members.append([])
+            w = min(width, len(s))
+            at, typed, plain = s.windows(w)
+            slots = _counts((s.type != LITERAL) | s.wide, w) > 0
+            # as written: around a slot for this member, else for the class
+            own = np.flatnonzero(slots)
+            parts = [(plain[own], own, False, len(self.members[k]))]
+            if new:
+                rest = np.flatnonzero(~slots & (plain != typed))
+                few = typed != plain
+                typed_at = np.flatnonzero(few | ~slots)
+                wide_at, more = s.wide_windows(w)
+                parts += [(typed[typed_at], typed_at, False, -1), (plain[rest], rest, False, -1), (more, wide_at, True, -1)]
+            for h, q, is_wide, m in parts:
+                hashes.append(h)
+                owner.append(np.full(len(h), k))
+                place.append(q)
+                wide.append(np.full(len(h), is_wide))
+                member.append(np.full(len(h), m))
+            self.members[k].append((item_id, s))
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
+        joined = lambda parts, kind: np.concatenate(parts)[order].astype(kind) if parts else np.empty(0, kind)
         self.hash = h[order]
-        self.owner = np.concatenate(owner)[order] if hashes else h.astype(np.int64)
-        self.place = np.concatenate(place)[order] if hashes else h.astype(np.int64)
-        self.wide = np.concatenate(wide)[order] if hashes else h.astype(bool)
+        self.owner, self.place = joined(owner, np.int64), joined(place, np.int64)
+        self.wide, self.member = joined(wide, bool), joined(member, np.int64)
         # a first look at the low bits spares most windows the search
         self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.short = sorted({len(s) for s in self.sequences if len(s) < width})
+        self.seen[(self.hash & low).astype(np.int64)] = True
+        self.short = sorted({len(m[0][1]) for m in self.members if len(m[0][1]) < width})
 
     def matches(self, doc: Sequence, share: float, run: int, agree: float) -> list[tuple[int, float, int, float, int]]:
         """(item, covered share, longest run, agreement, slots) of the items that ``doc`` holds."""
-        found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        wider: dict[int, set[tuple[int, int]]] = defaultdict(set)  # what only the wide reading matches
+        low = np.uint64((1 << 20) - 1)
+        # a window can only match where all its neighbours are those of some item
+        able = np.zeros(max(0, len(doc) - 1), dtype=bool)
+        for p in doc.neighbours():
+            able |= self.pairs[p]
+        # class -> member (-1: all) -> pairs; wider: what only the wide reading matches
+        found: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+        wider: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for width in [self.width, *self.short]:
-            at, wide = doc.wide_windows(width)
-            for w, places in [*((w, None) for w in doc.windows(width)), (wide, at)]:
-                maybe = np.flatnonzero(self.seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            if len(doc) < width:
+                continue
+            at = np.flatnonzero(_counts(able, width - 1) == width - 1) if width > 1 else np.arange(len(doc))
+            if not len(at):
+                continue
+            _, typed, plain = doc.windows(width, at=at)
+            wide_at, wide = doc.wide_windows(width, at=at)
+            for w, places, is_wide in ((typed, at, False), (plain, at, False), (wide, wide_at, True)):
+                maybe = np.flatnonzero(self.seen[(w & low).astype(np.int64)])
                 if not len(maybe):
                     continue
                 lo = np.searchsorted(self.hash, w[maybe], "left")
                 hi = np.searchsorted(self.hash, w[maybe], "right")
-                held = maybe if places is None else places[maybe]
-                for p, a, b in zip(held[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    for k in range(a, b):
-                        if min(self.width, len(self.sequences[self.owner[k]])) == width:
-                            (wider if places is not None or self.wide[k] else found)[int(self.owner[k])].add((int(self.place[k]), p))
+                for p, a, b in zip(places[maybe][hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                    for k, q, v, m in zip(self.owner[a:b].tolist(), self.place[a:b].tolist(), self.wide[a:b].tolist(), self.member[a:b].tolist(), strict=True):
+                        if min(self.width, len(self.members[k][0][1])) == width:
+                            if is_wide or v:
+                                wider[k].add((q, p))
+                            else:
+                                found[k][m].add((q, p))
         out = []
         for k in [*found, *(wider.keys() - found.keys())]:
-            best = self._best(k, doc, found.get(k, set()), share, run, agree)
-            if not best and k in wider:
-                best = self._best(k, doc, found.get(k, set()) | wider[k], share, run, agree, True)
+            members, pairs, more = self.members[k], found.get(k, {}), wider.get(k, set())
+            shared = pairs.get(-1, set())
+            if len(members) == 1:
+                best = self._either(members[0][1], doc, shared | pairs.get(0, set()), more, share, run, agree)
+                out += [(members[0][0], *best)] if best else []
+                continue
+            best = self._either(members[0][1], doc, shared, more, share, run, agree, True)
             if best:
-                out.append((self.ids[k], *best))
+                out += [(item_id, *best) for item_id, _ in members]
+                continue
+            # a member may still be there as written
+            for m in sorted(pairs.keys() - {-1}):
+                best = self._either(members[m][1], doc, shared | pairs[m], more, share, run, agree)
+                out += [(members[m][0], *best)] if best else []
         return out
 
-    def _best(self, k: int, doc: Sequence, pairs: set[tuple[int, int]], share: float, run: int, agree: float, wide: bool = False) -> tuple[float, int, float, int] | None:
-        """(covered share, longest run, agreement, slots) of the best copy of item ``k`` in ``doc``."""
-        item = self.sequences[k]
+    def _either(self, item: Sequence, doc: Sequence, pairs: set, more: set, share: float, run: int, agree: float, template: bool = False) -> tuple | None:
+        best = self._best(item, doc, pairs, share, run, agree, False, template)
+        return best or (self._best(item, doc, pairs | more, share, run, agree, True, template) if more else None)
+
+    def _best(
+        self, item: Sequence, doc: Sequence, pairs: set[tuple[int, int]], share: float, run: int, agree: float, wide: bool = False, template: bool = False
+    ) -> tuple[float, int, float, int] | None:
+        """(covered share, longest run, agreement, slots) of the best copy of ``item`` in ``doc``;
+        with ``template`` its slot values say nothing, as it stands for its class."""
         width = min(self.width, len(item))
         total = len(item) - width + 1
         best = None
@@ -254,7 +327,7 @@ class Index:
         for group, near in self._copies(pairs, len(item)):
             if not reach(near)[2]:
                 continue  # nor does any part of it
-            for part in self._readings(group, near, item, doc, width):
+            for part in self._readings(group, near, item, doc, width, template):
                 covered, longest, enough = reach(part)
                 if not enough:
                     continue
@@ -267,12 +340,13 @@ class Index:
         return best
 
     @staticmethod
-    def _readings(group: list[tuple[int, int]], near: list[tuple[int, int]], item: Sequence, doc: Sequence, width: int) -> Iterator[list[tuple[int, int]]]:
+    def _readings(group: list[tuple[int, int]], near: list[tuple[int, int]], item: Sequence, doc: Sequence, width: int, template: bool) -> Iterator[list[tuple[int, int]]]:
         """The pairs that may be one copy, each set to be judged by itself: an item that repeats its
         own template also matches beside its place, and those matches say nothing of the slots. All
         pairs; those equal as written; the longest alignment in order; each diagonal."""
         yield group
-        yield [(q, p) for q, p in near if np.array_equal(item.value[q : q + width], doc.value[p : p + width])]
+        if not template:
+            yield [(q, p) for q, p in near if np.array_equal(item.value[q : q + width], doc.value[p : p + width])]
         yield _aligned(near)
         for _, one in groupby(group, key=lambda x: x[1] - x[0]):
             yield list(one)
@@ -334,7 +408,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, width: int = 5, share: fl
 
         if i == 0:
             out = rows.annotate(docs, {"text": F.col("text")}, MATCHES, one)
-        else:
+        else:  # each block is a pass of its own, not one more worker in every task
+            out = common.stored(out, "leaks")
             more = rows.annotate(out, {"text": F.col("row.text")}, MATCHES, one)
             out = more.select("row.row", *[F.concat(f"row.{n}", n).alias(n) for n in ("items", "shares", "runs", "agreements", "slots")])
     return out

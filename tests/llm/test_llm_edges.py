@@ -70,8 +70,8 @@ def test_quality(spark, odd, none):
 
 
 def test_pseudonyms(odd, none):
-    assert pii.mask(none).collect() == []
-    got = pii.mask(odd)
+    assert pii.mask(none, "k").collect() == []
+    got = pii.mask(odd, "k")
     assert got.columns == odd.columns and got.count() == len(ROWS)
     assert {r["text"] for r in got.collect()} == {r[1] for r in ROWS}
 
