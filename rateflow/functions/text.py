@@ -91,17 +91,36 @@ def service_name(c, keywords: Sequence[tuple[str, str]] = dims.SERVICE_KEYWORDS,
     return F.when(c.isNotNull(), expr)
 
 
-def with_services(df: DataFrame, name_col: str, dim: DataFrame, out: str = "name") -> DataFrame:
-    """E6 with a dictionary table: adds the service of the keyword of lowest priority number that
-    the lower-cased text contains, else ''; null text -> null.
+def _grams(c: Column, q: int) -> Column:
+    """All distinct substrings of ``q`` characters (null or shorter: none)."""
+    n = F.length(c) - q + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(q)))))
 
-    The dictionary is joined as one row (``dims.keyword_row``), so every text meets it once and no
-    pair of a text and a keyword becomes a row.
+
+def with_services(df: DataFrame, name_col: str, dim: DataFrame, out: str = "name", q: int = 3) -> DataFrame:
+    """E6 with a dictionary table ``(keyword, service, prio)`` of any size: adds the service of the
+    keyword of lowest priority number that the lower-cased text contains, else ''; null text -> null.
+
+    Each keyword is filed under one of its substrings of ``q`` characters, the one that fewest
+    keywords have (shorter keywords under themselves). Distinct texts meet the keywords by an
+    equi-join on their own substrings, so only pairs that share one are compared; rows get the
+    result of their text by an equi-join. Null and empty keywords are left out; of equal priority
+    numbers the smallest keyword, then service, counts.
     """
+    keys = dim.where("keyword IS NOT NULL AND keyword <> ''").select(F.lower("keyword").alias("keyword"), "service", "prio").distinct()
+    sizes = F.least(F.length("keyword"), F.lit(q))
+    short = F.filter(F.array(*[F.struct(F.lit(k).alias("q"), _grams(F.col("keyword"), k).alias("g")) for k in range(1, q + 1)]), lambda x: x["q"] == sizes)[0]["g"]
+    filed = keys.select("keyword", "service", "prio", F.explode(short).alias("gram"))
+    rare = filed.groupBy("gram").agg(F.count("*").alias("n"))
+    filed = filed.join(rare, "gram").groupBy("keyword", "service", "prio").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     low = F.lower(F.col(name_col))
-    first = F.get(F.filter("keywords", lambda k: F.contains(low, k["keyword"])), F.lit(0))["service"]
-    found = F.when(low.isNotNull(), F.coalesce(first, F.lit("")))
-    return df.join(F.broadcast(dims.keyword_row(dim))).withColumn(out, found).drop("keywords")
+    texts = df.where(F.col(name_col).isNotNull()).select(low.alias("_low")).distinct()
+    every = F.flatten(F.array(*[F.coalesce(_grams(F.col("_low"), k), F.array().cast("array<string>")) for k in range(1, q + 1)]))
+    pairs = texts.select("_low", F.explode(every).alias("gram")).join(filed, "gram").where(F.contains(F.col("_low"), F.col("keyword")))
+    best = pairs.groupBy("_low").agg(F.min(F.struct("prio", "keyword", "service")).alias("_best"))
+    joined = df.withColumn("_low", low).join(best, "_low", "left")
+    found = F.when(F.col("_low").isNotNull(), F.coalesce(F.col("_best.service"), F.lit("")))
+    return joined.withColumn(out, found).drop("_low", "_best")
 
 
 def stopword_pattern(words: Sequence[str] = dims.STOPWORDS, literal: bool = False) -> str:
