@@ -53,8 +53,11 @@ def alias_map(field_aliases: dict[str, list[str]] = FIELD_ALIASES) -> dict[str,
 
 
 def field_alias_frame(spark: SparkSession, field_aliases=FIELD_ALIASES) -> DataFrame:
-    rows = [(a.lower(), f, p) for f, aliases in field_aliases.items() for p, a in enumerate(aliases)]
-    return spark.createDataFrame(rows, "alias STRING, field STRING, prio INT")
+    """One row per alias: its field, the field's place (``field_no``) and the alias's place in it."""
+    rows = [
+        (a.lower(), f, p, n) for n, (f, aliases) in enumerate(field_aliases.items()) for p, a in enumerate(aliases)
+    ]
+    return spark.createDataFrame(rows, "alias STRING, field STRING, prio INT, field_no INT")
 
 
 def service_keyword_frame(spark: SparkSession, keywords=SERVICE_KEYWORDS) -> DataFrame:

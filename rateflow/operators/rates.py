@@ -43,6 +43,41 @@ def is_rate_header(fields: Column, width: Column, field_aliases=dims.FIELD_ALIAS
     )
 
 
+def consume_fields(headers: DataFrame, aliases: DataFrame, width: int | None = None, header: str = "header") -> DataFrame:
+    """E2 + D1/D2 with the aliases as a table (``alias, field, prio, field_no``) of any size.
+
+    In the order of ``field_no`` every field takes the first of its aliases, by ``prio``, that a header
+    cell not taken before has (the leftmost such cell). Adds ``found``, an array of (field, pos) by
+    field, and ``is_rate_table``: no cell is left over and, unless ``width`` is None, the header has
+    that many cells. Null cells are always left over; null headers give null and false, null or empty
+    aliases match nothing, equal alias rows count once.
+
+    Headers repeat from message to message, so the distinct ones are taken apart, matched by an
+    equi-join on the header name and put together again; nothing is collected to the driver.
+    """
+    known = aliases.where("alias <> ''").select(tx.header_key("alias").alias("__alias"), "field_no", "prio", "field").distinct()
+    distinct = headers.where(F.col(header).isNotNull()).select(F.col(header).alias("__header")).distinct()
+    cells = distinct.select("__header", F.posexplode("__header").alias("pos", "cell"))
+    named = cells.where("cell IS NOT NULL").select("__header", "pos", tx.header_key("cell").alias("__alias"))
+    hits = named.join(known, "__alias").groupBy("__header").agg(
+        F.sort_array(F.collect_list(F.struct("field_no", "prio", "pos", "field"))).alias("hits")
+    )
+
+    def take(taken: Column, hit: Column) -> Column:
+        spent = F.exists(taken, lambda t: (t["field"] == hit["field"]) | (t["pos"] == hit["pos"]))
+        return F.when(spent, taken).otherwise(F.concat(taken, F.array(F.struct(hit["field"].alias("field"), hit["pos"].alias("pos")))))
+
+    nothing = F.array().cast("array<struct<field:string,pos:int>>")
+    matched = hits.select("__header", F.aggregate("hits", nothing, take).alias("found"))
+    cols = [c for c in headers.columns if c not in ("found", "is_rate_table")]
+    joined = headers.select(*cols).join(matched, F.col(header) == F.col("__header"), "left").drop("__header")
+    found = F.when(F.col(header).isNotNull(), F.coalesce("found", nothing))
+    fits = F.lit(True) if width is None else F.size(header) == width
+    return joined.select(
+        *cols, found.alias("found"), F.coalesce((F.size(found) == F.size(header)) & fits, F.lit(False)).alias("is_rate_table")
+    )
+
+
 def _position(fields: Column, field: str) -> Column:
     return (F.array_position(fields, field) - 1).cast("int")
 

@@ -368,6 +368,24 @@ FROM (SELECT o_orderkey, {bad} AS bad, o_orderkey % 2 = 0 AS even, o_orderkey %
 SELECT message_id, CAST(message_id % 4 AS VARCHAR) AS run_id, 0 AS batch_id, count(*) AS n_rows, sum(rate) AS rates
 FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0 AND message_id % 4 < 3 GROUP BY 1""",
         "seen_index": "SELECT o_orderkey AS message_id FROM orders WHERE year(o_orderdate) > 1995",
+        "header_match_dim": """
+SELECT o_orderkey AS message_id, CASE o_orderkey % 8
+  WHEN 0 THEN 'наименование:0;ставка:1;вход:2' WHEN 1 THEN 'наименование:0;ставка:1;вход:2'
+  WHEN 2 THEN 'наименование:1;ставка:0;вход:2' WHEN 3 THEN 'наименование:3;ставка:2;вход:0;примечание:1'
+  WHEN 4 THEN 'ставка:2;вход:1' WHEN 5 THEN 'ставка:0;вход:2' WHEN 6 THEN 'наименование:0;ставка:2;услуга:1'
+  ELSE 'наименование:0;вход:2' END AS found, o_orderkey % 8 IN (0, 1, 2, 3, 6) AS is_rate_table FROM orders""",
+        "charset_evidence": """
+SELECT o_orderkey AS message_id, CASE WHEN v IN (5, 6) THEN 'Commande ' || o_orderkey || ' : prix révisé, délai à préciser'
+    || CASE v WHEN 6 THEN ' – 5 €' ELSE '' END
+  WHEN v = 2 THEN 'ЗАЯВКА ' || o_orderkey || ': СТАВКА ЗА ФРАХТ И ПЕРЕВОЗКУ, НДС 20%'
+  ELSE 'Заявка ' || o_orderkey || ': ставка за фрахт и перевозку, НДС 20%' END AS text,
+  list_extract(['utf-8', 'windows-1251', 'koi8-r', 'ibm866', 'iso-8859-5', 'iso-8859-1', 'windows-1252', 'koi8-r'], v + 1) AS charset
+FROM (SELECT o_orderkey, CAST(o_orderkey % 8 AS INT) AS v FROM orders) o""",
+        "table_files": f"""
+SELECT CASE message_id % 3 WHEN 0 THEN 'mail.' || message_id WHEN 1 THEN CAST(message_id AS VARCHAR) ELSE 'mail~' || message_id END
+  || '_' || table_idx || CASE WHEN message_id % 2 = 0 THEN '.csv' ELSE '.xml' END AS name, content
+FROM (SELECT message_id, table_idx, csv AS content FROM ({table_csv_sql()}) c WHERE message_id % 2 = 0
+  UNION ALL SELECT message_id, table_idx, xml AS content FROM ({table_xml_sql()}) x WHERE message_id % 2 <> 0) f""",
         "outbox_state": """
 SELECT o_orderkey AS message_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'c' || o_orderkey || '@example.com' END AS recipient,
   CASE WHEN tries > 0 AND o_orderkey % 6 <> 0 THEN 'sent' WHEN o_orderkey % 4 = 0 THEN 'undeliverable' WHEN tries = 0 THEN 'pending' ELSE 'failed' END AS state,

@@ -19,7 +19,7 @@ from rateflow.operators import rates, render, thread
 from rateflow.operators.markup import parse_html
 from rateflow.plans import pipeline
 from rateflow.session import scratch_dir, ship_package
-from rateflow.sinks import files
+from rateflow.sinks import files, named_files
 from rateflow.sources import messages, synth
 
 
@@ -71,20 +71,36 @@ _HEADERS = [
     ["Наименование услуги", "ставка", "вход"],
     ["\tСтавка", synth.NBSP + "Наименование услуги ", "ВхОд\n"],
     ["ВХОД", "Примечание", "Ставка", "Наименование"],
-    ["Услуги", "ВХОД", "ставка"],
+    ["Перевозка", "вход", "Ставка"],
     ["ставка", "ставка", "вход"],
     ["наименование", "наименование услуги", "ставка"],
     ["Наименование", None, "Вход"],
 ]
 
 
-def q_header_match(spark, sf_dir):
+def _headers(spark, sf_dir):
     o = _orders(spark, sf_dir)
     variant = (F.col("o_orderkey") % len(_HEADERS)).cast("int")
     header = F.element_at(
         F.array(*[F.array(*[F.lit(h).cast("string") for h in hs]) for hs in _HEADERS]), variant + 1
     )
-    t = o.select(F.col("o_orderkey").alias("message_id"), header.alias("header"))
+    return o.select(F.col("o_orderkey").alias("message_id"), header.alias("header"))
+
+
+#: Fields beyond the rate table's: one of its own name, one that shares an alias with another field.
+MORE_FIELDS = {"примечание": ["комментарий", "примечание"], "услуга": ["наименование услуги"]}
+
+
+def q_header_match_dim(spark, sf_dir):
+    """E2/D2 with five fields as an alias table, for headers of any width."""
+    aliases = dims.field_alias_frame(spark, dims.FIELD_ALIASES | MORE_FIELDS)
+    t = rates.consume_fields(_headers(spark, sf_dir), aliases)
+    found = F.transform("found", lambda f: F.concat(f["field"], F.lit(":"), f["pos"].cast("string")))
+    return t.select("message_id", F.array_join(found, ";").alias("found"), "is_rate_table")
+
+
+def q_header_match(spark, sf_dir):
+    t = _headers(spark, sf_dir)
     fields = rates.header_fields(F.col("header"))
     width = F.size("header")
     return t.select("message_id", width.alias("width"), rates.is_rate_header(fields, width).alias("is_rate_table"))
@@ -270,6 +286,22 @@ def q_charset_cascade(spark, sf_dir):
                     cs.detected_charset(F.col("body")).alias("charset"))
 
 
+def q_charset_evidence(spark, sf_dir):
+    """B8 by evidence: mail without a usable charset name in six charsets."""
+    k = F.col("o_orderkey")
+    ru = F.concat(F.lit("Заявка "), k.cast("string"), F.lit(": ставка за фрахт и перевозку, НДС 20%"))
+    fr = F.concat(F.lit("Commande "), k.cast("string"), F.lit(" : prix révisé, délai à préciser"))
+    bodies = [
+        F.encode(ru, "UTF-8"), cs.encode_as(ru, "windows-1251"), cs.encode_as(F.upper(ru), "koi8-r"),
+        cs.encode_as(ru, "ibm866"), cs.encode_as(ru, "iso-8859-5"), F.encode(fr, "ISO-8859-1"),
+        cs.encode_as(F.concat(fr, F.lit(" – 5 €")), "windows-1252"), cs.encode_as(ru, "koi8-r"),
+    ]
+    body = F.get(F.array(*bodies), (k % len(bodies)).cast("int"))
+    b = _orders(spark, sf_dir).select(k.alias("message_id"), body.alias("body"))
+    return b.select("message_id", cs.decode_by_evidence(F.col("body")).alias("text"),
+                    cs.charset_by_evidence(F.col("body")).alias("charset"))
+
+
 def q_structured_project(spark, sf_dir):
     s = synth.structured_messages(_orders(spark, sf_dir))
     e = messages.from_structured(s)
@@ -295,6 +327,22 @@ def q_xml_roundtrip(spark, sf_dir):
     return _roundtrip(spark, sf_dir, "xml")
 
 
+def q_table_files(spark, sf_dir):
+    """One file ``{stem}_{i}`` per rate table, read back. Every third message's path has the
+    same stem; odd messages ask for XML."""
+    k = F.col("message_id")
+    h = _html(spark, sf_dir)
+    name = F.when(k % 3 == 0, F.concat(F.lit("mail."), k.cast("string"), F.lit(".eml"))).when(
+        k % 3 == 1, F.concat(k.cast("string"), F.lit(".msg"))).otherwise(F.lit("mail.msg"))
+    h = h.withColumn("stem", tx.source_stem(F.concat(F.lit("/landing/box."), (k % 7).cast("string"), F.lit("/"), name)))
+    d = pipeline.detect_rate_tables(named_files.unique_stems(h, "stem"), carry=["stem"])
+    fmt = F.when(k % 2 == 0, F.lit("csv")).otherwise(F.lit("xml"))
+    path = scratch_dir(spark, "table-files")
+    named_files.write_named_files(named_files.rate_table_files(d, F.col("stem"), fmt), path, f"{path}-report")
+    written = spark.read.text(path, wholetext=True)
+    return written.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+
+
 def q_stream_rates(spark, sf_dir):
     from rateflow.streaming.stream import run_available_now
 
@@ -444,4 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quarantine": q_quarantine,
     "batch_lifecycle": q_batch_lifecycle,
     "html_table_function": q_html_table_function,
+    "header_match_dim": q_header_match_dim,
+    "charset_evidence": q_charset_evidence,
+    "table_files": q_table_files,
 }
