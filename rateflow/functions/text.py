@@ -129,6 +129,13 @@ def stopword_pattern(words: Sequence[str] = dims.STOPWORDS, literal: bool = Fals
     return "(?iu)(?:" + "|".join(parts) + ")"
 
 
+def without_stopwords(df: DataFrame, name_col: str, dim: DataFrame, q: int = 3) -> DataFrame:
+    """D3 with a stop-word table ``(word)`` of any size: the rows whose name is non-null and contains
+    no stop-word, any case, as plain text. Meets the words as ``with_services`` meets its keywords."""
+    words = dim.select(F.col("word").alias("keyword"), F.lit("x").alias("service"), F.lit(0).alias("prio"))
+    return with_services(df, name_col, words, out="_stop", q=q).where("_stop = ''").drop("_stop")
+
+
 def keeps_row(name, words: Sequence[str] = dims.STOPWORDS, literal: bool = False, lowered: bool = False) -> Column:
     """D3 predicate: True when the name is non-null and contains no stop-word."""
     name = _col(name)

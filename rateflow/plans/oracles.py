@@ -310,6 +310,7 @@ FROM orders o JOIN h ON h.message_id = o.o_orderkey""",
         "xml_roundtrip": EXP_PER_TABLE,
         "stream_rates": f"SELECT * FROM ({EXP_PER_TABLE}) x WHERE message_id % 11 <> 0",
     }
+    sql["stopword_filter_dim"] = sql["stopword_filter"]
     sql["all_or_nothing_exploded"] = sql["all_or_nothing"]
     from rateflow.plans.queries import NUMBER_POWERS
 

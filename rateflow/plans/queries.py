@@ -59,6 +59,12 @@ def q_stopword_filter(spark, sf_dir):
     return c.where(tx.keeps_row("name_raw")).select("message_id", "row_idx", "name_raw")
 
 
+def q_stopword_filter_dim(spark, sf_dir):
+    """D3 with the stop-words as a table."""
+    c = synth.candidate_rows(_orders(spark, sf_dir)).select("message_id", "row_idx", "name_raw")
+    return tx.without_stopwords(c, "name_raw", dims.stopword_frame(spark))
+
+
 def q_drop_unmapped(spark, sf_dir):
     c = synth.candidate_rows(_orders(spark, sf_dir))
     named = c.select("message_id", "row_idx", tx.service_name("name_raw").alias("name"))
@@ -495,4 +501,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "header_match_dim": q_header_match_dim,
     "charset_evidence": q_charset_evidence,
     "table_files": q_table_files,
+    "stopword_filter_dim": q_stopword_filter_dim,
 }

@@ -35,3 +35,16 @@ def test_no_nested_loop(spark):
     got = {r["id"]: r["name"] for r in out.collect()}
     # the keyword of lowest number that the text contains is the first digit run's shortest prefix
     assert got == {i: f"s{str(i * 49)[0]}" for i in range(2000)}
+
+
+def test_stopword_table_equals_a_plain_search(spark):
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choice("абвгд ") for _ in range(rng.randint(a, b)))
+    words = [word(2, 7) for _ in range(200)] + ["ОХРАНА", "", None, "охрана"]
+    names = [word(0, 12) for _ in range(300)] + ["Охрана груза", None, ""] + ["фрахт"] * 50
+    df = spark.createDataFrame(list(enumerate(names)), "id INT, name STRING")
+    dim = spark.createDataFrame([(w,) for w in words], "word STRING")
+    kept = {r["id"] for r in tx.without_stopwords(df, "name", dim).collect()}
+    stops = [w.lower() for w in words if w]
+    assert kept == {i for i, n in enumerate(names) if n is not None and not any(s in n.lower() for s in stops)}
+    assert tx.without_stopwords(df, "name", dim.limit(0)).count() == len(names) - 1
