@@ -224,43 +224,46 @@ def encoded(docs: DataFrame, tokenizer: str, cut: str | None, end_id: int) -> Da
 PIECES = "doc_id BIGINT, start BIGINT, length BIGINT, ids_crc32 BIGINT, doc_tokens BIGINT, sequence_id BIGINT, offset BIGINT"
 
 
-def pack(docs: DataFrame, tokenizer: str, cut: str | None, end_id: int, size: int = 2048, salts: int = 64, gap: float = 2e-3, slack: int = 4, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, cut: str | None, end_id: int, size: int = 2048, group_rows: int = 20_000, gap: float = 2e-3, slack: int = 4, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents, each id in exactly one piece of one sequence of at most ``size``.
 
-    Null text counts as empty (one end id). Repeated rows are documents of their own. The ids are
-    written once. Ranks are counted within (remainder length, salt), the salt from doc_id, so a
-    length that a third of all documents share is dealt over ``salts`` groups; the offsets of the
-    groups (at most ``size`` x ``salts`` rows) are broadcast. ``with_ids`` adds the ids of each
-    piece as little-endian uint32.
+    Null text counts as empty (one end id). Repeated rows are documents of their own, and a very long
+    text is as many whole sequences and a remainder. The ids are written once, with a row number.
+    Ranks are counted within (remainder length, salt), the salt from the row number, so neither a
+    length nor a doc_id that a third of all documents share is one group: a length has as many salts
+    as its count holds ``group_rows``. Their offsets are rows of (rest, salt), joined by that key.
+    ``with_ids`` adds the ids of each piece as little-endian uint32.
     """
     spark = docs.sparkSession
-    held = common.stored(encoded(docs, tokenizer, cut, end_id), "packing-ids")
-    keyed = held.withColumns({
-        "rest": F.col("doc_tokens") % size,
-        "whole": (F.col("doc_tokens") / size).cast("bigint"),
-        "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"),
-    })
-    groups = common.stored(
-        keyed.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("w")), "packing-groups"
-    )
-    lengths = groups.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).orderBy("rest").collect()  # at most `size` rows
+    numbered = encoded(docs, tokenizer, cut, end_id).withColumn("row", F.monotonically_increasing_id())
+    held = common.stored(numbered, "packing-ids")  # the row number is fixed once it is written
+    keyed = held.withColumns({"rest": F.col("doc_tokens") % size, "whole": (F.col("doc_tokens") / size).cast("bigint")})
+    lengths = keyed.groupBy("rest").agg(F.count("*").alias("n"), F.sum("whole").alias("w")).orderBy("rest").collect()  # at most `size` rows
     first, total = {}, 0
     for r in lengths:
         first[r["rest"]], total = total, total + r["w"]
     plan = Plan({r["rest"]: r["n"] for r in lengths if r["rest"]}, size, total, gap, slack)
 
+    salts = [1] * size
+    for r in lengths:
+        salts[r["rest"]] = -(-r["n"] // group_rows)
+    of_rest = F.split(F.lit(",".join(map(str, salts))), ",").cast("array<bigint>")  # one literal when the plan is optimised
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("row"), F.get(of_rest, F.col("rest").cast("int"))))
+    groups = common.stored(
+        keyed.groupBy("rest", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("w")), "packing-groups"
+    )
     earlier = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select(
         "rest", "salt",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rank_before"),
         F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("whole_before"),
     )
-    order = Window.partitionBy("rest", "salt").orderBy("doc_id", "doc_tokens", F.crc32("ids"))
+    order = Window.partitionBy("rest", "salt").orderBy("row")
     ranked = keyed.select(
         "*", (F.row_number().over(order) - 1).alias("rank"),
         F.coalesce(F.sum("whole").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cum"),
     )
-    placed = ranked.join(F.broadcast(offsets), ["rest", "salt"]).select(
+    placed = ranked.join(offsets, ["rest", "salt"]).select(
         "doc_id", "doc_tokens", "ids", "rest", "whole",
         (F.col("rank") + F.col("rank_before")).alias("rank"),
         (F.col("cum") + F.col("whole_before")).alias("cum"),
