@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,41 +121,40 @@ def _between(low: np.ndarray, high: np.ndarray | None) -> Column:
     return reduce(lambda a, b: a | b, ranges)
 
 
-def _moves(run: DataFrame, k: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Change of the exact (sums, counts) of every cluster by the vectors of a run that changed it.
+def _moves(run: DataFrame, k: int, dims: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Change of the exact (sums, counts) of every cluster by the vectors of a run that changed it,
+    and the number of rows of the run.
 
     Partial sums in every task, then k x dims numbers to the driver.
     """
-    changed = run.where("was IS NULL OR was <> cluster")
-    signed = changed.select("v", F.explode(F.array(
-        F.struct(F.col("cluster").alias("c"), F.lit(1).alias("sign")),
-        F.struct(F.col("was").alias("c"), F.lit(-1).alias("sign")),
-    )).alias("m")).where("m.c IS NOT NULL")
     schema = "c INT, sums ARRAY<BIGINT>, n BIGINT"
 
     def partial(batches):
-        sums, counts = np.zeros((k, dims), dtype=np.int64), np.zeros(k, dtype=np.int64)
+        sums, counts, rows = np.zeros((k, dims), dtype=np.int64), np.zeros(k, dtype=np.int64), 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = batch.column("c").to_numpy(zero_copy_only=False)
-            sign = batch.column("sign").to_numpy(zero_copy_only=False).astype(np.int64)
-            points = _matrix(batch.column("v")) * sign[:, None]
-            for i in np.unique(c).tolist():
-                sums[i] += points[c == i].sum(0)
-                counts[i] += sign[c == i].sum()
+            rows += batch.num_rows
+            now = batch.column("cluster").to_numpy(zero_copy_only=False)
+            was = pc.fill_null(batch.column("was"), -1).to_numpy(zero_copy_only=False)
+            points = _matrix(batch.column("v"))
+            for sign, c in ((1, np.where(now != was, now, -1)), (-1, np.where(now != was, was, -1))):
+                for i in np.unique(c[c >= 0]).tolist():
+                    sums[i] += sign * points[c == i].sum(0)
+                    counts[i] += sign * int((c == i).sum())
         live = np.flatnonzero((counts != 0) | (sums != 0).any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(live, pa.int32()), pa.array(sums[live].tolist(), pa.list_(pa.int64())), pa.array(counts[live])], names=["c", "sums", "n"]
-        )
+        cols = [[-1, *live.tolist()], [[0], *sums[live].tolist()], [rows, *counts[live].tolist()]]  # -1: rows of the run
+        kinds = [pa.int32(), pa.list_(pa.int64()), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["c", "sums", "n"])
 
-    parts = signed.select("v", "m.c", "m.sign").mapInArrow(partial, schema)
+    parts = run.select("v", "was", "cluster").mapInArrow(partial, schema)
     total = parts.select("c", "n", F.posexplode("sums")).groupBy("c", "pos").agg(F.sum("col").alias("s"), F.sum("n").alias("n")).collect()
-    sums, counts = np.zeros((k, dims), dtype=np.int64), np.zeros(k, dtype=np.int64)
+    sums, counts, rows = np.zeros((k, dims), dtype=np.int64), np.zeros(k, dtype=np.int64), 0
     for r in total:
-        sums[r["c"], r["pos"]] = r["s"]
-        counts[r["c"]] = r["n"]
-    return sums, counts
+        if r["c"] < 0:
+            rows = r["n"]
+        else:
+            sums[r["c"], r["pos"]] = r["s"]
+            counts[r["c"]] = r["n"]
+    return sums, counts, rows
 
 
 def cluster(vectors: DataFrame, k: int, rounds: int, dims: int = 64, scale: int = 256, salt: str = "2") -> tuple[DataFrame, np.ndarray, list[int]]:
@@ -173,9 +173,10 @@ def cluster(vectors: DataFrame, k: int, rounds: int, dims: int = 64, scale: int
     drift = np.zeros(k)
     runs = [_placed(points.withColumn("was", F.lit(None).cast("int")), centroids, drift)]
     sums, counts = np.zeros((k, dims), dtype=np.int64), np.zeros(k, dtype=np.int64)
-    measured = [runs[0].count()]
+    measured = []
     for _ in range(rounds):
-        more, n = _moves(runs[-1], k, dims)
+        more, n, rows = _moves(runs[-1], k, dims)
+        measured.append(rows)
         sums, counts = sums + more, counts + n
         live = counts > 0
         moved = centroids.copy()
@@ -186,7 +187,7 @@ def cluster(vectors: DataFrame, k: int, rounds: int, dims: int = 64, scale: int
         drift = before + (steps + others) * (1 + 1e-9)
         expired = reduce(DataFrame.union, [r.where(_between(before, drift)) for r in runs]) if (drift > before).any() else runs[0].limit(0)
         runs.append(_placed(expired.select("vec_id", "v", F.col("cluster").alias("was")), centroids, drift))
-        measured.append(runs[-1].count())
+    measured.append(runs[-1].count())
     held = reduce(DataFrame.union, [r.where(_between(drift, None)) for r in runs[:-1]]).union(runs[-1]) if rounds else runs[0]
 
     def distances(batches):
