@@ -114,6 +114,18 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return ids, lengths, Codes(memoryview(data)[at + 17 * n : -4])
 
 
+def places_of(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, which of them are null, document lengths) of a file, from its head alone."""
+    n = _HEAD.unpack_from(data)[4]
+    at = _HEAD.size
+    return np.frombuffer(data, "<i8", n, at), np.frombuffer(data, "u1", n, at + 8 * n) == 0, np.frombuffer(data, "<u8", n, at + 9 * n).astype(np.int64)
+
+
+def codes_of(data: memoryview) -> Codes:
+    """The codes of a file, in place: neither its directory nor its checksum is read."""
+    return Codes(data[_HEAD.size + 17 * _HEAD.unpack_from(data)[4] : -4])
+
+
 FILES = "part INT, file INT, before BIGINT, n_docs BIGINT, n_tokens BIGINT, content BINARY"
 
 
@@ -185,6 +197,55 @@ def read_codes(spark, path: str) -> DataFrame:
     return placed.mapInArrow(decode, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
+def directory(spark, path: str) -> DataFrame:
+    """(doc_id, part, file, first, n_tokens): where each document of the files at ``path`` stands.
+
+    Reads the heads of the files, no code. Store it to answer many look-ups.
+    """
+    out = "doc_id BIGINT, part INT, file INT, first BIGINT, n_tokens BIGINT"
+
+    def run(batches):
+        schema = common.arrow_schema(out)
+        for batch in batches:
+            for part, file, content in zip(batch.column("part").to_pylist(), batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                keys, unknown, lengths = places_of(memoryview(content.as_buffer()))
+                where = [pa.array(np.full(len(keys), x, np.int32)) for x in (part, file)]
+                cols = [pa.array(keys, mask=unknown), *where, pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return spark.read.schema(FILES).parquet(path).select("part", "file", "content").mapInArrow(run, out)
+
+
+def lookup(spark, path: str, wanted: DataFrame, places: DataFrame | None = None, chunk: int = 1 << 16) -> DataFrame:
+    """(doc_id, position, token): the ids at ``wanted`` (doc_id, position), and no other id is decoded.
+
+    ``places`` is a stored ``directory`` (None: read from the files). Repeated wishes are answered
+    once. A doc_id with several documents is answered once for each; a null doc_id asks for those
+    without id. An unknown doc_id, or a position that is null or outside its document, has a null
+    token. Wishes meet their file in groups of at most ``chunk`` positions, each position once, so
+    a file that all wishes go to is several rows and none grows with the wishes.
+    """
+    asked = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("position").cast("bigint").alias("position")).distinct()
+    held = (directory(spark, path) if places is None else places).select(F.col("doc_id").alias("known"), "part", "file", "first", "n_tokens")
+    here = F.col("doc_id").eqNullSafe(F.col("known")) & F.col("position").between(0, F.col("n_tokens") - 1)
+    placed = asked.join(held, here, "left").select("doc_id", "position", "part", "file", (F.col("first") + F.col("position")).alias("at"))
+    groups = placed.where("at IS NOT NULL").groupBy("part", "file", F.floor(F.col("at") / chunk).alias("chunk")).agg(F.collect_set("at").alias("ats"))
+    files = spark.read.schema(FILES).parquet(path).select("part", "file", "content")
+    out = "part INT, file INT, at BIGINT, token BIGINT"
+
+    def fetch(batches):
+        schema = common.arrow_schema(out)
+        for batch in batches:
+            for part, file, ats, content in zip(*(batch.column(c) for c in ("part", "file", "ats", "content")), strict=True):
+                codes = codes_of(memoryview(content.as_buffer()))
+                at = ats.values.to_numpy(zero_copy_only=False)
+                cols = [pa.array(np.full(len(at), x.as_py(), np.int32)) for x in (part, file)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at), pa.array(codes.get(at).astype(np.int64))], schema=schema)
+
+    found = groups.join(files, ["part", "file"]).select("part", "file", "ats", "content").mapInArrow(fetch, out)
+    return placed.join(found, ["part", "file", "at"], "left").select("doc_id", "position", "token")
+
+
 def op4_direct_codes(spark, sf_dir: str) -> DataFrame:
     """Round trip of all documents through code files (see the contract columns in ``read_codes``)."""
     from rateflow.session import scratch_dir

@@ -86,6 +86,33 @@ def test_packing_query(spark, texts):
     assert padded <= 0.005 * total
 
 
+def test_lookup_fetches_any_token(spark, tmp_path):
+    texts = [(None, "no id"), (1, "a few words, and more of them"), (2, None), (3, "the same id"), (3, "twice, and longer"), (4, "last " * 700)]
+    path = str(tmp_path / "codes")
+    docs = spark.createDataFrame([(i, t, 7) for i, t in texts], "doc_id INT, text STRING, part INT")
+    dac.write_codes(docs, path, "word_bpe_49k.json", tokens.WORDS, 2, file_tokens=20)
+    asked = [(i, p) for i in (None, 1, 2, 3, 4, 5) for p in (-1, 0, 1, 4, 8, 699, 700, 701, None)]
+    wanted = spark.createDataFrame(asked + asked[:20], "doc_id BIGINT, position BIGINT")
+    ids = [(i, ids_of("word_bpe_49k.json", t or "", 2).tolist()) for i, t in texts]
+    expected = []
+    for i, p in asked:
+        found = [d[p] for k, d in ids if k == i and p is not None and 0 <= p < len(d)]
+        expected += [(i, p, x) for x in found or [None]]
+    stored = dac.directory(spark, path).cache()
+    assert stored.count() == len(texts)
+    for places in (None, stored):
+        got = [tuple(r) for r in dac.lookup(spark, path, wanted, places, chunk=64).collect()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert dac.lookup(spark, path, wanted.limit(0)).collect() == []
+
+
+def test_repeated_rows_of_one_length_are_several_groups(spark):
+    docs = spark.range(300).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'a repeated row' AS text", "id AS salt", "'x' AS rest")
+    rows = packing.pack(docs, "byte_bpe_50k.json", tokens.BLANKS, 1, group_rows=11).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+    assert sum(r["length"] for r in rows) == 300 * rows[0]["doc_tokens"]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 63), st.integers(1, 40), max_size=12))
 def test_plan_meets_demand_and_places_every_rank(demand):
