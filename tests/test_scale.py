@@ -83,3 +83,20 @@ def test_deep_mail_is_refused_without_reading_it(monkeypatch, levels):
     if levels == 2000:
         with pytest.raises(RecursionError, match="maximum recursion depth exceeded"):
             real(raw)
+
+
+def test_refused_bytes_are_written_once_and_not_cached(spark, tmp_path, monkeypatch):
+    from rateflow.plans import pipeline
+    from rateflow.streaming import commits, stream
+
+    deep, out, chosen = b"Content-Type: message/rfc822\r\n\r\n" * 2000, str(tmp_path / "out"), []
+    real = stream._choose
+    monkeypatch.setattr(stream, "_choose", lambda d, *a: chosen.append(d.columns) or real(d, *a))
+    rows = [("a", MAIL), ("a", deep), ("b", deep), ("b", b"X: 1\r\n" + deep), ("c", MAIL)]
+    pipeline.process_messages(spark.createDataFrame(rows, "message_id STRING, content BINARY"), out, "x@y.z", "1")
+    assert len(chosen) == 1 and "failed_content" not in chosen[0]
+    assert sorted(r[0] for r in commits.committed(spark, out, "ledger").select("message_id").collect()) == ["a", "c"]
+    held = commits.committed(spark, out, "quarantine").select("message_id", "content").collect()
+    assert sorted((r[0], bytes(r[1])) for r in held) == [("b", deep), ("b", b"X: 1\r\n" + deep)]
+    assert not (tmp_path / "out" / "_parsed" / "run_id=1" / "batch_id=0").exists()
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
