@@ -100,3 +100,14 @@ def test_refused_bytes_are_written_once_and_not_cached(spark, tmp_path, monkeypa
     assert sorted((r[0], bytes(r[1])) for r in held) == [("b", deep), ("b", b"X: 1\r\n" + deep)]
     assert not (tmp_path / "out" / "_parsed" / "run_id=1" / "batch_id=0").exists()
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_named_files_are_read_by_their_report(spark, tmp_path):
+    from rateflow.sinks import named_files as nf
+
+    out = str(tmp_path / "files")
+    rows = [("a_0.csv", "x\ny\n"), ("б 1.xml", "ж"), ("a_0.csv", "x\ny\n"), ("no/name", "z"), ("empty.csv", None)]
+    report = nf.write_named_files(spark.createDataFrame(rows, "name STRING, content STRING"), out, f"{out}-report")
+    read = nf.read_named_files(report, out)
+    assert read.columns == ["name", "content"]
+    assert sorted(map(tuple, read.collect())) == [("a_0.csv", "x\ny\n"), ("empty.csv", ""), ("б 1.xml", "ж")]
