@@ -111,3 +111,39 @@ def test_named_files_are_read_by_their_report(spark, tmp_path):
     read = nf.read_named_files(report, out)
     assert read.columns == ["name", "content"]
     assert sorted(map(tuple, read.collect())) == [("a_0.csv", "x\ny\n"), ("empty.csv", ""), ("б 1.xml", "ж")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["rate_table_status", "table_headers", "html_cells_roundtrip"])
+def test_derived_arrays_are_unpacked_without_a_second_evaluation(spark, name):
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()[name](spark, entry.SMOKE_DIR))
+    assert plan.count("(?imdU)") == 1  # the cut, with all that detection makes of it, once a message
+
+
+@pytest.mark.parametrize("name", ["table_xml", "html_reply"])
+def test_reply_numbers_are_read_once(spark, name):
+    import __spark_entry__ as entry
+
+    plan = _plan(entry.queries()[name](spark, entry.SMOKE_DIR))
+    assert plan.count("translate(") == 2  # one for the rate, one for the entry
+
+
+def test_texts_without_the_first_word_of_a_header_are_not_searched(spark):
+    from pyspark.sql import functions as F
+
+    from rateflow.operators import thread
+
+    letters = [(chr(c),) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    d = spark.createDataFrame(letters, "c STRING").where(F.col("c").rlike("(?imdU)^[sentотправлено:]$"))
+    assert d.where(~F.upper("c").isin(list("SENTОТПРАВЛЕНО:"))).count() == 0
+    assert d.count() > 24  # other letters than the plain ones, such as the long s, count as them
+    texts = ["a\nSENT: x\nTo: y\nsubject: z\nb", "ſent: x\nto: y\nsubject: z", "sent:", "none", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = d.select(thread.newest_part(F.col("t")), thread.thread_parts(F.col("t"))).collect()
+    want = d.select(F.element_at(F.split("t", thread.REPLY_SPLIT, 2), 1), F.split("t", thread.REPLY_SPLIT)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
