@@ -147,3 +147,29 @@ def test_texts_without_the_first_word_of_a_header_are_not_searched(spark):
     got = d.select(thread.newest_part(F.col("t")), thread.thread_parts(F.col("t"))).collect()
     want = d.select(F.element_at(F.split("t", thread.REPLY_SPLIT, 2), 1), F.split("t", thread.REPLY_SPLIT)).collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_only_lines_with_its_first_word_are_tried_as_a_header(monkeypatch):
+    from rateflow.operators import markup
+
+    rest, real = "\nTo: x\nSubject: y\n", markup._first_header("sent:\nto:\nsubject:").re
+    texts = ["a: b\n" * 50 + "<b>Sent:</b> 1 sent: 2" + rest, "SENT:" + rest, "sent:\n\nto:\nsent: a" + rest + "sent: b" + rest,
+             "a\r\nотправлено: 1\r\nКому: 2\r\nтема: 3\r\nend", "ſent: x" + rest, "sent: nothing else", "none\n"]
+    found = [(m := markup._first_header(t)) and m.span() for t in texts]
+    assert found == [(m := real.search(t)) and m.span() for t in texts]
+    tried = []
+
+    class Pattern:
+        def match(self, text, at):
+            tried.append(at)
+            return real.match(text, at)
+
+    monkeypatch.setattr(markup, "_REPLY_HEADER", Pattern())
+    assert markup._first_header(texts[0]).start() == 250
+    assert tried == [250]
+
+
+def test_table_function_sends_no_arrow_batch_for_a_message(spark):
+    import __spark_entry__ as entry
+
+    assert "ArrowEvalPythonUDTF" not in entry.queries()["html_table_function"](spark, entry.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
