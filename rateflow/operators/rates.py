@@ -190,6 +190,35 @@ def detect(df: DataFrame, field_aliases=dims.FIELD_ALIASES, stopwords=dims.STOPW
     )
 
 
+def detect_rows(df: DataFrame, field_aliases=dims.FIELD_ALIASES, stopwords=dims.STOPWORDS) -> DataFrame:
+    """``detect`` for the extraction: ``rate_tables`` (table_idx, fields, cells) and ``message_failed`` only.
+
+    Tables of another width, or with a shorter header (its last names are missing), are left out before
+    any name is looked up.
+    """
+    wanted = sorted(field_aliases)
+
+    def fits(t):
+        width = F.array_max(F.transform(t["rows"], lambda r: F.size(r)))
+        return (F.size(F.get(t["rows"], 0)) == len(wanted)) & (width == len(wanted))
+
+    def named(t):
+        rows = t["rows"]
+        fields = header_fields(F.get(rows, 0), field_aliases)
+        return F.struct(t["table_idx"].alias("table_idx"), fields.alias("fields"), F.slice(rows, 2, F.size(rows)).alias("data"))
+
+    def judged(t):
+        return is_rate_header(t["fields"], F.lit(len(wanted)), field_aliases)
+
+    def with_cells(t):
+        return F.struct(t["table_idx"].alias("table_idx"), t["fields"].alias("fields"), row_cells(t).alias("cells"))
+
+    tables = F.filter(F.transform(F.filter("tables", fits), named), judged)
+    df = df.withColumn("rate_tables", F.transform(tables, with_cells))
+    failed = F.exists("rate_tables", lambda t: table_failed(t, stopwords))
+    return df.withColumn("message_failed", F.coalesce(failed, F.lit(False)))
+
+
 def table_headers(detected: DataFrame, key: str = "message_id") -> DataFrame:
     """``table_headers`` view: one row per newest top-level table."""
     return detected.select(key, unpacked(F.col("table_info")).alias("t")).select(

@@ -81,17 +81,21 @@ def exp_sql(orders: str = "orders") -> str:
     )
 
 
-def nested_rows(orders: DataFrame) -> DataFrame:
-    """One row per order: ``message_id`` and ``rows`` = its candidate rows (array of structs)."""
-    k, i = "o_orderkey", "i"
-    rows = F.expr(
+def _rows_sql(k: str) -> str:
+    """The candidate rows of the order with key ``k``, an array of structs."""
+    i = "i"
+    return (
         f"transform(sequence(1, {_bind(N_ROWS, k, i)}), i -> named_struct("
         f"'table_idx', {_bind(TABLE_OF_ROW, k, i)}, 'row_idx', i, "
         f"'name_raw', {_bind(NAME_RAW, k, i)}, 'rate_raw', {_bind(RATE_RAW, k, i)}, "
         f"'entry_raw', {_bind(ENTRY_RAW, k, i)}))"
     )
+
+
+def nested_rows(orders: DataFrame) -> DataFrame:
+    """One row per order: ``message_id`` and ``rows`` = its candidate rows (array of structs)."""
     return orders.select(
-        F.col("o_orderkey").alias("message_id"), "o_custkey", "o_orderdate", rows.alias("rows")
+        F.col("o_orderkey").alias("message_id"), "o_custkey", "o_orderdate", F.expr(_rows_sql("o_orderkey")).alias("rows")
     )
 
 
@@ -122,7 +126,10 @@ def _row_html(r, variant):
 
 def _table_html(rows, variant, table_idx):
     mine = F.filter(rows, lambda r: r["table_idx"] == table_idx)
-    body = F.array_join(F.transform(mine, lambda r: _row_html(r, variant)), "")
+    return _table_of(F.array_join(F.transform(mine, lambda r: _row_html(r, variant)), ""), variant)
+
+
+def _table_of(body, variant):
     return F.concat(
         F.lit('<table border="1" cellpadding="4">\n<tr>'),
         _header_cells(variant),
@@ -165,16 +172,19 @@ def _quote_en(k, cust):
 
 def html_column(k, cust, rows):
     """Rendered html of one message (``k`` order key, ``cust`` customer key, ``rows`` array)."""
+    variant = (k % 3).cast("int")
+    return _html_of(k, cust, [_table_html(rows, variant, t) for t in (0, 1)], F.size(rows) > 3)
+
+
+def _html_of(k, cust, tables, two_tables):
     ks = k.cast("string")
     cs = cust.cast("string")
-    variant = (k % 3).cast("int")
-    two_tables = F.size(rows) > 3
     return F.concat(
         F.lit("<html><body>\n<p>Добрый день! Ставки по заявке "), ks, F.lit(":</p>\n"),
-        _table_html(rows, variant, 0), F.lit("\n"),
+        tables[0], F.lit("\n"),
         F.when(
             two_tables,
-            F.concat(F.lit("<p>Дополнительные услуги:</p>\n"), _table_html(rows, variant, 1), F.lit("\n")),
+            F.concat(F.lit("<p>Дополнительные услуги:</p>\n"), tables[1], F.lit("\n")),
         ).otherwise(F.lit("")),
         F.when(k % 8 == 2, F.concat(F.lit(DECOY_TABLE), F.lit("\n"))).otherwise(F.lit("")),
         F.lit("<p>С уважением,<br>отдел логистики</p>\n"),
@@ -191,11 +201,36 @@ def html_messages(orders: DataFrame) -> DataFrame:
     )
 
 
+def _with_html(orders: DataFrame, *cols: str) -> DataFrame:
+    """``html_messages`` with ``cols`` of the order. The rows are written out one by one: without an array
+    of them the rendering is compiled code. (A negative key has rows in descending order: the array form.)"""
+    k = F.col("message_id")
+    variant = (k % 3).cast("int")
+    n_rows = F.expr(_bind(N_ROWS, "message_id", ""))
+
+    def row(i: int):
+        cells = {c: F.expr(_bind(sql, "message_id", str(i))) for c, sql in
+                 (("name_raw", NAME_RAW), ("rate_raw", RATE_RAW), ("entry_raw", ENTRY_RAW))}
+        html = _row_html(cells, variant)
+        return html if i == 1 else F.when(n_rows >= i, html).otherwise(F.lit(""))
+
+    tables = [_table_of(F.concat(*[row(i) for i in of]), variant) for of in ((1, 2, 3), (4, 5))]
+    plain = _html_of(k, F.col("o_custkey"), tables, n_rows > 3)
+    other = html_column(k, F.col("o_custkey"), F.expr(_rows_sql("message_id")))
+    renamed = orders.withColumnRenamed("o_orderkey", "message_id")
+    return renamed.select("message_id", *cols, F.when(k < 0, other).otherwise(plain).alias("html"))
+
+
 # ---------------------------------------------------------------------------------- mime
 
 TEXT_BODY = "Добрый день! Ставки по заявке {k} в письме."
 
 
+def _text_body(ks):
+    before, after = TEXT_BODY.split("{k}")
+    return F.concat(F.lit(before), ks, F.lit(after))
+
+
 def _b64_word(charset: str, data) -> "F.Column":
     return F.concat(F.lit(f"=?{charset}?B?"), F.base64(data), F.lit("?="))
 
@@ -225,17 +260,17 @@ def mime_column(k, cust, orderdate, html):
         .when(k % 5 == 4, F.concat(F.lit("a"), cs, F.lit("@example.com, b"), cs, F.lit("@example.com")))
     )
     date = F.when(k % 6 != 5, F.date_format(orderdate, "yyyy-MM-dd"))
-    text = F.regexp_replace(F.lit(TEXT_BODY), r"\{k\}", ks)
-    html_bytes = (
+    text = _text_body(ks)
+    html_bytes = (  # strings are UTF-8 already: the cast takes their bytes
         F.when(k % 3 == 1, encode_cp1251(html))
-        .when(k % 3 == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(html, "UTF-8")))
-        .otherwise(F.encode(html, "UTF-8"))
+        .when(k % 3 == 2, F.concat(F.unhex(F.lit("EFBBBF")), html.cast("binary")))
+        .otherwise(html.cast("binary"))
     )
     html_charset = F.when(k % 3 == 1, F.lit("windows-1251")).otherwise(F.lit("utf-8"))
     boundary = F.concat(F.lit("=_b"), ks)
 
     def header(name, value):
-        return F.when(value.isNotNull(), F.concat(F.lit(name + ": "), value, crlf)).otherwise(F.lit(""))
+        return F.coalesce(F.concat(F.lit(name + ": "), value, crlf), F.lit(""))
 
     def part(ctype, charset, data):
         return F.concat(
@@ -247,7 +282,7 @@ def mime_column(k, cust, orderdate, html):
         header("From", sender), F.lit("To: rates@example.com\r\n"), header("Subject", subject),
         header("Date", date), F.lit("Message-ID: <"), ks, F.lit("@orders.example>\r\nMIME-Version: 1.0\r\n"),
     )
-    text_part = part("text/plain", F.lit("utf-8"), F.encode(text, "UTF-8"))
+    text_part = part("text/plain", F.lit("utf-8"), text.cast("binary"))
     html_part = part("text/html", html_charset, html_bytes)
     multipart = F.concat(
         F.lit('Content-Type: multipart/alternative; boundary="'), boundary, F.lit('"'), crlf, crlf,
@@ -256,25 +291,23 @@ def mime_column(k, cust, orderdate, html):
         F.lit("--"), boundary, F.lit("--"), crlf,
     )
     body = F.when(k % 11 == 0, text_part).when(k % 7 == 0, html_part).otherwise(multipart)
-    return F.encode(F.concat(heads, body), "UTF-8")
+    return F.concat(heads, body).cast("binary")
 
 
 def mime_messages(orders: DataFrame) -> DataFrame:
     """``(message_id, content BINARY)``: one RFC 822 message per order."""
-    n = nested_rows(orders)
-    html = html_column(F.col("message_id"), F.col("o_custkey"), F.col("rows"))
+    n = _with_html(orders, "o_custkey", "o_orderdate")
     return n.select(
         "message_id",
-        mime_column(F.col("message_id"), F.col("o_custkey"), F.col("o_orderdate"), html).alias("content"),
+        mime_column(F.col("message_id"), F.col("o_custkey"), F.col("o_orderdate"), F.col("html")).alias("content"),
     )
 
 
 def structured_messages(orders: DataFrame) -> DataFrame:
     """``structured_messages``: fields as a .msg reader gives them (some empty)."""
-    n = nested_rows(orders)
+    n = _with_html(orders, "o_custkey", "o_orderdate")
     k = F.col("message_id")
     ks, cs = k.cast("string"), F.col("o_custkey").cast("string")
-    html = html_column(k, F.col("o_custkey"), F.col("rows"))
     return n.select(
         "message_id",
         F.when(k % 4 == 0, F.concat(F.lit("Ставки по заявке "), ks))
@@ -283,6 +316,6 @@ def structured_messages(orders: DataFrame) -> DataFrame:
         F.when(k % 3 == 0, F.concat(F.lit("Клиент "), cs, F.lit(" <client"), cs, F.lit("@example.com>")))
         .when(k % 3 == 1, F.lit("")).alias("sender"),
         F.when(k % 5 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("date"),
-        F.when(k % 6 != 0, F.regexp_replace(F.lit(TEXT_BODY), r"\{k\}", ks)).otherwise(F.lit("")).alias("body"),
-        F.when(k % 9 != 0, html).alias("html_body"),
+        F.when(k % 6 != 0, _text_body(ks)).otherwise(F.lit("")).alias("body"),
+        F.when(k % 9 != 0, F.col("html")).alias("html_body"),
     )
