@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateflow.functions.text import let
-from rateflow.operators import markup
 from rateflow.operators.markup import SEGMENTS_TYPE
 
 # The quoted-reply header, English or Russian, on consecutive lines
@@ -92,12 +91,10 @@ def newest_tables(segments: Column, newest: Column, strict: bool = False) -> Col
     """
     # tables are numbered in order: the first ones, as many as there are placeholders (counted once)
     tables = F.slice(F.filter(segments, lambda s: s["kind"] == "table"), F.lit(1), count_placeholders(newest))
-    return _readable(tables, strict, SEGMENTS_TYPE)
-
-
-def _readable(tables: Column, strict: bool, kind) -> Column:
     if strict:
-        return F.when(F.exists(tables, lambda t: F.size(t["rows"]) == 0), F.array().cast(kind)).otherwise(tables)
+        return F.when(
+            F.exists(tables, lambda t: F.size(t["rows"]) == 0), F.array().cast(SEGMENTS_TYPE)
+        ).otherwise(tables)
     return F.filter(tables, lambda t: F.size(t["rows"]) > 0)
 
 
@@ -106,42 +103,3 @@ def cut_thread(parsed: DataFrame, strict: bool = False) -> DataFrame:
     return parsed.withColumn("newest", newest_part(masked_html(F.col("segments")))).withColumn(
         "tables", newest_tables(F.col("segments"), F.col("newest"), strict)
     )
-
-
-#: A table of the newest message: its number in the document and the texts of its cells.
-GRID_TYPE = "array<struct<table_idx:int,rows:array<array<string>>>>"
-
-
-def read_newest_tables(emails: DataFrame, key: str, html_col: str, strict: bool = False) -> DataFrame:
-    """``key`` and ``tables`` (table_idx, rows) of the newest message: ``cut_thread`` of ``parse_html``.
-
-    Documents of plain markup are read by Spark's own expressions; only the others that have a table
-    go to Python (null for the rest). Each stage is a projection of its own, whose columns the next
-    ones use more than once, so Spark evaluates them once.
-    """
-    from rateflow.session import ship_package
-
-    ship_package(emails.sparkSession)
-    html, found, plain = F.col(html_col), F.col("found"), F.col("plain")
-    df = emails.select(key, html_col, markup.plain_table_texts(html).alias("found"))
-    # the mark of the placeholders may be part of a text: such documents are masked by segments
-    df = df.select(key, html_col, "found", (markup.is_plain(html, found) & ~html.contains(MARK)).alias("plain"))
-    other = F.when(~plain & html.rlike("(?i)<table"), html)
-    df = df.select(
-        key, F.when(plain, found).alias("found"), markup.newest_segments(other).alias("segments"),
-        F.when(plain & (F.size(found) > 0), markup.without_plain_tables(html, F.lit(f"\n{MARK}T{MARK}\n"))).alias("masked"),
-    )
-    masked = F.when(found.isNotNull(), F.col("masked")).otherwise(masked_html(F.col("segments")))
-    df = df.select(key, "found", "segments", newest_part(masked).alias("newest"))
-    df = df.select(key, "found", "segments", count_placeholders(F.col("newest")).alias("n"))
-
-    def first(tables: Column) -> Column:
-        return F.slice(tables, F.lit(1), F.col("n"))
-
-    read = F.transform(first(found), lambda t, i: F.struct(i.alias("table_idx"), markup.plain_grid(t).alias("rows")))
-    built = F.transform(
-        first(F.filter("segments", lambda s: s["kind"] == "table")), lambda s: F.struct(s["table_idx"].alias("table_idx"), s["rows"].alias("rows"))
-    )
-    df = df.select(key, F.when(found.isNotNull(), read).otherwise(built).alias("read"))
-    # a generator, so that a filter on the tables is not pushed below with all of the above inlined
-    return df.select(F.inline(F.array(F.struct(key, _readable(F.col("read"), strict, GRID_TYPE).alias("tables")))))

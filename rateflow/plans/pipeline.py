@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rateflow import dims
 from rateflow.operators import rates
 from rateflow.operators.markup import parse_html
-from rateflow.operators.thread import cut_thread, read_newest_tables
+from rateflow.operators.thread import cut_thread
 from rateflow.sources.messages import PARSE_FAILED
 
 
@@ -101,8 +101,11 @@ def extract_rates(
     ``row_idx`` counts the data rows of each table from 1; ``table_idx`` numbers the top-level
     tables of the newest message from 0.
     """
-    # only messages with a table start tag give rows, and only those of other than plain markup cross to Python
-    detected = rates.detect_rows(read_newest_tables(emails, key, html_col, strict), field_aliases, stopwords)
+    # only messages with a table start tag give rows: the others never cross to Python
+    # (a plain filter would be pushed below the projection that decodes the html, which would then run twice)
+    emails = keep_where(emails, F.col(html_col).rlike("(?i)<table"), key, html_col)
+    parsed = parse_html(emails, html_col, newest_only=True, keep_table_html=False)
+    detected = rates.detect_rows(cut_thread(parsed, strict), field_aliases, stopwords)
     return rate_rows_from_detected(detected, key, keywords, stopwords, keep_col_order)
 
 
