@@ -16,6 +16,13 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _nothing_cached(spark):
+    """What the tests of one file cache is gone before the next."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture
 def extract(spark):
     """Run the html pipeline on a list of html strings; returns (detected, rate_rows) as lists."""
